@@ -53,19 +53,15 @@ def complexity_score(cyclomatic: Column, cognitive: Column) -> Column:
     return (cyc * F.lit(50.0) + cog * F.lit(50.0)).cast("int")
 
 
-def _weighted(parts: list[tuple[Column, float, Column | None]]) -> Column:
-    """Weighted mean over the active parts, in the listed order."""
-    weights = [
-        F.lit(w) if active is None else F.when(active, F.lit(w)).otherwise(F.lit(0.0))
-        for _, w, active in parts
-    ]
-    total = reduce(add, weights)
+def _weighted(parts: list[tuple[str, float, str | None]]) -> str:
+    """SQL text of the weighted mean over the active parts, in the listed order."""
+    weights = [f"{w}D" if active is None else f"IF({active}, {w}D, 0D)" for _, w, active in parts]
+    total = " + ".join(weights)
     terms = [
-        score.cast("double") * (w / total * F.lit(100.0)) / F.lit(100.0)
+        f"CAST({score} AS DOUBLE) * ({w} / ({total}) * 100D) / 100D"
         for (score, _, _), w in zip(parts, weights)
     ]
-    mean = reduce(add, terms)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean)).cast("int")
+    return f"CAST(greatest(0D, least(100D, {' + '.join(terms)})) AS INT)"
 
 
 def heat_score() -> Column:
@@ -74,61 +70,67 @@ def heat_score() -> Column:
     An assessed file leans on its assessed impact; the others on path and code signals.
     Incidents and churn only take part when the file has any.
     """
-    c = F.col
-    centrality = c("centrality") * F.lit(100.0)
-    has_incidents = (c("incident_count") > 0) | (c("incident_score") > 0)
-    has_commits = (c("commit_count") > 0) | (c("churn_score") > 0)
+    has_incidents = "(incident_count > 0 OR incident_score > 0)"
+    has_commits = "(commit_count > 0 OR churn_score > 0)"
     assessed = _weighted([
-        (c("blast_score"), 40.0, None),
-        (centrality, 15.0, None),
-        (c("complexity_score"), 15.0, None),
-        (c("coverage_score"), 10.0, None),
-        (c("incident_score"), 10.0, has_incidents),
-        (c("churn_score"), 10.0, has_commits),
+        ("blast_score", 40, None),
+        ("centrality * 100D", 15, None),
+        ("complexity_score", 15, None),
+        ("coverage_score", 10, None),
+        ("incident_score", 10, has_incidents),
+        ("churn_score", 10, has_commits),
     ])
     static = _weighted([
-        (centrality, 20.0, None),
-        (c("user_impact_score"), 20.0, None),
-        (c("sensitivity_score"), 15.0, None),
-        (c("complexity_score"), 15.0, None),
-        (c("coverage_score"), 10.0, None),
-        (c("incident_score"), 25.0, has_incidents),
-        (c("churn_score"), 10.0, has_commits),
+        ("centrality * 100D", 20, None),
+        ("user_impact_score", 20, None),
+        ("sensitivity_score", 15, None),
+        ("complexity_score", 15, None),
+        ("coverage_score", 10, None),
+        ("incident_score", 25, has_incidents),
+        ("churn_score", 10, has_commits),
     ])
-    return F.when(c("assessed"), assessed).otherwise(static)
+    return F.expr(f"IF(assessed, {assessed}, {static})")
 
 
 def tier_of(score: Column, thresholds: TierThresholds) -> Column:
-    return (
-        F.when(score >= thresholds.critical, "critical")
-        .when(score >= thresholds.high, "high")
-        .when(score >= thresholds.medium, "medium")
-        .otherwise("low")
-    )
+    """Tier of a score in 0..100.
+
+    A lookup by score, not a chain of comparisons: a filter on the tier is pushed below
+    the projection that computes the score, and would repeat the whole score formula
+    for every comparison.
+    """
+    def name(value: int) -> str:
+        for tier in ("critical", "high", "medium"):
+            if value >= getattr(thresholds, tier):
+                return tier
+        return "low"
+
+    by_score = F.split(F.lit(",".join(name(value) for value in range(101))), ",")
+    return F.element_at(by_score, F.greatest(F.lit(0), F.least(F.lit(100), score)) + 1)
 
 
 def tier_rank(tier: Column) -> Column:
     """4 for critical down to 1 for low; 0 for anything else."""
-    chain = F.when(tier == TIERS[0], TIER_RANK[TIERS[0]])
-    for name in TIERS[1:]:
-        chain = chain.when(tier == name, TIER_RANK[name])
-    return chain.otherwise(0)
+    coldest_first = sorted(TIERS, key=TIER_RANK.__getitem__)
+    return F.array_position(F.split(F.lit(",".join(coldest_first)), ","), tier).cast("int")
 
 
 def tier_label(tier: Column) -> Column:
     return F.upper(tier)
 
 
-def review_columns(tier: Column, settings: Settings) -> dict[str, Column]:
-    """The six review-rule columns of a tier (four constant rows: no join needed)."""
-    def pick(name: str) -> Column:
-        value = {t: getattr(settings.rules[t], name) for t in TIERS}
-        chain = F.when(tier == "critical", F.lit(value["critical"]))
-        for t in ("high", "medium"):
-            chain = chain.when(tier == t, F.lit(value[t]))
-        return chain.otherwise(F.lit(value["low"]))
+def review_columns(settings: Settings) -> dict[str, Column]:
+    """The six review-rule columns of column ``tier``.
+
+    Four constant rows need no join, and a lookup reads the tier once (see
+    :func:`tier_of`).
+    """
+    def lookup(name: str) -> Column:
+        values = {t: str(getattr(settings.rules[t], name)).lower() for t in TIERS}
+        entries = ", ".join(f"'{t}', {v}" for t, v in values.items())
+        return F.expr(f"coalesce(try_element_at(map({entries}), tier), {values['low']})")
 
-    return {name: pick(name) for name in ReviewRule.__dataclass_fields__}
+    return {name: lookup(name) for name in ReviewRule.__dataclass_fields__}
 
 
 def impact_band(value: Column) -> Column:

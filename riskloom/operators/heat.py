@@ -28,8 +28,12 @@ HEAT_COLUMNS = [
 ]
 
 
-def _zero(*names: str):
-    return {name: F.coalesce(F.col(name), F.lit(0)) for name in names}
+# Columns of the joined rollups; a file that a rollup does not know has 0.
+_ROLLUPS = [
+    "centrality", "import_count", "incident_score", "incident_count",
+    *[f"sev_{s}" for s in SEVERITY_POINTS],
+    "churn_score", "commit_count", "commits_last_90d", "unique_authors",
+]
 
 
 def score_files(
@@ -75,12 +79,7 @@ def score_files(
             "has_integration_tests": F.coalesce("has_integration_tests", F.lit(False))})
 
     path = F.col("path")
-    df = df.withColumns({
-        "centrality": F.coalesce("centrality", F.lit(0.0)),
-        **_zero(
-            "import_count", "incident_score", "incident_count",
-            *[f"sev_{s}" for s in SEVERITY_POINTS],
-            "churn_score", "commit_count", "commits_last_90d", "unique_authors"),
+    df = df.na.fill(0, _ROLLUPS).withColumns({
         **paths.user_impact_flags(path),
         **paths.sensitivity_flags(path),
         **blast_columns(),
@@ -99,7 +98,7 @@ def score_files(
     df = df.withColumn("tier", scores.tier_of(F.col("heat_score"), settings.tiers))
     if annotations is not None:
         df = override_tiers(df, annotations)
-    df = df.withColumns(scores.review_columns(F.col("tier"), settings))
+    df = df.withColumns(scores.review_columns(settings))
     return df.select(*HEAT_COLUMNS)
 
 

@@ -4,19 +4,17 @@ An import resolves twice, and both hits count: exactly, to the first existing of
 file names built from it, and loosely, to the first other path that contains it.
 
 Loose matching never pairs imports with paths. Each path lists its own substrings, but
-only those whose first three characters begin an import of the repository and whose
-length is one of that import group's lengths, and these meet the imports in an
-equi-join. The work is bounded by the path lengths, not by files times imports.
+only those that begin with the first three characters of some import of the repository
+and are as long as an import that begins so; these meet the imports in an equi-join.
+The work is bounded by the path lengths, not by files times imports.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import spread_join
+from riskloom.operators.skew import spread_join, top_k
 
 # File names an import may stand for, in the order they are tried.
 EXACT_ENDINGS = (".py", ".go", ".ts", ".js", "/__init__.py")
@@ -50,58 +48,42 @@ def exact_targets(files: DataFrame) -> DataFrame:
 
 
 def _listed_substrings(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(repo_id, imp, path) for path substrings that may be an import."""
-    path = F.col("path")
+    """(repo_id, imp, path) for the path substrings that may be an import.
+
+    A repository's leads and lengths travel as one row, spread over the tasks that hold
+    its files: their number is bounded by the three-character strings there are.
+    """
+    lead = F.struct(F.substring("imp", 1, _LEAD).alias("lead"), F.length("imp").alias("n"))
     leads = (
-        imports.filter(F.length("imp") >= _LEAD)
-        .groupBy("repo_id", F.substring("imp", 1, _LEAD).alias("lead"))
-        .agg(F.collect_set(F.length("imp")).alias("lengths"))
+        imports.select("repo_id", lead.alias("begin")).distinct()
+        .groupBy("repo_id").agg(F.collect_list("begin").alias("begins"))
     )
-    positions = F.sequence(F.lit(1), F.length(path) - (_LEAD - 1))
-    starts = (
-        files.filter(F.length("path") >= _LEAD)
-        .select("repo_id", "path", F.explode(positions).alias("pos"))
-        .withColumn("lead", F.substring(path, F.col("pos"), F.lit(_LEAD)))
-    )
-    long = (
-        spread_join(starts, leads, ["repo_id", "lead"], ["path", "pos"], fan_out=16)
-        .select("repo_id", "path", "pos", F.explode("lengths").alias("n"))
-        .filter(F.col("pos") + F.col("n") - 1 <= F.length("path"))
-        .select("repo_id", F.substring(path, F.col("pos"), F.col("n")).alias("imp"), "path")
+    path = F.col("path")
+    found = F.filter("begins", lambda b: F.contains(path, b["lead"]) & (b["n"] <= F.length(path)))
+    substrings = F.filter(
+        F.transform(
+            F.sequence(F.lit(1), F.length(path) - F.col("n") + 1),
+            lambda at: F.substring(path, at, F.col("n")),
+        ),
+        lambda part: F.startswith(part, F.col("lead")),
     )
-    # Imports shorter than a lead: a path has few substrings of one and two characters.
-    short = reduce(
-        DataFrame.unionByName,
-        [
-            files.filter(F.length("path") >= n).select(
-                "repo_id",
-                F.explode(F.array_distinct(F.transform(
-                    F.sequence(F.lit(1), F.length(path) - (n - 1)),
-                    lambda p: F.substring(path, p, F.lit(n)),
-                ))).alias("imp"),
-                "path",
-            )
-            for n in range(1, _LEAD)
-        ],
+    return (
+        spread_join(files, leads, ["repo_id"], ["path"])
+        .select("repo_id", "path", F.inline(found))
+        .select("repo_id", F.explode(F.array_distinct(substrings)).alias("imp"), "path")
     )
-    return long.unionByName(short)
 
 
 def loose_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     """The first two paths, in name order, that contain each import.
 
-    Two are enough: an importer that is itself the first is given the second.
+    Two are enough: an importer that is itself the first is given the second. The limit
+    cuts every map task's rows before they are shuffled. Some substrings that are no
+    import are still among the rows; the join with the imports, on the same
+    partitioning, drops them.
     """
-    # A dense rank, because a path may hold the same substring twice. The limit is
-    # applied to every map task's rows before they are shuffled.
-    by_name = Window.partitionBy(*_IMPORT).orderBy("path")
-    first_two = (
-        _listed_substrings(files, imports)
-        .withColumn("rank", F.dense_rank().over(by_name))
-        .filter(F.col("rank") <= 2)
-    )
     return (
-        first_two.join(imports.select(*_IMPORT), _IMPORT, "left_semi")
+        top_k(_listed_substrings(files, imports), _IMPORT, [F.col("path")], 2)
         .groupBy(*_IMPORT)
         .agg(
             F.min("path").alias("loose_path"),
@@ -151,7 +133,8 @@ def fan_in(files: DataFrame, refs: DataFrame) -> DataFrame:
     """
     resolved = resolve_imports(files, distinct_imports(refs))
     own = (
-        refs.groupBy("repo_id", "imp", F.col("path").alias("loose_path"))
+        refs.filter(F.contains("path", "imp"))
+        .groupBy("repo_id", "imp", F.col("path").alias("loose_path"))
         .agg(F.count("*").alias("own_refs"))
     )
     counted = resolved.join(own, ["repo_id", "imp", "loose_path"], "left") \

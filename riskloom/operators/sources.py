@@ -60,7 +60,10 @@ def source_metrics(files: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def import_refs(metrics: DataFrame) -> DataFrame:
     """One row per import line: the importing file and the imported name."""
-    return metrics.select("repo_id", "path", F.explode("imports").alias("imp"))
+    # An inner explode would add a filter on the array, and pushing that filter down
+    # would compute the metrics twice.
+    refs = metrics.select("repo_id", "path", F.explode_outer("imports").alias("imp"))
+    return refs.filter(F.col("imp").isNotNull())
 
 
 def language_counts(files: DataFrame) -> DataFrame:

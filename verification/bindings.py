@@ -6,9 +6,12 @@ The same text runs in Spark SQL and in DuckDB: ``@name@`` stands for a given tab
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.sources.staging import stage
+
 AS_OF = "2001-08-02"
 DOC_AS_OF = "2024-02-01"
 
@@ -224,7 +227,23 @@ def with_views(names: list[str], body: str, views: dict[str, str] = VIEWS) -> st
     return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
 
 
+@lru_cache(maxsize=None)
+def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Temporary view over a given table, named after its folder."""
+    view_name = re.sub(r"\W", "_", f"{name}{sf_dir}")
+    spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view_name)
+    return view_name
+
+
+@lru_cache(maxsize=None)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the tables of a folder."""
     text = with_views([name], f"SELECT * FROM {name}")
-    return spark.sql(re.sub(r"@(\w+)@", rf"parquet.`{sf_dir}/\1.parquet`", text))
+    return spark.sql(re.sub(r"@(\w+)@", lambda m: _table(spark, sf_dir, m[1]), text))
+
+
+@lru_cache(maxsize=None)
+def staged_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same as a written table of several files, as inputs are in real use."""
+    cores = spark.sparkContext.defaultParallelism
+    return stage(view(spark, sf_dir, name).repartition(cores), name)

@@ -668,10 +668,11 @@ UNION ALL SELECT *, {_NODE} FROM o_tree WHERE contains(lower({_BASE}), 'p77')"""
                    " WHERE tier <> 'low'",
     # One micro-batch: only days that the watermark (latest event less one day) has passed.
     "churn_stream": """
-SELECT 'r' AS repo_id, event_type AS path, date_trunc('day', ts) AS day, count(*) AS commits
-FROM events GROUP BY ALL
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY
-  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""",
+SELECT 'r' AS repo_id, path, day, count(*) AS commits
+FROM (SELECT event_type AS path, date_trunc('day', ts) AS day FROM events)
+WHERE day + INTERVAL 1 DAY
+  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
+GROUP BY path, day""",
     "pr_stream": f"""
 SELECT repo_id, pr_number, files_changed, heat_score, tier, blocked, signals
 FROM ({_pr_risk("o_plain", files="o_numstat")})""",
