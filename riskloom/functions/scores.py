@@ -109,10 +109,16 @@ def tier_of(score: Column, thresholds: TierThresholds) -> Column:
     return F.element_at(by_score, F.greatest(F.lit(0), F.least(F.lit(100), score)) + 1)
 
 
+_COLDEST_FIRST = ",".join(sorted(TIERS, key=TIER_RANK.__getitem__))
+
+
 def tier_rank(tier: Column) -> Column:
     """4 for critical down to 1 for low; 0 for anything else."""
-    coldest_first = sorted(TIERS, key=TIER_RANK.__getitem__)
-    return F.array_position(F.split(F.lit(",".join(coldest_first)), ","), tier).cast("int")
+    return F.array_position(F.split(F.lit(_COLDEST_FIRST), ","), tier).cast("int")
+
+
+def tier_of_rank(rank: Column) -> Column:
+    return F.try_element_at(F.split(F.lit(_COLDEST_FIRST), ","), rank)
 
 
 def tier_label(tier: Column) -> Column:

@@ -11,10 +11,10 @@ The work is bounded by the path lengths, not by files times imports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import spread_join, top_k
+from riskloom.operators.skew import spread_join
 
 # File names an import may stand for, in the order they are tried.
 EXACT_ENDINGS = (".py", ".go", ".ts", ".js", "/__init__.py")
@@ -36,14 +36,19 @@ def exact_targets(files: DataFrame) -> DataFrame:
         stem = F.substring(path, F.lit(1), F.length(path) - len(ending))
         fits = F.endswith(path, F.lit(ending)) & (F.length(path) > len(ending))
         names.append(F.when(fits, F.struct(stem.alias("imp"), F.lit(rank).alias("rank"))))
-        if rank == len(EXACT_ENDINGS) - 1:
-            # A package may also be named relative to the root.
-            dotted = F.concat(F.lit("./"), stem).alias("imp")
-            names.append(F.when(fits, F.struct(dotted, F.lit(rank + 1).alias("rank"))))
+    # A package may also be named relative to the root.
+    dotted = F.concat(F.lit("./"), stem).alias("imp")
+    names.append(F.when(fits, F.struct(dotted, F.lit(len(EXACT_ENDINGS)).alias("rank"))))
+    # The name and the rank give the path back, so only a number is aggregated.
+    endings = F.array(*[F.lit(e) for e in (*EXACT_ENDINGS, EXACT_ENDINGS[-1])])
+    named = F.when(F.col("rank") < len(EXACT_ENDINGS), F.col("imp")) \
+        .otherwise(F.substring("imp", 3, 1 << 30))
     return (
-        files.select("repo_id", "path", F.inline(F.array_compact(F.array(*names))))
-        .groupBy(*_IMPORT)
-        .agg(F.min_by("path", "rank").alias("exact_path"))
+        files.select("repo_id", F.explode(F.array_compact(F.array(*names))).alias("target"))
+        .groupBy("repo_id", F.col("target.imp").alias("imp"))
+        .agg(F.min("target.rank").alias("rank"))
+        .select(*_IMPORT, F.concat(named, F.element_at(endings, F.col("rank") + 1))
+                .alias("exact_path"))
     )
 
 
@@ -58,32 +63,31 @@ def _listed_substrings(files: DataFrame, imports: DataFrame) -> DataFrame:
         imports.select("repo_id", lead.alias("begin")).distinct()
         .groupBy("repo_id").agg(F.collect_list("begin").alias("begins"))
     )
-    path = F.col("path")
-    found = F.filter("begins", lambda b: F.contains(path, b["lead"]) & (b["n"] <= F.length(path)))
-    substrings = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.length(path) - F.col("n") + 1),
-            lambda at: F.substring(path, at, F.col("n")),
-        ),
-        lambda part: F.startswith(part, F.col("lead")),
-    )
+    path, n = F.col("path"), F.col("n")
+    # Exploded in generated code; array lambdas over the same positions run interpreted.
     return (
-        spread_join(files, leads, ["repo_id"], ["path"])
-        .select("repo_id", "path", F.inline(found))
-        .select("repo_id", F.explode(F.array_distinct(substrings)).alias("imp"), "path")
+        spread_join(files, leads, ["repo_id"], ["path"], fan_out=16)
+        .select("repo_id", "path", F.inline("begins"))
+        .filter(F.contains(path, "lead") & (n <= F.length(path)))
+        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length(path) - n + 1)))
+        .select("repo_id", F.substring(path, F.col("at"), n).alias("imp"), "path", "lead")
+        .filter(F.startswith("imp", "lead"))
+        .drop("lead")
     )
 
 
 def loose_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     """The first two paths, in name order, that contain each import.
 
-    Two are enough: an importer that is itself the first is given the second. The limit
-    cuts every map task's rows before they are shuffled. Some substrings that are no
-    import are still among the rows; the join with the imports, on the same
-    partitioning, drops them.
+    Two are enough: an importer that is itself the first is given the second. The rank is
+    dense because a path may hold a substring twice; its limit cuts every map task's rows
+    before they are shuffled. Some substrings that are no import are still among the
+    rows; the join with the imports, on the same partitioning, drops them.
     """
+    by_name = Window.partitionBy(*_IMPORT).orderBy("path")
     return (
-        top_k(_listed_substrings(files, imports), _IMPORT, [F.col("path")], 2)
+        _listed_substrings(files, imports)
+        .withColumn("rank", F.dense_rank().over(by_name)).filter(F.col("rank") <= 2)
         .groupBy(*_IMPORT)
         .agg(
             F.min("path").alias("loose_path"),

@@ -22,9 +22,13 @@ def exploded(files: DataFrame) -> DataFrame:
 
 
 def _hottest_tier(score: str, tier: str = "tier") -> Column:
-    """Tier of the hottest row (first path on ties); low when nothing has heat."""
-    first = F.max_by(tier, F.struct(F.col(score), scores.tier_rank(F.col(tier))))
-    return F.when(F.max(score) > 0, first).otherwise("low")
+    """Tier of the hottest row (the higher tier on ties); low when nothing has heat.
+
+    Score and tier rank are packed in one number, which aggregates without sorting.
+    """
+    packed = F.max(F.col(score) * 8 + scores.tier_rank(F.col(tier)))
+    return F.when(F.max(score) > 0, scores.tier_of_rank(F.pmod(packed, F.lit(8)))) \
+        .otherwise("low")
 
 
 def dir_rollup(heat: DataFrame) -> DataFrame:

@@ -15,19 +15,21 @@ def spread_join(
     on: list[str],
     spread_on: list[str],
     how: str = "inner",
-    fan_out: int = 32,
+    fan_out: int = 64,
 ) -> DataFrame:
     """Join many rows of ``large`` to one row per key of ``small``.
 
     Each key of ``large`` is split over ``fan_out`` tasks by a hash of ``spread_on``;
-    ``small`` (one narrow row per key) is repeated once per split. A repository with a
-    third of all rows is then joined by ``fan_out`` tasks.
+    ``small`` (one row per key) is repeated once per split. A repository with a third of
+    all rows is then joined by ``fan_out`` tasks, and adaptive execution can split those
+    further. The hint builds the hash table from ``small`` and keeps a large side that
+    is merely estimated to be small from being broadcast.
     """
     salt = F.pmod(F.xxhash64(*spread_on), F.lit(fan_out)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1)))
     return (
         large.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", salts), [*on, "_salt"], how)
+        .join(small.withColumn("_salt", salts).hint("shuffle_hash"), [*on, "_salt"], how)
         .drop("_salt")
     )
 
