@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from riskloom.operators.sources import analysable
 from riskloom.settings import Settings
 
 _FAIL = {"multiLine": True, "mode": "FAILFAST"}
+_LISTED = pa.schema([(name, pa.string()) for name in ("repo_id", "root", "path")])
+_FILES = pa.schema([(name, pa.string()) for name in ("repo_id", "path", "content")])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,31 +42,34 @@ def read_source_tree(
     """
     skipped = re.compile(paths.excluded_dir_regex(settings.exclude))
 
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo_id, root in zip(batch["repo_id"], batch["root"]):
-                for folder, dirs, names in os.walk(root):
+            for row in batch.to_pylist():
+                for folder, dirs, names in os.walk(row["root"]):
                     dirs[:] = sorted(d for d in dirs if not skipped.search(d + "/"))
-                    rel = os.path.relpath(folder, root)
+                    rel = os.path.relpath(folder, row["root"])
                     prefix = "" if rel == "." else rel.replace(os.sep, "/") + "/"
-                    yield pd.DataFrame({
-                        "repo_id": repo_id, "root": root,
-                        "path": [prefix + n for n in names],
-                    })
+                    yield pa.RecordBatch.from_pydict({
+                        "repo_id": [row["repo_id"]] * len(names),
+                        "root": [row["root"]] * len(names),
+                        "path": [prefix + name for name in names],
+                    }, _LISTED)
 
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo_id, root, path in zip(batch["repo_id"], batch["root"], batch["path"]):
-                with open(os.path.join(root, path), "rb") as handle:
+            for row in batch.to_pylist():
+                with open(os.path.join(row["root"], row["path"]), "rb") as handle:
                     text = handle.read().decode("utf-8", errors="replace")
-                yield pd.DataFrame({"repo_id": [repo_id], "path": [path], "content": [text]})
+                yield pa.RecordBatch.from_pydict({
+                    "repo_id": [row["repo_id"]], "path": [row["path"]], "content": [text],
+                }, _FILES)
 
     repos = spark.createDataFrame(list(roots.items()), "repo_id string, root string")
     listed = repos.repartition(tasks, "repo_id") \
-        .mapInPandas(listing, "repo_id string, root string, path string")
+        .mapInArrow(listing, "repo_id string, root string, path string")
     wanted = analysable(listed, settings).select("repo_id", "root", "path")
     return wanted.repartition(tasks, "repo_id", "path") \
-        .mapInPandas(contents, schemas.SOURCE_FILES)
+        .mapInArrow(contents, schemas.SOURCE_FILES)
 
 
 def _or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
