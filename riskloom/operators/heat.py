@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import paths, scores
 from riskloom.operators.assessments import ASSESSMENT_COLUMNS, blast_columns
+from riskloom.operators.skew import join_hot
 from riskloom.schemas import IMPACTS, RECENT_CHANGES
 from riskloom.settings import SEVERITY_POINTS, TIERS, ReviewRule, Settings
 
@@ -50,7 +51,8 @@ def score_files(
 
     ``history``, ``incidents`` and ``centrality`` are the per-file rollups. They share
     the key (repo_id, path) with one row each, so the left joins below use a single
-    hash partitioning of the files. ``assessments`` is keyed by ``content_hash``.
+    hash partitioning of the files. ``assessments`` is keyed by ``content_hash``, which
+    very many files can share (empty files, copied licenses), hence the split join.
     Coverage defaults to 50 percent. An annotation's override replaces the tier.
     """
     files = metrics.drop("imports")
@@ -60,7 +62,7 @@ def score_files(
             {"blast_radius_summary": F.lit(""), "critical_reason": F.lit("")})
     else:
         found = assessments.select(*ASSESSMENT_COLUMNS, F.lit(True).alias("assessed"))
-        files = files.join(found, "content_hash", "left").withColumn(
+        files = join_hot(files, found, ["content_hash"], ["path"]).withColumn(
             "assessed",
             F.coalesce("assessed", F.lit(False)) & paths.is_assessable(F.col("path")))
         keep = [*IMPACTS, "blast_radius_summary", "critical_reason"]

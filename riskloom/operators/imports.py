@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import spread_join
+from riskloom.operators.skew import join_hot, spread_join
 
 # File names an import may stand for, in the order they are tried.
 EXACT_ENDINGS = (".py", ".go", ".ts", ".js", "/__init__.py")
@@ -113,9 +113,9 @@ def import_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
     resolved = resolve_imports(files, distinct_imports(refs)).drop("refs")
     other = F.when(F.col("loose_path") != F.col("imported_by"), F.col("loose_path")) \
         .otherwise(F.col("loose_next"))
+    refs = refs.withColumnRenamed("path", "imported_by")
     return (
-        refs.withColumnRenamed("path", "imported_by")
-        .join(resolved, _IMPORT)
+        join_hot(refs, resolved, _IMPORT, ["imported_by"], "inner")
         .select(
             "repo_id", "imported_by", "imp",
             F.inline(F.array_compact(F.array(

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scores
 from riskloom.operators.history import instant
-from riskloom.operators.skew import spread_join
 from riskloom.settings import SEVERITY_POINTS, Settings
 
+# Copies of one incident row that are numbered by one row of a block.
+_COPY_BLOCK = 10_000
+
 
 def incident_rollup(
     incidents: DataFrame, as_of: str, settings: Settings = Settings()
@@ -72,27 +74,43 @@ def number_incidents(accepted: DataFrame, existing: DataFrame) -> DataFrame:
     """Give accepted incidents ids that continue each repository's numbering.
 
     Rows are ordered by date, then by a digest of the row. Numbers come from counts:
-    rows are counted per repository, date and digest prefix, running totals over those
-    counts give each such slice its first number, and only a slice is ranked as rows.
+    equal rows are counted into one before they are shuffled, running totals over the
+    counts per repository, date and digest prefix give each such slice its first number,
+    and only the different rows of one slice are ranked together. Copies are written out
+    again at the end, in blocks that are spread over the tasks.
     """
     columns = ["file", "date", "severity", "description"]
-    digest = F.md5(F.concat_ws("\x1f", "file", "severity", "description"))
-    rows = accepted.select("repo_id", *columns).withColumn("digest", digest) \
-        .withColumn("slice", F.substring("digest", 1, 2))
     slices = ["repo_id", "date", "slice"]
-    before = Window.partitionBy("repo_id").orderBy("date", "slice") \
+    digest = F.md5(F.concat_ws("\x1f", "file", "severity", "description"))
+    rows = (
+        accepted.groupBy("repo_id", *columns).agg(F.count("*").alias("copies"))
+        .withColumn("digest", digest).withColumn("slice", F.substring("digest", 1, 2))
+    )
+    earlier = Window.partitionBy("repo_id").orderBy("date", "slice") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*slices).orderBy("digest") \
         .rowsBetween(Window.unboundedPreceding, -1)
     taken = existing.groupBy("repo_id").agg(F.count("*").alias("taken"))
     starts = (
-        rows.groupBy(*slices).agg(F.count("*").alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        rows.groupBy(*slices).agg(F.sum("copies").alias("n"))
+        .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(taken, "repo_id", "left")
         .select(*slices, (F.col("start") + F.coalesce("taken", F.lit(0))).alias("start"))
     )
-    in_slice = F.row_number().over(Window.partitionBy(*slices).orderBy("digest"))
-    number = F.col("start") + F.col("in_slice")
+    first = F.col("start") + F.coalesce("in_slice", F.lit(0)) + 1
+    block = F.lit(_COPY_BLOCK)
+    from_copy = F.col("block") * block
+    to_copy = F.least(F.col("copies"), from_copy + block) - 1
+    number = F.col("first") + F.col("copy")
     return (
-        rows.withColumn("in_slice", in_slice).join(starts, slices)
+        rows.withColumn("in_slice", F.sum("copies").over(above)).join(starts, slices)
+        .select(
+            "repo_id", *columns, "copies", first.alias("first"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                 F.floor((F.col("copies") - 1) / block))).alias("block"),
+        )
+        .repartition("repo_id", *columns, "block")
+        .withColumn("copy", F.explode(F.sequence(from_copy, to_copy)))
         .select(
             "repo_id",
             F.format_string("INC-%s-%03d", F.date_format("date", "yyyy"), number).alias("id"),
@@ -112,8 +130,3 @@ def listed(incidents: DataFrame) -> DataFrame:
 
 def counts(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("repo_id").agg(F.count("*").alias("incidents"))
-
-
-def with_repo_counts(df: DataFrame, per_repo: DataFrame) -> DataFrame:
-    """Attach one-row-per-repository columns to many rows per repository."""
-    return spread_join(df, per_repo, ["repo_id"], ["path"], how="left")

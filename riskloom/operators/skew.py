@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Spark limits a ranked window before its shuffle only up to this many rows a group.
 _MAP_SIDE_LIMIT = 1000
 
+# Most keys that are looked at as hot ones, and most parts one of them is split into.
+_HOT_KEYS = 500
+_MOST_PARTS = 4096
+
 
 def spread_join(
     large: DataFrame,
@@ -34,6 +38,46 @@ def spread_join(
     )
 
 
+def join_hot(
+    large: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    spread_on: list[str],
+    how: str = "left",
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """Join many rows of ``large`` to one row per key of a ``small`` that is large itself.
+
+    Only keys with more than ``hot_rows`` rows are split, each into as many parts as it
+    needs, and only their rows of ``small`` are repeated. They are found by a sketch of
+    the most frequent keys, which scans the keys of ``large`` once. The sketch returns at
+    most ``_HOT_KEYS`` keys whatever the data, so that list is safe to broadcast; its
+    errors change which keys are split, never the result.
+    """
+    key = F.xxhash64(*on).alias("_key")
+    top = F.expr(f"approx_top_k(_key, {_HOT_KEYS}, {20 * _HOT_KEYS})")
+    parts = F.least(F.lit(_MOST_PARTS), F.ceil(F.col("count") / hot_rows)).cast("int")
+    hot = (
+        large.select(key).agg(top.alias("top")).select(F.inline("top"))
+        .select(F.col("item").alias("_key"), parts.alias("_parts"))
+        .filter(F.col("_parts") > 1)
+    )
+    part = F.coalesce(F.pmod(F.xxhash64(*spread_on), F.col("_parts")).cast("int"), F.lit(0))
+    every_part = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64(*on)).join(F.broadcast(hot), "_key", "left")
+
+    return (
+        marked(large).withColumn("_part", part).drop("_key", "_parts")
+        .join(
+            marked(small).withColumn("_part", F.explode(every_part)).drop("_key", "_parts"),
+            [*on, "_part"], how,
+        )
+        .drop("_part")
+    )
+
+
 def top_k(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
     spread_on: list[str] | None = None, fan_out: int = 64,

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from riskloom.operators import imports
+from riskloom.operators.skew import join_hot, spread_join
 from riskloom.operators.dependencies import dependency_heat
 
 FILES = "repo_id string, path string"
@@ -99,3 +100,21 @@ def test_plan_has_no_pairwise_join(spark):
     r = spark.createDataFrame([("r", "a.py", "x")], REFS)
     plan = imports.import_edges(f, r)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_join_hot_splits_only_hot_keys(spark):
+    rows = [("hot", i) for i in range(5000)] + [(f"k{i % 50}", i) for i in range(200)] + [("none", 1)]
+    large = spark.createDataFrame(rows, "k string, i int")
+    small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(50)], "k string, v int")
+    plain = sorted(large.join(small, "k", "left").collect(), key=str)
+    split = join_hot(large, small, ["k"], ["i"], hot_rows=100)
+    assert sorted(split.select("k", "i", "v").collect(), key=str) == plain
+    inner = join_hot(large, small, ["k"], ["i"], "inner", hot_rows=100)
+    assert inner.count() == 5200
+
+
+def test_spread_join(spark):
+    large = spark.createDataFrame([("a", i) for i in range(100)] + [("z", 0)], "k string, i int")
+    small = spark.createDataFrame([("a", 7)], "k string, v int")
+    assert spread_join(large, small, ["k"], ["i"], "left").count() == 101
+    assert spread_join(large, small, ["k"], ["i"]).filter("v = 7").count() == 100

@@ -336,10 +336,10 @@ WHERE starts_with(imp, '.') OR NOT contains(imp, '/')""",
     "o_doc_centrality": _centrality("o_doc_edges"),
     "o_assessments": """
 SELECT content_hash,
-  CASE c % 5 WHEN 3 THEN 100 ELSE (c * 7) % 101 END AS security_impact,
-  CASE c % 5 WHEN 3 THEN 0 ELSE (c * 13) % 101 END AS data_impact,
-  CASE c % 5 WHEN 3 THEN 50 ELSE (c * 29) % 101 END AS availability_impact,
-  CASE c % 5 WHEN 3 THEN 7 ELSE (c * 31) % 101 END AS user_impact,
+  CAST(CASE c % 5 WHEN 3 THEN 100 ELSE (c * 7) % 101 END AS INTEGER) AS security_impact,
+  CAST(CASE c % 5 WHEN 3 THEN 0 ELSE (c * 13) % 101 END AS INTEGER) AS data_impact,
+  CAST(CASE c % 5 WHEN 3 THEN 50 ELSE (c * 29) % 101 END AS INTEGER) AS availability_impact,
+  CAST(CASE c % 5 WHEN 3 THEN 7 ELSE (c * 31) % 101 END AS INTEGER) AS user_impact,
   CASE c % 5 WHEN 3 THEN '' ELSE 's' || c END AS blast_radius_summary, '' AS critical_reason
 FROM (SELECT content_hash, CAST(substr(content_hash, 2) AS BIGINT) AS c FROM fx_responses)
 WHERE c % 5 <> 4""",
@@ -364,7 +364,7 @@ SELECT * FROM (SELECT *, unnest(list_transform(generate_series(1, len(string_spl
 }
 
 _PARENT = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END"
-_NODE = f"{_PARENT} AS parent, {_BASE} AS name, len(string_split(path, '/')) AS depth"
+_NODE = f"{_PARENT} AS parent, {_BASE} AS name, CAST(len(string_split(path, '/')) AS INTEGER) AS depth"
 _REASON = "CASE WHEN assessed AND summary <> '' THEN summary ELSE '' END AS reason"
 _HEAT_ORDER = "heat_score DESC, path"
 _TIERS = ", ".join(
@@ -452,7 +452,8 @@ SELECT repo_id, path, language, CAST({_LINES} AS BIGINT) AS lines,
   CAST(strlen(content) AS BIGINT) AS bytes, {_PARENT} AS dir, {_BASE} AS name,
   array_to_string(string_split(path, '/')[1:2], '/') AS module FROM o_files""",
     "language_counts": "SELECT repo_id, language, count(*) AS files FROM o_files GROUP BY ALL",
-    "repo_totals": "SELECT repo_id, count(*) AS total_files, count(DISTINCT language) AS languages"
+    "repo_totals": "SELECT repo_id, count(*) AS total_files,"
+                   " CAST(count(DISTINCT language) AS INTEGER) AS languages"
                    " FROM o_files GROUP BY repo_id",
     "test_files": f"SELECT repo_id, path, {_IS_TEST} AS is_test FROM fx_source_files",
     "assessable_files": f"SELECT repo_id, path FROM o_files WHERE NOT {_NOT_ASSESSED}",
@@ -493,7 +494,7 @@ FROM fx_commit_files""",
     "incidents_by_file":
         "SELECT repo_id, file, count(*) AS incidents FROM fx_incidents GROUP BY ALL",
     "incidents_of_one_file":
-        "SELECT * FROM fx_incidents WHERE repo_id = 'r1' AND file = 'src/api/p1.go'",
+        "SELECT * FROM fx_incidents WHERE repo_id = 'r1' AND file = 'src/core/p30.rs'",
     "incident_counts": "SELECT repo_id, count(*) AS incidents FROM fx_incidents GROUP BY repo_id",
     "incident_append": f"""
 SELECT repo_id, printf('INC-%d-%03d', year(date), row_number() OVER (PARTITION BY repo_id ORDER BY
@@ -588,7 +589,7 @@ ORDER BY path LIMIT 5""",
     "dashboard_stats": f"""
 SELECT repo_id, total, critical, high, medium, low, languages, go_files, repo_path, commit_sha,
   branch
-FROM (SELECT repo_id, count(*) AS total, {_TIERS}, count(DISTINCT language) AS languages,
+FROM (SELECT repo_id, count(*) AS total, {_TIERS}, CAST(count(DISTINCT language) AS INTEGER) AS languages,
         count(*) FILTER (WHERE language = 'Go') AS go_files FROM o_heat GROUP BY repo_id)
 LEFT JOIN fx_runs USING (repo_id)""",
     "numstat": _NUMSTAT,

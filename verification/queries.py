@@ -227,7 +227,7 @@ def incidents_by_file(spark, d):
 
 @query
 def incidents_of_one_file(spark, d):
-    return plain(incidents.for_file(Inputs(spark, d).incidents, "r1", "src/api/p1.go"))
+    return plain(incidents.for_file(Inputs(spark, d).incidents, "r1", "src/core/p30.rs"))
 
 
 @query
