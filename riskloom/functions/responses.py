@@ -60,12 +60,15 @@ def clamp(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(value, F.lit(0)))).cast("int")
 
 
-def assessment_columns(json: Column) -> dict[str, Column]:
-    """Clamped impacts and texts of a valid JSON text; missing fields are zero."""
-    body = F.from_json(json, ASSESSMENT_BODY)
-    out = {name: clamp(body[name]) for name in IMPACTS}
+def assessment_body(json: Column) -> Column:
+    return F.from_json(json, ASSESSMENT_BODY)
+
+
+def assessment_columns(body: str) -> dict[str, Column]:
+    """Clamped impacts and texts of the struct column ``body``; missing fields are zero."""
+    out = {name: clamp(F.col(f"{body}.{name}")) for name in IMPACTS}
     for name in ("blast_radius_summary", "critical_reason"):
-        out[name] = F.coalesce(body[name], F.lit(""))
+        out[name] = F.coalesce(F.col(f"{body}.{name}"), F.lit(""))
     return out
 
 

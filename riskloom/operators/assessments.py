@@ -77,11 +77,14 @@ def unwrap_chat(raw: DataFrame) -> DataFrame:
 
 def parse_responses(answers: DataFrame) -> DataFrame:
     """Responses with their assessment columns and whether they could be read."""
-    parsed = answers.withColumn("json", responses.assessment_json(F.col("text")))
-    columns = responses.assessment_columns(F.col("json"))
-    return parsed.select(
-        "content_hash", "text", F.col("json").isNotNull().alias("accepted"),
-        *[value.alias(name) for name, value in columns.items()],
+    # The struct is a column of its own, so that its fields share one parse.
+    json = responses.assessment_json(F.col("text"))
+    return (
+        answers.select("content_hash", "text", responses.assessment_body(json).alias("body"))
+        .select(
+            "content_hash", "text", F.col("body").isNotNull().alias("accepted"),
+            *[v.alias(name) for name, v in responses.assessment_columns("body").items()],
+        )
     )
 
 

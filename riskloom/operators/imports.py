@@ -66,7 +66,7 @@ def _listed_substrings(files: DataFrame, imports: DataFrame) -> DataFrame:
     path, n = F.col("path"), F.col("n")
     # Exploded in generated code; array lambdas over the same positions run interpreted.
     return (
-        spread_join(files, leads, ["repo_id"], ["path"], fan_out=16)
+        spread_join(files, leads, ["repo_id"], ["path"], fan_out=16, grows=True)
         .select("repo_id", "path", F.inline("begins"))
         .filter(F.contains(path, "lead") & (n <= F.length(path)))
         .withColumn("at", F.explode(F.sequence(F.lit(1), F.length(path) - n + 1)))

@@ -20,6 +20,7 @@ def spread_join(
     spread_on: list[str],
     how: str = "inner",
     fan_out: int = 64,
+    grows: bool = False,
 ) -> DataFrame:
     """Join many rows of ``large`` to one row per key of ``small``.
 
@@ -27,13 +28,20 @@ def spread_join(
     ``small`` (one row per key) is repeated once per split. A repository with a third of
     all rows is then joined by ``fan_out`` tasks, and adaptive execution can split those
     further. The hint builds the hash table from ``small`` and keeps a large side that
-    is merely estimated to be small from being broadcast.
+    is merely estimated to be small from being broadcast. Set ``grows`` when a joined row
+    becomes many: all shuffle partitions are then kept, where adaptive execution would
+    merge them by their size before the growth.
     """
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(fan_out)).cast("int")
+    # Known not to be null, or the join would filter on it and ``large`` could not share a
+    # shuffle with a ``small`` that is aggregated from it.
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_on), F.lit(fan_out)).cast("int"), F.lit(0))
     salts = F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1)))
+    large = large.withColumn("_salt", salt)
+    if grows:
+        partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        large = large.repartition(partitions, *on, "_salt")
     return (
-        large.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", salts).hint("shuffle_hash"), [*on, "_salt"], how)
+        large.join(small.withColumn("_salt", salts).hint("shuffle_hash"), [*on, "_salt"], how)
         .drop("_salt")
     )
 
