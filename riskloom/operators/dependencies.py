@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from riskloom.operators.skew import join_hot
 
 
 def dependency_heat(edges: DataFrame, heat: DataFrame) -> DataFrame:
     """Import edges with the heat of importer and target.
 
-    Edges stay rows: the importers of a hot file are never gathered into one list. The
-    target's side is the skewed one, and it joins a table with one row per file.
+    Edges stay rows: the importers of a hot file are never gathered into one list. Its
+    rows are split over several tasks; give ``edges`` as a table or staged.
     """
     scored = heat.select("repo_id", "path", "heat_score")
     importer = scored.withColumnsRenamed({"path": "imported_by", "heat_score": "importer_heat"})
+    named = edges.select("repo_id", "imported_by", "path", "match")
+    with_target = join_hot(named, scored, ["repo_id", "path"], ["imported_by"])
     return (
-        edges.select("repo_id", "imported_by", "path", "match")
-        .join(importer, ["repo_id", "imported_by"], "left")
-        .join(scored, ["repo_id", "path"], "left")
-        .withColumns({
-            "heat_score": F.coalesce("heat_score", F.lit(0)),
-            "importer_heat": F.coalesce("importer_heat", F.lit(0)),
-        })
+        with_target.join(importer, ["repo_id", "imported_by"], "left")
+        .na.fill(0, ["heat_score", "importer_heat"])
     )

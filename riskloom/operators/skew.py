@@ -46,6 +46,21 @@ def spread_join(
     )
 
 
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> dict[int, int]:
+    """Hashes of the keys with more than ``hot_rows`` rows, and how many times that many.
+
+    A sketch of the most frequent keys, merged across tasks; it returns at most
+    ``_HOT_KEYS`` entries whatever the data. Runs one job over the key columns.
+    """
+    top = F.expr(f"approx_top_k(_key, {_HOT_KEYS}, {20 * _HOT_KEYS})")
+    parts = F.least(F.lit(_MOST_PARTS), F.ceil(F.col("count") / hot_rows)).cast("int")
+    found = (
+        df.select(F.xxhash64(*on).alias("_key")).agg(top.alias("top"))
+        .select(F.inline("top")).select("item", parts.alias("parts")).filter("parts > 1")
+    )
+    return {row["item"]: row["parts"] for row in found.collect()}
+
+
 def join_hot(
     large: DataFrame,
     small: DataFrame,
@@ -57,24 +72,20 @@ def join_hot(
     """Join many rows of ``large`` to one row per key of a ``small`` that is large itself.
 
     Only keys with more than ``hot_rows`` rows are split, each into as many parts as it
-    needs, and only their rows of ``small`` are repeated. They are found by a sketch of
-    the most frequent keys, which scans the keys of ``large`` once. The sketch returns at
-    most ``_HOT_KEYS`` keys whatever the data, so that list is safe to broadcast; its
-    errors change which keys are split, never the result.
+    needs, and only their rows of ``small`` are repeated. The list of hot keys is fixed
+    when the plan is built: both sides use the same one even if parts of them are
+    computed again, and an error of the sketch changes which keys are split, never the
+    result. ``large`` should be a table or staged, as its keys are scanned once more.
     """
-    key = F.xxhash64(*on).alias("_key")
-    top = F.expr(f"approx_top_k(_key, {_HOT_KEYS}, {20 * _HOT_KEYS})")
-    parts = F.least(F.lit(_MOST_PARTS), F.ceil(F.col("count") / hot_rows)).cast("int")
-    hot = (
-        large.select(key).agg(top.alias("top")).select(F.inline("top"))
-        .select(F.col("item").alias("_key"), parts.alias("_parts"))
-        .filter(F.col("_parts") > 1)
-    )
+    hot = hot_keys(large, on, hot_rows)
+    if not hot:
+        return large.join(small, on, how)
+    listed = large.sparkSession.createDataFrame(list(hot.items()), "_key bigint, _parts int")
     part = F.coalesce(F.pmod(F.xxhash64(*spread_on), F.col("_parts")).cast("int"), F.lit(0))
     every_part = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
 
     def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", F.xxhash64(*on)).join(F.broadcast(hot), "_key", "left")
+        return df.withColumn("_key", F.xxhash64(*on)).join(F.broadcast(listed), "_key", "left")
 
     return (
         marked(large).withColumn("_part", part).drop("_key", "_parts")

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 from riskloom.operators import imports
-from riskloom.operators.skew import join_hot, spread_join
+from riskloom.operators.skew import hot_keys, join_hot, spread_join
 from riskloom.operators.dependencies import dependency_heat
 
 FILES = "repo_id string, path string"
@@ -107,6 +107,8 @@ def test_join_hot_splits_only_hot_keys(spark):
     large = spark.createDataFrame(rows, "k string, i int")
     small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(50)], "k string, v int")
     plain = sorted(large.join(small, "k", "left").collect(), key=str)
+    assert sorted(hot_keys(large, ["k"], 100).values()) == [50]
+    assert hot_keys(large, ["k"], 10_000) == {}
     split = join_hot(large, small, ["k"], ["i"], hot_rows=100)
     assert sorted(split.select("k", "i", "v").collect(), key=str) == plain
     inner = join_hot(large, small, ["k"], ["i"], "inner", hot_rows=100)

@@ -18,7 +18,7 @@ from riskloom.plans.analysis import analyze, score_metrics
 from riskloom.plans.review import score_prs
 
 from riskloom.settings import BreakerLimits, Settings, TierThresholds
-from riskloom.sources.staging import new_path
+from riskloom.sources.staging import new_path, stage
 from riskloom.streaming.churn import daily_churn
 from riskloom.streaming.review import current, score_stream
 from verification.bindings import AS_OF, DOC_AS_OF, view
@@ -273,7 +273,7 @@ def centrality(spark, d):
 @query
 def dependency_heat(spark, d):
     t = Inputs(spark, d)
-    edges = imports.import_edges(t.file_metrics, t.import_refs)
+    edges = stage(imports.import_edges(t.file_metrics, t.import_refs), "edges")
     return dependencies.dependency_heat(edges, t.plain_heat())
 
 
