@@ -59,6 +59,19 @@ SELECT doc_id, item_id, CAST(max(tokens) AS BIGINT) AS overlap_tokens, CAST(max(
 FROM found GROUP BY doc_id, item_id
 """
 
+_ESCAPE = r"replace(replace(replace({x}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+
+CHAT = rf"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPE.format(x='text')}) + length(replace({_ESCAPE.format(x='role')}, ':', '\:')) + 15) AS BIGINT) AS formatted_chars
+FROM every GROUP BY conv_id
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
+    return {"op4_chat": CHAT, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
