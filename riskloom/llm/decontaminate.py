@@ -42,9 +42,12 @@ def word_hashes(text):
 
 
 def seeds(df: DataFrame) -> DataFrame:
-    """A row per mask and position ``p`` of the word hashes ``h``, which stay beside it."""
-    kept = [c for c in df.columns]
-    at = df.filter(F.size("h") >= SPAN).select(*kept, F.posexplode("h").alias("p", "word"))
+    """A row per mask and position ``p`` of the word hashes ``h``, which stay beside it.
+
+    The outer form of posexplode keeps Spark from adding a filter on the size of ``h``, for
+    which the words would be found and hashed a second time."""
+    kept = df.columns
+    at = df.select(*kept, F.posexplode_outer("h").alias("p", "word"))
     keys = [F.xxhash64(F.lit(k), *[F.get("h", F.col("p") + i) for i in mask]) for k, mask in enumerate(MASKS)]
     return at.filter(F.col("p") <= F.size("h") - SPAN).select(*kept, "p", F.explode(F.array(*keys)).alias("seed"))
 
@@ -71,10 +74,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int
     first, count = _around(F.col("p"), F.size("h"))
     lead = F.least(F.col("p") - first, F.col("item_p") - F.col("item_first"))
     tail = F.least(first + count - F.col("p"), F.col("item_first") + F.size("item_words") - F.col("item_p"))
-    hits = hits.select(
+    # As a generator: the comparison below, which is not generated code, must not be pushed
+    # into the join, or every seed would be written out with all words of its document.
+    hits = hits.select(F.inline(F.array(F.struct(
         "doc_id", "item_id", "w", (F.col("p") - F.col("item_p")).alias("diagonal"), (F.col("item_p") - lead).alias("begin"),
         F.slice("h", F.col("p") - lead + 1, lead + tail).alias("a"),
-        F.slice("item_words", F.col("item_p") - F.col("item_first") - lead + 1, lead + tail).alias("b"))
+        F.slice("item_words", F.col("item_p") - F.col("item_first") - lead + 1, lead + tail).alias("b")))))
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
     needed = F.col("w") - F.when(F.col("w") == WINDOW, TOLERANCE).otherwise(0)
     windows = F.get(F.transform(F.array(equal), lambda e: F.filter(
