@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,84 @@ def powers(base: int, n: int) -> np.ndarray:
     out[:1] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(out)
+
+
+class Buckets:
+    """Entries dealt to buckets by number, to leave a task as one row of packed arrays for
+    each bucket; ``limit`` entries are held at most before a flush."""
+
+    def __init__(self, n: int, names: list[str], limit: int = 1_000_000):
+        self.n, self.names, self.limit, self.held, self.size = n, names, limit, [], 0
+
+    def add(self, bucket: np.ndarray, *arrays: np.ndarray) -> None:
+        self.held.append((bucket, *arrays))
+        self.size += len(bucket)
+
+    def flush(self, least: int = 1):
+        """The record batches of what is held, if that is at least ``least`` entries."""
+        if self.size < least:
+            return
+        bucket, *arrays = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.r_[cuts[1:], len(bucket)]
+        columns = [pa.array(bucket[cuts].astype(np.int32))]
+        for a in arrays:
+            a = a[order]
+            columns.append(pa.array([a[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", *self.names])
+
+
+def unpacked(blobs, kind) -> np.ndarray:
+    """The arrays of a binary column, one behind the other."""
+    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in blobs] or [np.zeros(0, kind)])
+
+
+FILTER_WORDS = 1 << 17
+
+
+def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.astype(np.uint64))
+    return (h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1), np.uint64(1) << (h & np.uint64(63))
+
+
+def id_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size, 1 MB, that holds all values of a long column. It lets too much
+    through when there are very many, so it only ever saves work before an exact join."""
+
+    def local(batches):
+        bits = np.zeros(FILTER_WORDS, np.uint64)
+        for b in batches:
+            word, bit = _slots(b[0].to_numpy(zero_copy_only=False).view(np.int64))
+            np.bitwise_or.at(bits, word, bit)
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["word", "bits"])
+
+    words = df.select(column).dropna().mapInArrow(local, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    word, bit = _slots(ids)
+    return (bits[word] & bit) != 0
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node of every component of undirected edges (a, b) of longs.
+
+    Labels fall to the least label of a neighbour and then jump to their label's label;
+    every round is written, and rounds end when no label changes."""
+    both = written(edges.filter("a <> b").select("a", "b").unionAll(edges.filter("a <> b").select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = written(least.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        if after.filter("label <> old").isEmpty():
+            return after.select("node", "label")
+        labels = after.select("node", "label")

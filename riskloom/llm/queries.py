@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, language, packing, quality, secret_scan, url_filter
+from riskloom.llm import chat, decontaminate, language, ngram_join, packing, quality, secret_scan, url_filter
 from riskloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = language.identify(documents.select("doc_id", "text"), language.fit(documents), keep_text=False)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
