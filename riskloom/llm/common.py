@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +62,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 class Buckets:
     """Entries dealt to buckets by number, to leave a task as one row of packed arrays for
-    each bucket; ``limit`` entries are held at most before a flush."""
+    each bucket; ``limit`` entries are held at most before a flush. The column ``runs`` is
+    kept as its runs of equal values, with a further column of their lengths; ``packed``
+    compresses the arrays."""
 
-    def __init__(self, n: int, names: list[str], limit: int = 1_000_000):
-        self.n, self.names, self.limit, self.held, self.size = n, names, limit, [], 0
+    def __init__(self, n: int, names: list[str], limit: int = 1_000_000, runs: str = "", packed: bool = False):
+        self.n, self.names, self.limit, self.held, self.size, self.runs = n, names, limit, [], 0, runs
+        self.pack = zstandard.ZstdCompressor(level=1).compress if packed else bytes
 
     def add(self, bucket: np.ndarray, *arrays: np.ndarray) -> None:
         self.held.append((bucket, *arrays))
@@ -80,16 +84,26 @@ class Buckets:
         bucket = bucket[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
         ends = np.r_[cuts[1:], len(bucket)]
-        columns = [pa.array(bucket[cuts].astype(np.int32))]
-        for a in arrays:
-            a = a[order]
-            columns.append(pa.array([a[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", *self.names])
-
-
-def unpacked(blobs, kind) -> np.ndarray:
+        columns, names = [pa.array(bucket[cuts].astype(np.int32))], ["bucket"]
+        for name, a in zip(self.names, arrays):
+            parts = [a[order[i:j]] for i, j in zip(cuts, ends)]
+            lengths = None
+            if name == self.runs:
+                heads = [np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) for p in parts]
+                lengths = [np.diff(np.r_[h, len(p)]).astype(np.uint32) for h, p in zip(heads, parts)]
+                parts = [p[h] for h, p in zip(heads, parts)]
+            columns.append(pa.array([self.pack(p.tobytes()) for p in parts], pa.binary()))
+            names.append(name)
+            if lengths is not None:
+                columns.append(pa.array([self.pack(x.tobytes()) for x in lengths], pa.binary()))
+                names.append(f"{name}_runs")
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def unpacked(blobs, kind, packed: bool = False) -> np.ndarray:
     """The arrays of a binary column, one behind the other."""
-    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in blobs] or [np.zeros(0, kind)])
+    read = zstandard.ZstdDecompressor().decompress if packed else memoryview
+    return np.concatenate([np.frombuffer(read(b.as_buffer()), kind) for b in blobs] or [np.zeros(0, kind)])
 
 
 FILTER_WORDS = 1 << 17

@@ -23,7 +23,7 @@ rows that share a doc_id are answered each by its own text; a null doc_id is cou
 component); an empty table gives an empty result; other columns are not read.
 
 Scale: nothing is collected but the sketch (65,536 counts) and a filter of 1 MB, both of
-fixed size. Shingles in sketch cells above ``hot`` are not listed in one place: their least
+fixed size. Shingles in sketch cells above ``hot`` and twice the mean are not listed in one place: their least
 member is found by a partial aggregate and joined back by Spark, which splits skewed keys.
 Groups above ``members`` sets or ``shingles`` hashes are cut into blocks that share a few
 bridging sets; what then lies outside a group's largest component is compared, in blocks,
@@ -142,7 +142,7 @@ def _first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]]
 
 
-def _listed(documents: DataFrame, sketch: np.ndarray, hot: int, n_buckets: int) -> DataFrame:
+def _listed(documents: DataFrame, sketch: np.ndarray, hot: np.ndarray, n_buckets: int) -> DataFrame:
     """node, group: the groups that each set is sent to, if it shares a list at all."""
 
     def entries(batches):
@@ -155,7 +155,7 @@ def _listed(documents: DataFrame, sketch: np.ndarray, hot: int, n_buckets: int)
                 if len(seen) > 2_000_000:  # only saves repeated entries
                     seen.clear()
                 p = _first(s, sketch)
-                p = p[sketch[(p >> np.uint64(48)).astype(np.int64)] <= hot]
+                p = p[~hot[(p >> np.uint64(48)).astype(np.int64)]]
                 out.add(((p >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32), p, np.full(len(p), key, np.int64))
                 yield from out.flush(out.limit)
         yield from out.flush()
@@ -174,13 +174,13 @@ def _listed(documents: DataFrame, sketch: np.ndarray, hot: int, n_buckets: int)
 
     found = documents.select("text").mapInArrow(entries, "bucket int, shingle binary, node binary").groupBy("bucket").applyInArrow(
         lists, "node long, group long")
-    if (sketch > hot).any():
+    if hot.any():
 
         def hot_entries(batches):
             for batch in batches:
                 for s in shingle_sets(_texts(batch)):
                     p = _first(s, sketch) if len(s) else s
-                    p = p[sketch[(p >> np.uint64(48)).astype(np.int64)] > hot]
+                    p = p[hot[(p >> np.uint64(48)).astype(np.int64)]]
                     yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), set_key(s) if len(p) else 0, np.int64))], ["shingle", "node"])
 
         rows = documents.select("text").mapInArrow(hot_entries, "shingle long, node long").distinct()
@@ -312,7 +312,7 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
     sketch = np.zeros(CELLS, np.int64)
     sketch[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     n_buckets = int(max(4 * partitions(spark), sketch.sum() // 1_000_000))
-    listed = written(_listed(documents, sketch, hot, n_buckets), "listed")
+    listed = written(_listed(documents, sketch, sketch > hot + 2 * sketch.mean(), n_buckets), "listed")
     wanted = id_filter(listed, "node")
 
     def ship(batches):
