@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, language, ngram_join, packing, quality, secret_scan, suffix_dedup, url_filter
+from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, quality, secret_scan, suffix_dedup, url_filter
 from riskloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,9 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
