@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """``df``, written, for a join: broadcast if it has at most ``rows`` rows, else as it is,
+    so that Spark shuffles both sides."""
+    side = written(df, name)
+    return F.broadcast(side) if side.count() <= rows else side
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import small_side
+
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW = 13
@@ -99,5 +101,5 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
-    hit = overlaps(documents, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct()
+    hit = small_side(overlaps(documents, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     return documents.join(hit, documents["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Buckets, components, id_filter, may_hold, mix, partitions, powers, unpacked, written
+from riskloom.llm.common import Buckets, components, id_filter, may_hold, mix, partitions, powers, small_side, unpacked, written
 
 SIZE = 5
 CELLS = 1 << 16
@@ -378,5 +378,5 @@ def classes(documents: DataFrame, *, hot: int = 1 << 20, members: int = 2000, sh
 
 def first_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents without those that links tie to a smaller doc_id; columns unchanged."""
-    later = classes(documents, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("later_id")).distinct()
+    later = small_side(classes(documents, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("later_id")).distinct(), "later")
     return documents.join(later, documents["doc_id"] == later["later_id"], "left_anti")

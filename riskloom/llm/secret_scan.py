@@ -26,6 +26,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import small_side
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -129,7 +131,7 @@ def redact(documents: DataFrame, model: list[float], **options) -> DataFrame:
     ``n_chars``, if there, is counted again. Findings that overlap are cut as one."""
     found = find_secrets(documents, model, **options)
     spans = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    spans = spans.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cuts")
+    spans = small_side(spans.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cuts"), "spans")
     key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
     joined = documents.join(spans, documents["doc_id"].eqNullSafe(spans["cut_id"]) & (key == spans["cut_key"]), "left")
     # Pieces of the text are collected with the end of the last cut.
