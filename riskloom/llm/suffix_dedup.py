@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Buckets, id_filter, may_hold, mix, partitions, unpacked, written
+from riskloom.llm.common import FILTER_WORDS, Buckets, id_filter, may_hold, mix, partitions, unpacked, written
 
 LENGTH = 50
 GRAM = 20
@@ -418,7 +418,9 @@ def deduplicate(documents: DataFrame, *, hot: int = 1 << 17, with_text: bool = F
         marks = marks.unionByName(_hot_marks(ranked, too_many))
     marks = written(marks, "marks")
     own = marks.groupBy("rank", "node").agg(F.collect_list("marks").alias("marks"))
-    source = _compressed(ranked, id_filter(marks, "node"), digest=True)
+    # The text itself is needed of all rows if it is asked for.
+    needed = np.full(FILTER_WORDS, ~np.uint64(0)) if with_text else id_filter(marks, "node")
+    source = _compressed(ranked, needed, digest=True)
     joined = source.join(first, (source["node"] == first["node"]) & (source["check"] == first["check"]) & (source["n_bytes"] == first["size"]), "left").drop(
         first["node"], first["check"], "size").join(own, ["rank", "node"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
