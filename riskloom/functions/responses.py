@@ -3,11 +3,14 @@
 A response is tried as four candidate texts, most faithful first: from the first
 brace, up to the last brace, with the incomplete last field cut off, and with open
 quotes and braces closed. The first candidate that is one valid JSON object of the
-right types wins; otherwise the response is rejected.
+right types wins; otherwise the response is rejected. Field names are matched in any case, and of
+a name that is given more than once the last value counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,23 +18,34 @@ from pyspark.sql import types as T
 from riskloom.functions.texts import count_literal, strip
 from riskloom.schemas import ASSESSMENT_BODY, IMPACTS
 
-_CORRUPT = "_corrupt"
-_CHECKED = T.StructType([*ASSESSMENT_BODY.fields, T.StructField(_CORRUPT, T.StringType())])
-_STRICT = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": _CORRUPT,
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_KINDS = {f.name: "BIGINT" if isinstance(f.dataType, T.IntegralType) else "STRING"
+          for f in ASSESSMENT_BODY.fields}
 _ENVELOPE = "choices array<struct<message struct<content string>>>"
 
 
-def _is_assessment(candidate: Column) -> Column:
-    """One JSON object and nothing after it, with every field of the right type."""
+def _fields(candidate: Column) -> Column:
+    """The fields of one JSON object with nothing after it, repeats kept; else null."""
     # Wrapped in brackets, text behind the object makes the whole array invalid.
-    whole = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]"))).isNotNull()
-    typed = F.from_json(candidate, _CHECKED, _STRICT)[_CORRUPT].isNull()
-    return F.startswith(candidate, F.lit("{")) & whole & typed
+    wrapped = F.concat(F.lit("["), candidate, F.lit("]"))
+    objects = F.from_json(wrapped, "array<map<string,variant>>", _STRICT)
+    single = F.startswith(candidate, F.lit("{")) & (F.size(objects) == 1)
+    return F.when(single, F.map_entries(F.get(objects, 0)))
+
+
+def _named(entries: Column, name: str) -> Column:
+    return F.filter(entries, lambda e: F.lower(e["key"]) == name)
+
+
+def _is_assessment(candidate: Column) -> Column:
+    """One JSON object whose fields of known names all have the right type."""
+    entries = _fields(candidate)
+
+    def typed(name: str, kind: str) -> Column:
+        of = lambda e: F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
+        return F.forall(_named(entries, name), lambda e: of(e).isin("VOID", kind))
+
+    return reduce(lambda a, b: a & b, [typed(*x) for x in _KINDS.items()], entries.isNotNull())
 
 
 def candidates(text: Column) -> list[Column]:
@@ -61,7 +75,12 @@ def clamp(value: Column) -> Column:
 
 
 def assessment_body(json: Column) -> Column:
-    return F.from_json(json, ASSESSMENT_BODY)
+    """The fields as one struct: the last value of each name, in whatever case."""
+    entries = _fields(json)
+    last = lambda name: F.try_element_at(_named(entries, name), F.lit(-1))["value"]
+    return F.when(entries.isNotNull(), F.struct(*[
+        F.try_variant_get(last(f.name), "$", f.dataType.simpleString()).alias(f.name)
+        for f in ASSESSMENT_BODY.fields]))
 
 
 def assessment_columns(body: str) -> dict[str, Column]:

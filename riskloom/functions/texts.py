@@ -18,7 +18,7 @@ SPACE_CLASS = "".join(f"\\x{{{code:x}}}" for code in _SPACE_CODES)
 # Words that mark a commit as a bug fix.
 FIX_WORDS = ("fix", "bug", "patch", "hotfix", "repair", "correct", "resolve")
 
-# How much of a file an assessment prompt shows.
+# The limit of an excerpt, where one is asked for, and the mark of a cut.
 PROMPT_LINES = 300
 TRUNCATION_MARK = "\n... (truncated)"
 
@@ -53,37 +53,36 @@ def trim_lines(content: Column) -> Column:
     return F.regexp_replace(content, pattern, "")
 
 
-def prompt_excerpt(content: Column) -> Column:
-    """The first 300 lines and a mark when there are more."""
-    too_long = count_literal(content, "\n") >= PROMPT_LINES
-    head = F.substring_index(content, "\n", PROMPT_LINES)
+def prompt_excerpt(content: Column, lines: int | None) -> Column:
+    """The first lines and a mark when there are more; all of them without a limit."""
+    if lines is None:
+        return content
+    too_long = count_literal(content, "\n") >= lines
+    head = F.substring_index(content, "\n", lines)
     return F.when(too_long, F.concat(head, F.lit(TRUNCATION_MARK))).otherwise(content)
 
 
-def assessment_prompt(path: Column, content: Column) -> Column:
-    """Text that asks a model for the four impacts of one file, as JSON."""
-    shape = (
-        '{"security_impact":<0-100>,"data_impact":<0-100>,"availability_impact":<0-100>,'
-        '"user_impact":<0-100>,"blast_radius_summary":"<up to 80 characters>",'
-        '"critical_reason":"<up to 40 characters, may be empty>"}'
-    )
-    guide = "\n".join([
-        "How to score each impact:",
-        "0-20 formatting, logging, internal helpers: a defect is cosmetic",
-        "21-40 utilities: a defect costs minor functionality",
-        "41-60 business logic: a defect breaks features",
-        "61-80 core infrastructure: a defect degrades or partly stops the service",
-        "81-100 security boundaries, authentication, cryptography, isolation, data "
-        "protection: a defect is a breach, data loss or a full outage",
-        "Judge what the code is for, not its length or complexity.",
-    ])
+def assessment_prompt(path: Column, content: Column, lines: int | None = None) -> Column:
+    """Text that asks a model for the four impacts of one file, as JSON.
+
+    The whole content is shown unless ``lines`` limits it."""
+    fields = {
+        "security_impact": "could someone read, forge or escalate what they must not?",
+        "data_impact": "could stored or transferred data be lost, changed or exposed?",
+        "availability_impact": "could a service slow down, hang or stop for others?",
+        "user_impact": "would people who use the product notice, and how badly?",
+    }
+    questions = "\n".join(f"- {name}: {question}" for name, question in fields.items())
     return F.concat_ws(
         "\n\n",
-        F.lit("Estimate how far the damage would reach if the code below had a defect."),
-        F.concat(F.lit("Path: "), path),
-        prompt_excerpt(content),
-        F.lit("Answer with one JSON object on a single line and nothing else:\n" + shape),
-        F.lit(guide),
+        F.concat(F.lit("Source file "), path, F.lit(":")),
+        prompt_excerpt(content, lines),
+        F.lit("Suppose a change to this file goes wrong and nobody notices before release. Give "
+              "four whole numbers from 0 (no effect at all) to 100 (the worst that this kind of "
+              "system can suffer); 50 is harm that needs a rollback the same day.\n" + questions),
+        F.lit("Add blast_radius_summary, at most 80 characters on what else would break, and "
+              "critical_reason, at most 40 characters, empty unless a number is above 85. Reply "
+              "with these six fields as a single JSON object, on one line, without other text."),
     )
 
 

@@ -9,6 +9,7 @@ from riskloom.functions import paths, responses, texts
 from riskloom.schemas import ASSESSMENTS, IMPACTS
 from riskloom.settings import Settings
 from riskloom.operators.sources import analysable
+from riskloom.sources.staging import stage
 
 ASSESSMENT_COLUMNS = ASSESSMENTS.fieldNames()
 
@@ -22,7 +23,8 @@ def content_groups(hashed: DataFrame) -> DataFrame:
     """One row per distinct content: how many files share it and the first of them.
 
     A partial aggregate on narrow rows, so a content copied into very many files is
-    counted before it is shuffled.
+    counted before it is shuffled. The least struct is found by a sorted aggregate; its
+    rows are a hash and a path, never contents.
     """
     return (
         hashed.groupBy("content_hash")
@@ -46,13 +48,15 @@ def split_by_cache(
 
 def plan_assessments(
     files: DataFrame, cache: DataFrame, settings: Settings = Settings(),
-    force: bool = False, hashed: DataFrame | None = None,
+    force: bool = False, hashed: DataFrame | None = None, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """One prompt per distinct content that the cache does not know.
 
-    Only hashes travel through the grouping and the anti join; contents are read again
-    for the files that remain. Give ``hashed`` (repo_id, path, content_hash) to reuse
-    the hashes of a metrics table instead of hashing the contents once more.
+    Only hashes travel through the grouping and the anti join. What the cache misses is
+    staged; up to ``broadcast_rows`` rows of it are broadcast to the scan of the contents,
+    which then are not shuffled at all. Beyond that the prompts, cut to
+    ``settings.prompt_lines`` if that is set, are what travels. Give ``hashed`` (repo_id,
+    path, content_hash), as the metrics table has it, to spare a second hashing.
     """
     candidates = assessable(files, settings)
     if hashed is None:
@@ -61,13 +65,13 @@ def plan_assessments(
     else:
         hashed = hashed.filter(paths.is_assessable(F.col("path")))
     _, misses = split_by_cache(content_groups(hashed), cache, force)
-    return (
-        candidates.select("repo_id", "path", "content").join(misses, ["repo_id", "path"])
-        .select(
-            "content_hash", "repo_id", "path", "files",
-            texts.assessment_prompt(F.col("path"), F.col("content")).alias("prompt"),
-        )
-    )
+    misses = stage(misses, "misses")
+    if misses.count() <= broadcast_rows:
+        misses = F.broadcast(misses)
+    prompt = texts.assessment_prompt(F.col("path"), F.col("content"), settings.prompt_lines)
+    prompts = candidates.select("repo_id", "path", prompt.alias("prompt"))
+    return prompts.join(misses, ["repo_id", "path"]).select(
+        "content_hash", "repo_id", "path", "files", "prompt")
 
 
 def unwrap_chat(raw: DataFrame) -> DataFrame:
@@ -79,17 +83,30 @@ def parse_responses(answers: DataFrame) -> DataFrame:
     """Responses with their assessment columns and whether they could be read."""
     # The struct is a column of its own, so that its fields share one parse.
     json = responses.assessment_json(F.col("text"))
+    kept = [c for c in answers.columns if c == "batch"]
     return (
-        answers.select("content_hash", "text", responses.assessment_body(json).alias("body"))
+        answers.select("content_hash", "text", *kept, responses.assessment_body(json).alias("body"))
         .select(
-            "content_hash", "text", F.col("body").isNotNull().alias("accepted"),
+            "content_hash", "text", *kept, F.col("body").isNotNull().alias("accepted"),
             *[v.alias(name) for name, v in responses.assessment_columns("body").items()],
         )
     )
 
 
+def one_per_hash(assessments: DataFrame) -> DataFrame:
+    """One row per content hash: of repeated ones that of the highest ``batch`` (no batch is
+    the oldest), then the one with the highest values, so that runs agree."""
+    if "batch" not in assessments.columns:
+        assessments = assessments.withColumn("batch", F.lit(0).cast("bigint"))
+    values = [c for c in ASSESSMENT_COLUMNS if c != "content_hash"]
+    newest = F.max(F.struct(F.coalesce("batch", F.lit(-1)).alias("batch"), *values))
+    return assessments.groupBy("content_hash").agg(newest.alias("a")).select(
+        "content_hash", *[F.col(f"a.{c}") for c in values])
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("accepted").select(*ASSESSMENT_COLUMNS)
+    """Readable responses, one for each content: the newest if answers carry a ``batch``."""
+    return one_per_hash(parsed.filter("accepted"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -97,9 +114,11 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def merge_assessments(cached: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cached and fresh assessments together; a fresh one replaces a cached one."""
-    kept = cached.join(fresh.select("content_hash"), "content_hash", "left_anti")
-    return kept.select(*ASSESSMENT_COLUMNS).unionByName(fresh.select(*ASSESSMENT_COLUMNS))
+    """Cached and fresh assessments together, one for each content; a fresh one replaces a
+    cached one."""
+    both = one_per_hash(cached).withColumn("batch", F.lit(0).cast("bigint")).unionByName(
+        one_per_hash(fresh).withColumn("batch", F.lit(1).cast("bigint")))
+    return one_per_hash(both).select(*ASSESSMENT_COLUMNS)
 
 
 def run_counters(groups: DataFrame, cache: DataFrame, parsed: DataFrame) -> DataFrame:

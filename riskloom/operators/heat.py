@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths, scores
-from riskloom.operators.assessments import ASSESSMENT_COLUMNS, blast_columns
-from riskloom.operators.skew import join_hot
+from riskloom.operators.assessments import blast_columns, one_per_hash
 from riskloom.schemas import IMPACTS, RECENT_CHANGES
 from riskloom.settings import SEVERITY_POINTS, TIERS, ReviewRule, Settings
 
@@ -52,7 +51,8 @@ def score_files(
     ``history``, ``incidents`` and ``centrality`` are the per-file rollups. They share
     the key (repo_id, path) with one row each, so the left joins below use a single
     hash partitioning of the files. ``assessments`` is keyed by ``content_hash``, which
-    very many files can share (empty files, copied licenses), hence the split join.
+    very many files can share (empty files, copied licenses): adaptive execution splits
+    the join of such a hash. Assessments may repeat a hash; the newest counts.
     Coverage defaults to 50 percent. An annotation's override replaces the tier.
     """
     files = metrics.drop("imports")
@@ -61,8 +61,8 @@ def score_files(
             {name: F.lit(0) for name in IMPACTS}).withColumns(
             {"blast_radius_summary": F.lit(""), "critical_reason": F.lit("")})
     else:
-        found = assessments.select(*ASSESSMENT_COLUMNS, F.lit(True).alias("assessed"))
-        files = join_hot(files, found, ["content_hash"], ["path"]).withColumn(
+        found = one_per_hash(assessments).withColumn("assessed", F.lit(True))
+        files = files.join(found, "content_hash", "left").withColumn(
             "assessed",
             F.coalesce("assessed", F.lit(False)) & paths.is_assessable(F.col("path")))
         keep = [*IMPACTS, "blast_radius_summary", "critical_reason"]
@@ -75,7 +75,10 @@ def score_files(
             "coverage_percent": F.lit(50.0), "test_count": F.lit(0).cast("bigint"),
             "has_integration_tests": F.lit(False)})
     else:
-        df = df.join(coverage, FILE, "left").withColumns({
+        # Reports of one file count as the one with the highest coverage.
+        best = coverage.groupBy(*FILE).agg(F.max(F.struct(
+            "coverage_percent", "test_count", "has_integration_tests")).alias("c")).select(*FILE, "c.*")
+        df = df.join(best, FILE, "left").withColumns({
             "coverage_percent": F.coalesce("coverage_percent", F.lit(50.0)),
             "test_count": F.coalesce("test_count", F.lit(0).cast("bigint")),
             "has_integration_tests": F.coalesce("has_integration_tests", F.lit(False))})

@@ -3,10 +3,11 @@
 An import resolves twice, and both hits count: exactly, to the first existing of five
 file names built from it, and loosely, to the first other path that contains it.
 
-Loose matching never pairs imports with paths. Each path lists its own substrings, but
-only those that begin with the first three characters of some import of the repository
-and are as long as an import that begins so; these meet the imports in an equi-join.
-The work is bounded by the path lengths, not by files times imports.
+Loose matching never pairs imports with paths, nor with lengths of a whole repository. An
+import is known by its lead, its first six characters (all of a shorter one). A path lists
+the substrings of up to six characters at each of its positions, at most six times its
+length; those that are a lead of the repository meet the lengths of the imports with that
+lead, and what results meets the imports, both in equi-joins on hashed keys.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import join_hot, spread_join
+from riskloom.operators.skew import spread_join
+from riskloom.sources.staging import stage
 
 # File names an import may stand for, in the order they are tried.
 EXACT_ENDINGS = (".py", ".go", ".ts", ".js", "/__init__.py")
 
-_LEAD = 3
+_LEAD = 6
 _IMPORT = ["repo_id", "imp"]
 
 
@@ -53,26 +55,25 @@ def exact_targets(files: DataFrame) -> DataFrame:
 
 
 def _listed_substrings(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(repo_id, imp, path) for the path substrings that may be an import.
+    """(repo_id, imp, path) for the path substrings that are an import.
 
-    A repository's leads and lengths travel as one row, spread over the tasks that hold
-    its files: their number is bounded by the three-character strings there are.
+    A lead that very many paths hold is split by adaptive execution. ``imports`` is a staged
+    table: Spark knows its size and broadcasts leads and imports only while they are small.
     """
-    lead = F.struct(F.substring("imp", 1, _LEAD).alias("lead"), F.length("imp").alias("n"))
-    leads = (
-        imports.select("repo_id", lead.alias("begin")).distinct()
-        .groupBy("repo_id").agg(F.collect_list("begin").alias("begins"))
+    lead = F.substring("imp", 1, _LEAD)
+    leads = imports.select("repo_id", lead.alias("lead"), F.length("imp").alias("n")).distinct()
+    path, at, n = F.col("path"), F.col("at"), F.col("n")
+    widths = F.explode(F.sequence(F.lit(1), F.least(F.lit(_LEAD), F.length(path) - at + 1)))
+    listed = (
+        files.select("repo_id", "path", F.explode(F.sequence(F.lit(1), F.length(path))).alias("at"))
+        .select("repo_id", "path", "at", widths.alias("width"))
+        .select("repo_id", "path", "at", F.substring(path, at, F.col("width")).alias("lead"))
     )
-    path, n = F.col("path"), F.col("n")
-    # Exploded in generated code; array lambdas over the same positions run interpreted.
     return (
-        spread_join(files, leads, ["repo_id"], ["path"], fan_out=16, grows=True)
-        .select("repo_id", "path", F.inline("begins"))
-        .filter(F.contains(path, "lead") & (n <= F.length(path)))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length(path) - n + 1)))
-        .select("repo_id", F.substring(path, F.col("at"), n).alias("imp"), "path", "lead")
-        .filter(F.startswith("imp", "lead"))
-        .drop("lead")
+        listed.join(leads, ["repo_id", "lead"])
+        .filter(at + n - 1 <= F.length(path))
+        .select("repo_id", F.substring(path, at, n).alias("imp"), "path")
+        .join(imports.select(*_IMPORT), _IMPORT, "left_semi")
     )
 
 
@@ -81,8 +82,7 @@ def loose_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
 
     Two are enough: an importer that is itself the first is given the second. The rank is
     dense because a path may hold a substring twice; its limit cuts every map task's rows
-    before they are shuffled. Some substrings that are no import are still among the
-    rows; the join with the imports, on the same partitioning, drops them.
+    before they are shuffled.
     """
     by_name = Window.partitionBy(*_IMPORT).orderBy("path")
     return (
@@ -110,12 +110,13 @@ def import_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
 
     Both hits of an import line are kept, so a target can appear twice.
     """
-    resolved = resolve_imports(files, distinct_imports(refs)).drop("refs")
+    imports = stage(distinct_imports(refs), "imports")
+    resolved = resolve_imports(files, imports).drop("refs")
     other = F.when(F.col("loose_path") != F.col("imported_by"), F.col("loose_path")) \
         .otherwise(F.col("loose_next"))
     refs = refs.withColumnRenamed("path", "imported_by")
     return (
-        join_hot(refs, resolved, _IMPORT, ["imported_by"], "inner")
+        refs.join(resolved, _IMPORT)
         .select(
             "repo_id", "imported_by", "imp",
             F.inline(F.array_compact(F.array(
@@ -135,7 +136,7 @@ def fan_in(files: DataFrame, refs: DataFrame) -> DataFrame:
     counted per import before any shuffle, and only lines of a file that is its own
     first loose hit are looked at one by one.
     """
-    resolved = resolve_imports(files, distinct_imports(refs))
+    resolved = resolve_imports(files, stage(distinct_imports(refs), "imports"))
     own = (
         refs.filter(F.contains("path", "imp"))
         .groupBy("repo_id", "imp", F.col("path").alias("loose_path"))

@@ -33,14 +33,17 @@ def at_or_above(heat: DataFrame, tier: str) -> DataFrame:
 
 
 def list_files(heat: DataFrame, tier: str | None = None, limit: int | None = None) -> DataFrame:
-    """Each repository's files, hottest first, with the listed and matching totals.
+    """Each repository's files, hottest first, with the number listed and whether that is
+    fewer than all files of the repository, whatever tier was asked for.
 
     Totals come from a counting aggregate that is joined back, so the ranking window
     stays limitable before its shuffle.
     """
     chosen = heat if tier is None else with_tier(heat, tier)
     rows = chosen.select("repo_id", "path", "heat_score", "tier", reason().alias("reason"))
-    matching = rows.groupBy("repo_id").agg(F.count("*").alias("matching"))
+    fits = F.lit(True) if tier is None else F.col("tier") == tier
+    matching = heat.groupBy("repo_id").agg(
+        F.count_if(fits).alias("matching"), F.count("*").alias("all"))
     bounded = limit is not None and limit > 0
     listed = top_k(rows, ["repo_id"], hottest_first(), limit, spread_on=["path"]).drop("rank") \
         if bounded else rows
@@ -49,8 +52,8 @@ def list_files(heat: DataFrame, tier: str | None = None, limit: int | None = Non
     return (
         spread_join(listed, matching, ["repo_id"], ["path"])
         .withColumn("count", shown)
-        .withColumn("truncated", F.col("matching") > F.col("count"))
-        .drop("matching")
+        .withColumn("truncated", F.col("all") > F.col("count"))
+        .drop("matching", "all")
         .orderBy("repo_id", *hottest_first())
     )
 
@@ -91,7 +94,7 @@ def action_items(heat: DataFrame, n: int = 5) -> DataFrame:
     """The hottest files of each repository that a person has to review."""
     manual = heat.filter(~F.col("auto_merge")).select(
         "repo_id", "path", "heat_score", "tier", reason().alias("reason"))
-    return top_k(manual, ["repo_id"], hottest_first(), n)
+    return top_k(manual, ["repo_id"], hottest_first(), n, spread_on=["path"])
 
 
 def file_facts(heat: DataFrame) -> DataFrame:
@@ -184,8 +187,8 @@ def dashboard_stats(heat: DataFrame, runs: DataFrame) -> DataFrame:
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "files"))))
              .alias("languages"))
     )
-    return (
-        tier_counts(heat).join(languages, "repo_id")
-        .join(runs.select("repo_id", "repo_path", "analyzed_at", "commit_sha", "branch"),
-              "repo_id", "left")
-    )
+    # Of several runs of a repository the latest counts.
+    facts = ["repo_path", "commit_sha", "branch"]
+    latest = runs.groupBy("repo_id").agg(F.max(F.struct("analyzed_at", *facts)).alias("r")).select(
+        "repo_id", "r.repo_path", "r.analyzed_at", "r.commit_sha", "r.branch")
+    return tier_counts(heat).join(languages, "repo_id").join(latest, "repo_id", "left")

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark limits a ranked window before its shuffle only up to this many rows a group.
-_MAP_SIDE_LIMIT = 1000
-
-# Most keys that are looked at as hot ones, and most parts one of them is split into.
-_HOT_KEYS = 500
-_MOST_PARTS = 4096
-
 
 def spread_join(
     large: DataFrame,
@@ -46,75 +39,23 @@ def spread_join(
     )
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> dict[int, int]:
-    """Hashes of the keys with more than ``hot_rows`` rows, and how many times that many.
-
-    A sketch of the most frequent keys, merged across tasks; it returns at most
-    ``_HOT_KEYS`` entries whatever the data. Runs one job over the key columns.
-    """
-    top = F.expr(f"approx_top_k(_key, {_HOT_KEYS}, {20 * _HOT_KEYS})")
-    parts = F.least(F.lit(_MOST_PARTS), F.ceil(F.col("count") / hot_rows)).cast("int")
-    found = (
-        df.select(F.xxhash64(*on).alias("_key")).agg(top.alias("top"))
-        .select(F.inline("top")).select("item", parts.alias("parts")).filter("parts > 1")
-    )
-    return {row["item"]: row["parts"] for row in found.collect()}
-
-
-def join_hot(
-    large: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread_on: list[str],
-    how: str = "left",
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """Join many rows of ``large`` to one row per key of a ``small`` that is large itself.
-
-    Only keys with more than ``hot_rows`` rows are split, each into as many parts as it
-    needs, and only their rows of ``small`` are repeated. The list of hot keys is fixed
-    when the plan is built: both sides use the same one even if parts of them are
-    computed again, and an error of the sketch changes which keys are split, never the
-    result. ``large`` should be a table or staged, as its keys are scanned once more.
-    """
-    hot = hot_keys(large, on, hot_rows)
-    if not hot:
-        return large.join(small, on, how)
-    listed = large.sparkSession.createDataFrame(list(hot.items()), "_key bigint, _parts int")
-    part = F.coalesce(F.pmod(F.xxhash64(*spread_on), F.col("_parts")).cast("int"), F.lit(0))
-    every_part = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", F.xxhash64(*on)).join(F.broadcast(listed), "_key", "left")
-
-    return (
-        marked(large).withColumn("_part", part).drop("_key", "_parts")
-        .join(
-            marked(small).withColumn("_part", F.explode(every_part)).drop("_key", "_parts"),
-            [*on, "_part"], how,
-        )
-        .drop("_part")
-    )
-
-
 def top_k(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
-    spread_on: list[str] | None = None, fan_out: int = 64,
+    df: DataFrame, keys: list[str], order: list[Column], k: int, spread_on: list[str],
+    rank: str = "rank", fan_out: int = 64,
 ) -> DataFrame:
     """The first ``k`` rows of each group with their rank.
 
-    ``row_number <= k`` lets Spark cut every map task's rows to ``k`` per group before
-    the shuffle. Beyond the size Spark does that for, groups are first cut in
-    ``fan_out`` hashed parts, so that no task sorts a whole hot group.
+    Groups are first cut to ``k`` rows in each of ``fan_out`` hashed parts, then as a whole,
+    so no task sorts a whole hot group; for small ``k`` Spark also cuts the rows of every map
+    task before the shuffle.
     """
-    if k > _MAP_SIDE_LIMIT and spread_on:
-        part = F.pmod(F.xxhash64(*spread_on), F.lit(fan_out)).cast("int")
-        by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
-        df = (
-            df.withColumn("_part", part)
-            .withColumn(rank, F.row_number().over(by_part))
-            .filter(F.col(rank) <= k)
-            .drop("_part", rank)
-        )
+    part = F.pmod(F.xxhash64(*spread_on), F.lit(fan_out)).cast("int")
+    by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    df = (
+        df.withColumn("_part", part)
+        .withColumn(rank, F.row_number().over(by_part))
+        .filter(F.col(rank) <= k)
+        .drop("_part", rank)
+    )
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)

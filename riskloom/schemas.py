@@ -168,3 +168,20 @@ HEAT_DOCUMENT = T.StructType([
         [f for f in ANNOTATIONS.fields if f.name != "repo_id"]
     ))),
 ])
+
+# The flat scored table, in the order of its columns.
+HEAT = (
+    "repo_id string, path string, language string, lines bigint, bytes bigint, heat_score int,"
+    " tier string, centrality double, import_count bigint, exported_symbols bigint,"
+    " incident_score int, incident_count bigint, last_incident timestamp, sev_critical bigint,"
+    " sev_high bigint, sev_medium bigint, sev_low bigint, churn_score int, commit_count bigint,"
+    " commits_last_90d bigint, unique_authors bigint, user_impact_score int, user_facing boolean,"
+    " affects_auth boolean, affects_data boolean, affects_payments boolean, sensitivity_score int,"
+    " handles_pii boolean, handles_secrets boolean, handles_financial boolean, coverage_score int,"
+    " coverage_percent double, test_count bigint, has_integration_tests boolean,"
+    " complexity_score int, cyclomatic bigint, cognitive bigint, function_count bigint,"
+    " blast_score int, security_impact int, data_impact int, availability_impact int,"
+    " user_impact int, summary string, critical_reason string, assessed boolean, min_reviewers int,"
+    " requires_senior boolean, requires_security_scan boolean, requires_integration_tests boolean,"
+    " auto_merge boolean, estimated_review_time_minutes int"
+)

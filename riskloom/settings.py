@@ -82,6 +82,8 @@ class Settings:
     recent_days: int = 90
     lookback_days: int = 365
     recent_changes: int = 10
+    # Lines of a file that an assessment prompt shows; None shows the whole file.
+    prompt_lines: int | None = None
 
     @staticmethod
     def from_dict(values: Mapping[str, Any]) -> "Settings":

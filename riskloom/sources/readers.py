@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from riskloom import schemas
 from riskloom.functions import paths
+from riskloom.operators.assessments import one_per_hash
 from riskloom.operators.heat import flatten_heat
 from riskloom.operators.pull_requests import parse_numstat
 from riskloom.operators.sources import analysable
@@ -151,7 +152,13 @@ def read_assessment_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def read_heat(spark: SparkSession, path: str) -> DataFrame:
     """The scored table written by :func:`riskloom.sources.writers.write_heat`."""
-    return spark.read.parquet(path)
+    return spark.read.schema(schemas.HEAT).parquet(path)
+
+
+def read_assessments(spark: SparkSession, path: str) -> DataFrame:
+    """The appended assessments, the newest of each content."""
+    schema = T.StructType([*schemas.ASSESSMENTS.fields, T.StructField("batch", T.LongType())])
+    return one_per_hash(spark.read.schema(schema).parquet(path))
 
 
 def read_heat_document(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:

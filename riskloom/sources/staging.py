@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="riskloom-")

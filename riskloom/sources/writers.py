@@ -54,5 +54,6 @@ def append_incidents(raw: DataFrame, log_path: str, existing: DataFrame, as_of:
     return bad
 
 
-def append_assessments(fresh: DataFrame, path: str) -> None:
-    fresh.select(*ASSESSMENT_COLUMNS).write.mode("append").parquet(path)
+def append_assessments(fresh: DataFrame, path: str, batch: int) -> None:
+    """Append as batch number ``batch``; readers take the highest batch of a content."""
+    fresh.select(*ASSESSMENT_COLUMNS, F.lit(batch).cast("bigint").alias("batch")).write.mode("append").parquet(path)

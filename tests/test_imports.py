@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 from riskloom.operators import imports
-from riskloom.operators.skew import hot_keys, join_hot, spread_join
+from riskloom.operators.skew import spread_join, top_k
 from riskloom.operators.dependencies import dependency_heat
 
 FILES = "repo_id string, path string"
@@ -102,17 +102,20 @@ def test_plan_has_no_pairwise_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_join_hot_splits_only_hot_keys(spark):
-    rows = [("hot", i) for i in range(5000)] + [(f"k{i % 50}", i) for i in range(200)] + [("none", 1)]
-    large = spark.createDataFrame(rows, "k string, i int")
-    small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(50)], "k string, v int")
-    plain = sorted(large.join(small, "k", "left").collect(), key=str)
-    assert sorted(hot_keys(large, ["k"], 100).values()) == [50]
-    assert hot_keys(large, ["k"], 10_000) == {}
-    split = join_hot(large, small, ["k"], ["i"], hot_rows=100)
-    assert sorted(split.select("k", "i", "v").collect(), key=str) == plain
-    inner = join_hot(large, small, ["k"], ["i"], "inner", hot_rows=100)
-    assert inner.count() == 5200
+def test_lengths_leads_and_repeats(spark):
+    """Imports of 1 to 40 characters with many leads, overlaps and one large repository."""
+    rng = random.Random(5)
+    files = [("big" if i % 2 else f"r{i % 7}", "/".join(
+        "".join(rng.choices("abcé_", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 6))) + f"{i}.py") for i in range(120)]
+    refs = []
+    for _ in range(700):
+        repo, importer = rng.choice(files)
+        path = rng.choice([p for r, p in files if r == repo])
+        at = rng.randrange(len(path))
+        imp = path[at:at + rng.randint(1, 40)]
+        refs.append((repo, importer, imp if rng.random() < 0.8 else imp + rng.choice("xz")))
+    assert len({(r, i[:6]) for r, _, i in refs}) > 300
+    check(spark, files, refs)
 
 
 def test_spread_join(spark):
@@ -120,3 +123,11 @@ def test_spread_join(spark):
     small = spark.createDataFrame([("a", 7)], "k string, v int")
     assert spread_join(large, small, ["k"], ["i"], "left").count() == 101
     assert spread_join(large, small, ["k"], ["i"]).filter("v = 7").count() == 100
+
+
+def test_top_k_of_many_hot_groups(spark):
+    rows = [(g, i) for g in range(40) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int").repartition(5)
+    for k in (1, 7, 2000):
+        got = sorted((r.g, r.i, r["rank"]) for r in top_k(df, ["g"], ["i"], k, spread_on=["i"], fan_out=3).collect())
+        assert got == [(g, i, i + 1) for g in range(40) for i in range(min(k, 300))]

@@ -86,8 +86,9 @@ def test_lines_hash_excerpt(apply):
     assert apply("t string", [("päckage",)], texts.content_hash(t)) \
         == [hashlib.sha256("päckage".encode()).hexdigest()[:32]]
     short, exact, long = ("\n".join(map(str, range(n))) for n in (5, 300, 301))
-    got = apply("t string", [(short,), (exact,), (long,)], texts.prompt_excerpt(t))
+    got = apply("t string", [(short,), (exact,), (long,)], texts.prompt_excerpt(t, 300))
     assert got == [short, exact, "\n".join(map(str, range(300))) + "\n... (truncated)"]
+    assert apply("t string", [(long,)], texts.prompt_excerpt(t, None)) == [long]
     prompt = apply("t string", [("fn validate_token() {}",)],
                    texts.assessment_prompt(F.lit("src/auth.rs"), t))[0]
     assert all(x in prompt for x in ("src/auth.rs", "validate_token", "security_impact"))

@@ -131,8 +131,11 @@ def test_ingest(spark, tmp_path):
     assert {r.content_hash: r.security_impact for r in done.assessments.collect()} == {"x": 7, "z": 0}
     assert [r.content_hash for r in done.rejects.collect()] == ["y"]
     path = str(tmp_path / "assessments")
-    writers.append_assessments(ops.accepted(done.parsed), path)
-    assert readers.read_table(spark, path, schemas.ASSESSMENTS).count() == 2
+    writers.append_assessments(ops.accepted(done.parsed), path, batch=1)
+    assert readers.read_assessments(spark, path).count() == 2
+    again = answers.withColumn("text", F.lit('{"security_impact":8}'))
+    writers.append_assessments(ops.accepted(ops.parse_responses(again)), path, batch=2)
+    assert {r.content_hash: r.security_impact for r in readers.read_assessments(spark, path).collect()} == {"x": 8, "y": 8, "z": 8}
 
 
 def test_heat_document(spark, tmp_path):

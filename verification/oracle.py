@@ -226,6 +226,14 @@ _STATIC_LIMITS, _ASSESSED_LIMITS = (50, 40, 25), (75, 61, 31)
 _GO_BLANK = ("'(?s)/\\*.*?\\*/|//[^\\n]*|`[^`]*`|\"(?:\\\\.|[^\"\\\\\\n])*\""
              "|''(?:\\\\.|[^''\\\\\\n])*'''")
 
+# The two closing paragraphs of a prompt.
+_PROMPT_TASK = """'Suppose a change to this file goes wrong and nobody notices before release. Give four whole numbers from 0 (no effect at all) to 100 (the worst that this kind of system can suffer); 50 is harm that needs a rollback the same day.
+- security_impact: could someone read, forge or escalate what they must not?
+- data_impact: could stored or transferred data be lost, changed or exposed?
+- availability_impact: could a service slow down, hang or stop for others?
+- user_impact: would people who use the product notice, and how badly?'"""
+_PROMPT_FORM = """'Add blast_radius_summary, at most 80 characters on what else would break, and critical_reason, at most 40 characters, empty unless a number is above 85. Reply with these six fields as a single JSON object, on one line, without other text.'"""
+
 _O_VIEWS = {
     "o_files": f"SELECT *, {_LANGUAGE} AS language FROM fx_source_files "
                f"WHERE language <> '' AND NOT ({_EXCLUDED})",
@@ -344,7 +352,6 @@ SELECT content_hash,
 FROM (SELECT content_hash, CAST(substr(content_hash, 2) AS BIGINT) AS c FROM fx_responses)
 WHERE c % 5 <> 4""",
     "o_heat": _heat("fx_file_metrics", "o_history", "o_incidents", "o_centrality", _STATIC_LIMITS),
-    "o_plain": _heat("fx_file_metrics", "o_history", "o_incidents", None, _STATIC_LIMITS),
     "o_assessed": _heat("fx_file_metrics", "o_history", "o_incidents", "o_centrality",
                         _ASSESSED_LIMITS, assessed=True),
     "o_covered": _heat("fx_file_metrics", "o_history", "o_incidents", "o_centrality",
@@ -355,12 +362,12 @@ WHERE c % 5 <> 4""",
 SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY ts DESC, sha) AS rank
 FROM fx_commit_files WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY""",
     "o_tree": """
-SELECT repo_id, path, false AS is_dir, heat_score, tier, lines FROM o_plain
+SELECT repo_id, path, false AS is_dir, heat_score, tier, lines FROM o_heat
 UNION ALL
 SELECT repo_id, dir, true, max(heat_score), NULL, 0 FROM o_dirs GROUP BY repo_id, dir""",
     "o_dirs": """
 SELECT * FROM (SELECT *, unnest(list_transform(generate_series(1, len(string_split(path, '/')) - 1),
-  lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir FROM o_plain)""",
+  lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir FROM o_heat)""",
 }
 
 _PARENT = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END"
@@ -513,12 +520,12 @@ FROM ({_INCIDENT_CHECK}) WHERE date IS NULL OR severity = 'extreme'""",
     "dependency_heat": """
 SELECT e.repo_id, e.imported_by, e.path, e.match, coalesce(i.heat_score, 0) AS importer_heat,
   coalesce(t.heat_score, 0) AS heat_score
-FROM o_edges e LEFT JOIN o_plain i ON i.repo_id = e.repo_id AND i.path = e.imported_by
-  LEFT JOIN o_plain t ON t.repo_id = e.repo_id AND t.path = e.path
+FROM o_edges e LEFT JOIN o_heat i ON i.repo_id = e.repo_id AND i.path = e.imported_by
+  LEFT JOIN o_heat t ON t.repo_id = e.repo_id AND t.path = e.path
 WHERE e.path IS NOT NULL""",
     "file_heat": _HEAT_OUT + "o_heat",
     "file_heat_assessed": _HEAT_OUT + "o_assessed",
-    "file_heat_nested": _HEAT_OUT + "o_plain",
+    "file_heat_nested": _HEAT_OUT + "o_heat",
     "source_heat": """
 SELECT repo_id, path, language, heat_score, tier, centrality, import_count, incident_score,
   churn_score, commit_count, unique_authors, complexity_score, user_impact_score,
@@ -538,9 +545,16 @@ SELECT repo_id, path, heat_score, tier, {_REASON}, least(25, n) AS count, n > 25
 FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_HEAT_ORDER}) AS rn,
         count(*) OVER (PARTITION BY repo_id) AS n FROM o_assessed) WHERE rn <= 25""",
     "list_high_files": f"""
-SELECT repo_id, path, heat_score, tier, {_REASON},
-  count(*) OVER (PARTITION BY repo_id) AS count, false AS truncated
-FROM o_assessed WHERE tier = 'high'""",
+SELECT repo_id, path, heat_score, tier, {_REASON}, n AS count, n < files AS truncated
+FROM (SELECT *, count(*) OVER (PARTITION BY repo_id) AS files,
+        count(*) FILTER (WHERE tier = 'high') OVER (PARTITION BY repo_id) AS n FROM o_assessed)
+WHERE tier = 'high'""",
+    "list_medium_files_limited": f"""
+SELECT repo_id, path, heat_score, tier, {_REASON}, least(3, n) AS count, least(3, n) < files AS truncated
+FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, tier ORDER BY {_HEAT_ORDER}) AS rn,
+        count(*) OVER (PARTITION BY repo_id) AS files,
+        count(*) OVER (PARTITION BY repo_id, tier) AS n FROM o_assessed)
+WHERE tier = 'medium' AND rn <= 3""",
     "tier_report": f"""
 SELECT repo_id, tier, path, heat_score, summary AS reason, n AS tier_files,
   greatest(0, n - 20) AS more, upper(tier) AS label
@@ -599,10 +613,10 @@ LEFT JOIN fx_runs USING (repo_id)""",
 SELECT repo_id, pr_number, CAST(i - 1 AS INTEGER) AS pos, s[i] AS signal
 FROM (SELECT repo_id, pr_number, s, unnest(generate_series(1, len(s))) AS i
       FROM (SELECT repo_id, pr_number, string_split(signals, '; ') AS s
-            FROM ({_pr_risk("o_plain")}) WHERE signals <> ''))""",
+            FROM ({_pr_risk("o_heat")}) WHERE signals <> ''))""",
     "pr_described": f"""
 SELECT repo_id, pr_number, files_changed, heat_score, tier, blocked, signals
-FROM ({_pr_risk("o_plain", limits=(800, 2, 0.25), described=True)})""",
+FROM ({_pr_risk("o_heat", limits=(800, 2, 0.25), described=True)})""",
     "assessment_plan": f"""
 SELECT content_hash, repo_id, path, files
 FROM (SELECT {_HASH} AS content_hash, repo_id, path, count(*) OVER h AS files,
@@ -613,8 +627,12 @@ WHERE rn = 1 AND content_hash NOT IN (SELECT {_HASH} FROM fx_source_files WHERE
         f"SELECT repo_id, path, md5({_EXCERPT}) AS excerpt_md5 FROM o_code"
         f" WHERE NOT {_NOT_ASSESSED}",
     "assessment_prompts": f"""
-SELECT repo_id, path, true AS names_file, true AS shows_file, true AS asks_json FROM o_code
-WHERE NOT {_NOT_ASSESSED}""",
+SELECT repo_id, path, md5('Source file ' || path || ':' || repeat(chr(10), 2) || content
+  || repeat(chr(10), 2) || {_PROMPT_TASK} || repeat(chr(10), 2) || {_PROMPT_FORM}) AS prompt_md5
+FROM o_code WHERE NOT {_NOT_ASSESSED}""",
+    "assessment_reassessed": """
+SELECT r.content_hash, coalesce(security_impact, 0) AS security_impact, coalesce(user_impact, 1) AS user_impact
+FROM fx_responses r LEFT JOIN o_assessments USING (content_hash)""",
     "assessments": """
 SELECT *, greatest(security_impact, data_impact, availability_impact, user_impact) AS max_impact
 FROM o_assessments""",
@@ -645,19 +663,19 @@ SELECT repo_id, dir, max(heat_score) AS max_heat, {_HOTTEST_TIER}, count(*) AS f
     "module_rollup": f"""
 SELECT repo_id, array_to_string(string_split(path, '/')[1:2], '/') AS module,
   CAST(sum(greatest(lines, 10)) AS DOUBLE) AS total_weight, max(heat_score) AS max_heat,
-  {_HOTTEST_TIER}, count(*) AS files FROM o_plain GROUP BY repo_id, module""",
+  {_HOTTEST_TIER}, count(*) AS files FROM o_heat GROUP BY repo_id, module""",
     "module_rollup_by_heat": f"""
 SELECT repo_id, array_to_string(string_split(path, '/')[1:2], '/') AS module,
   CAST(sum(greatest(heat_score * heat_score, 50)) AS DOUBLE) / 10e0 AS total_weight,
   max(heat_score) AS max_heat, {_HOTTEST_TIER}, count(*) AS files
-FROM o_plain GROUP BY repo_id, module""",
+FROM o_heat GROUP BY repo_id, module""",
     "treemap_weights": """
 SELECT repo_id, path, greatest(heat_score * heat_score / 10e0, 5e0) AS by_heat,
-  CAST(greatest(lines, 10) AS DOUBLE) AS by_lines FROM o_plain""",
+  CAST(greatest(lines, 10) AS DOUBLE) AS by_lines FROM o_heat""",
     "tree_nodes": f"SELECT *, {_NODE} FROM o_tree",
     "tree_filter": f"""
 SELECT *, {_NODE} FROM (
-SELECT repo_id, path, false AS is_dir, heat_score, tier, lines FROM o_plain
+SELECT repo_id, path, false AS is_dir, heat_score, tier, lines FROM o_heat
 WHERE tier IN ('critical', 'high')
 UNION ALL
 SELECT repo_id, dir, true, max(heat_score), NULL, 0 FROM o_dirs
@@ -665,7 +683,7 @@ WHERE tier IN ('critical', 'high') GROUP BY repo_id, dir)""",
     "tree_search": f"""
 SELECT *, {_NODE} FROM o_tree WHERE contains(lower({_BASE}), 'auth')
 UNION ALL SELECT *, {_NODE} FROM o_tree WHERE contains(lower({_BASE}), 'p77')""",
-    "at_or_above": f"SELECT repo_id, path, tier, {_RANK} AS tier_rank FROM o_plain"
+    "at_or_above": f"SELECT repo_id, path, tier, {_RANK} AS tier_rank FROM o_heat"
                    " WHERE tier <> 'low'",
     # One micro-batch: only days that the watermark (latest event less one day) has passed.
     "churn_stream": """
@@ -676,7 +694,7 @@ WHERE day + INTERVAL 1 DAY
 GROUP BY path, day""",
     "pr_stream": f"""
 SELECT repo_id, pr_number, files_changed, heat_score, tier, blocked, signals
-FROM ({_pr_risk("o_plain", files="o_numstat")})""",
+FROM ({_pr_risk("o_heat", files="o_numstat")})""",
 }
 _O_VIEWS["o_numstat"] = _NUMSTAT
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from riskloom.operators import assessments as assess
 from riskloom.operators import dependencies, history, imports, incidents
 from riskloom.operators import pull_requests as prs
 from riskloom.operators import reports, rollups, sources
-from riskloom.operators.heat import flatten_heat, nest_heat, score_files
+from riskloom.operators.heat import flatten_heat, nest_heat
 from riskloom.plans.analysis import analyze, score_metrics
 from riskloom.plans.review import score_prs
 
@@ -71,18 +72,9 @@ class Inputs:
         """Computed anew for every query; a benchmark reads the saved table instead."""
         return build()
 
-    def plain_heat(self, settings: Settings = STATIC) -> DataFrame:
-        """Heat without import resolution, where a report does not show centrality."""
-        return self.saved("plain_heat", lambda: self._plain_heat(settings))
-
-    def _plain_heat(self, settings: Settings) -> DataFrame:
-        none = self.file_metrics.limit(0).select(
-            "repo_id", "path", F.lit(0).cast("bigint").alias("import_count"),
-            F.lit(0.0).alias("centrality"))
-        return score_files(
-            self.file_metrics, history.file_history(self.commit_files, AS_OF),
-            incidents.incident_rollup(self.incidents, AS_OF).drop("any_recent", "severity_points"),
-            none, settings=settings)
+    def scored(self, settings: Settings = STATIC) -> DataFrame:
+        """The full scored table."""
+        return self.saved("scored", lambda: self.heat(settings))
 
 
 # --- source files -----------------------------------------------------------------
@@ -274,7 +266,7 @@ def centrality(spark, d):
 def dependency_heat(spark, d):
     t = Inputs(spark, d)
     edges = stage(imports.import_edges(t.file_metrics, t.import_refs), "edges")
-    return dependencies.dependency_heat(edges, t.plain_heat())
+    return dependencies.dependency_heat(edges, t.scored())
 
 
 # --- heat -----------------------------------------------------------------------------
@@ -294,7 +286,7 @@ def file_heat_assessed(spark, d):
 @query
 def file_heat_nested(spark, d):
     """The nested shape, flattened again."""
-    return plain(flatten_heat(nest_heat(Inputs(spark, d).plain_heat())))
+    return plain(flatten_heat(nest_heat(Inputs(spark, d).scored())))
 
 
 @query
@@ -331,6 +323,11 @@ def list_files(spark, d):
     return reports.list_files(Inputs(spark, d).assessed_heat(), limit=25)
 
 
+@query
+def list_medium_files_limited(spark, d):
+    return reports.list_files(Inputs(spark, d).assessed_heat(), tier="medium", limit=3)
+
+
 @query
 def list_high_files(spark, d):
     return reports.list_files(Inputs(spark, d).assessed_heat(), tier="high")
@@ -432,7 +429,7 @@ def pr_risk(spark, d):
 @query
 def pr_signals(spark, d):
     t = Inputs(spark, d)
-    return prs.pr_signals(score_prs(t.pr_files, t.plain_heat(), STATIC).verdicts)
+    return prs.pr_signals(score_prs(t.pr_files, t.scored(), STATIC).verdicts)
 
 
 @query
@@ -440,7 +437,7 @@ def pr_described(spark, d):
     """Verdicts with descriptions and other limits; includes pull requests without files."""
     t = Inputs(spark, d)
     settings = Settings(tiers=STATIC.tiers, breakers=BreakerLimits(800, 2, 0.25, True))
-    verdicts = score_prs(t.pr_files, t.plain_heat(settings), settings, t.descriptions).verdicts
+    verdicts = score_prs(t.pr_files, t.scored(settings), settings, t.descriptions).verdicts
     return verdicts.select(
         "repo_id", "pr_number", "files_changed", "heat_score", "tier", "blocked",
         F.array_join("signals", "; ").alias("signals"))
@@ -466,7 +463,8 @@ def assessment_plan(spark, d):
 def assessment_excerpts(spark, d):
     t = Inputs(spark, d)
     return assess.assessable(t.code_files).select(
-        "repo_id", "path", F.md5(texts.prompt_excerpt(F.col("content"))).alias("excerpt_md5"))
+        "repo_id", "path",
+        F.md5(texts.prompt_excerpt(F.col("content"), texts.PROMPT_LINES)).alias("excerpt_md5"))
 
 
 @query
@@ -474,10 +472,7 @@ def assessment_prompts(spark, d):
     t = Inputs(spark, d)
     prompt = texts.assessment_prompt(F.col("path"), F.col("content"))
     return assess.assessable(t.code_files).select(
-        "repo_id", "path",
-        F.contains(prompt, F.col("path")).alias("names_file"),
-        F.contains(prompt, texts.prompt_excerpt(F.col("content"))).alias("shows_file"),
-        F.contains(prompt, F.lit('"security_impact":')).alias("asks_json"))
+        "repo_id", "path", F.md5(prompt).alias("prompt_md5"))
 
 
 @query
@@ -504,6 +499,18 @@ def assessment_merge(spark, d):
     return assess.merge_assessments(cached, done.filter(number % 3 == 0))
 
 
+@query
+def assessment_reassessed(spark, d):
+    """Every response three times, in batches that differ; the newest readable one wins."""
+    answers = Inputs(spark, d).responses
+    batches = [(0, F.lit('{"user_impact": 1}')), (1, F.col("text")), (2, F.lit("not readable"))]
+    repeated = reduce(DataFrame.unionByName, [
+        answers.select("content_hash", text.alias("text"), F.lit(n).cast("bigint").alias("batch"))
+        for n, text in batches])
+    return assess.accepted(assess.parse_responses(repeated)).select(
+        "content_hash", "security_impact", "user_impact")
+
+
 @query
 def assessment_counters(spark, d):
     t = Inputs(spark, d)
@@ -518,56 +525,56 @@ def assessment_counters(spark, d):
 
 @query
 def dir_rollup(spark, d):
-    return rollups.dir_rollup(Inputs(spark, d).plain_heat())
+    return rollups.dir_rollup(Inputs(spark, d).scored())
 
 
 @query
 def dir_tier_counts(spark, d):
-    return rollups.dir_tier_counts(Inputs(spark, d).plain_heat(), STATIC)
+    return rollups.dir_tier_counts(Inputs(spark, d).scored(), STATIC)
 
 
 @query
 def explorer_dirs(spark, d):
-    return rollups.explorer_dirs(Inputs(spark, d).plain_heat())
+    return rollups.explorer_dirs(Inputs(spark, d).scored())
 
 
 @query
 def module_rollup(spark, d):
-    return rollups.module_rollup(Inputs(spark, d).plain_heat())
+    return rollups.module_rollup(Inputs(spark, d).scored())
 
 
 @query
 def module_rollup_by_heat(spark, d):
-    return rollups.module_rollup(Inputs(spark, d).plain_heat(), weight="heat")
+    return rollups.module_rollup(Inputs(spark, d).scored(), weight="heat")
 
 
 @query
 def treemap_weights(spark, d):
     heat, lines = F.col("heat_score"), F.col("lines")
-    return Inputs(spark, d).plain_heat().select(
+    return Inputs(spark, d).scored().select(
         "repo_id", "path", scores.treemap_weight(heat, lines, "heat").alias("by_heat"),
         scores.treemap_weight(heat, lines, "lines").alias("by_lines"))
 
 
 @query
 def tree_nodes(spark, d):
-    return rollups.sort_tree(rollups.tree_nodes(Inputs(spark, d).plain_heat()))
+    return rollups.sort_tree(rollups.tree_nodes(Inputs(spark, d).scored()))
 
 
 @query
 def tree_filter(spark, d):
-    return rollups.filter_tree(Inputs(spark, d).plain_heat(), ["critical", "high"])
+    return rollups.filter_tree(Inputs(spark, d).scored(), ["critical", "high"])
 
 
 @query
 def tree_search(spark, d):
-    return rollups.search_tree(Inputs(spark, d).plain_heat(), "AUTH") \
-        .unionByName(rollups.search_tree(Inputs(spark, d).plain_heat(), "p77"))
+    return rollups.search_tree(Inputs(spark, d).scored(), "AUTH") \
+        .unionByName(rollups.search_tree(Inputs(spark, d).scored(), "p77"))
 
 
 @query
 def at_or_above(spark, d):
-    return reports.at_or_above(Inputs(spark, d).plain_heat(), "medium").select(
+    return reports.at_or_above(Inputs(spark, d).scored(), "medium").select(
         "repo_id", "path", "tier", scores.tier_rank(F.col("tier")).alias("tier_rank"))
 
 
@@ -598,7 +605,7 @@ def pr_stream(spark, d):
     t.numstat.write.parquet(feed)
     lines = spark.readStream.schema("repo_id string, pr_number bigint, value string").parquet(feed)
     heat = new_path(spark, "heat")
-    t.plain_heat().write.parquet(heat)
+    t.scored().write.parquet(heat)
     out = new_path(spark, "verdicts")
     score_stream(
         prs.parse_numstat(lines), lambda s: s.read.parquet(heat), out,
