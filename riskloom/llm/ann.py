@@ -9,16 +9,17 @@ distances. Results are inner products of the original vectors in double precisio
   and again until no cluster holds more than a list's share, so lists come out even.
 * Index: every vector goes to the list of its nearest centroid, and if it lies near a
   boundary to up to ``copies`` lists in all: those whose centroid is at most ``1 + spread``
-  times as far, unless a centroid chosen before is nearer to that centroid than the vector is.
+  times as far.
 * Search: a graph of near centroids, held in memory, is walked from a few entries; of the
   centroids found, those at most ``1 + ratio`` times as far as the nearest are kept, and as
   many more as it takes to hold ``k`` others. The lists are scanned exactly.
-
-Recall against brute force is measured in ``tests/llm`` and stated in the README.
+* The ratio is the smallest that finds a share of ``recall`` of the neighbours that brute
+  force finds within the sample. Neighbours in all vectors are nearer than those in a
+  sample, so recall on the whole is no lower but for chance; ``tests/llm`` measures it.
 
 Defined cases: vectors that are null, zero, of another length than most of the sample, or
-hold null or non-finite components take no part; rows that repeat a vec_id count once, with
-the largest score; ties go to the smaller vec_id; fewer candidates than ``k`` are all given;
+hold null or non-finite components take no part; of rows that repeat a vec_id the one with
+the largest components, compared in order, counts; ties go to the smaller vec_id; fewer candidates than ``k`` are all given;
 an empty table gives no rows; other columns are not read.
 
 Scale: centroids (at most ``lists``) and their graph are the only things broadcast. A list is
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import written
 
+STEP = 8
+
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0))
@@ -64,30 +67,53 @@ class Index:
     graph: np.ndarray
     entries: np.ndarray
     norm: float
+    ratio: float = 0.0
+    width: int = 1
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))[:, None]])
 
+    def aim(self, q: np.ndarray) -> np.ndarray:
+        y = q * (self.norm / np.linalg.norm(q, axis=1))[:, None]
+        return np.hstack([y, np.zeros((len(y), 1))])
+
     def lists_of(self, x: np.ndarray, copies: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
         """Row and list of every copy of the vectors."""
         y = self.lift(x)
         d = _distances(y, self.centroids)
-        near = np.argsort(d, axis=1, kind="stable")[:, : max(4 * copies, 1)]
+        near = np.argsort(d, axis=1, kind="stable")[:, :copies]
         dn = np.take_along_axis(d, near, 1)
-        taken = np.zeros(near.shape, bool)
-        taken[:, 0] = True
-        for j in range(1, near.shape[1]):
-            apart = np.linalg.norm(self.centroids[near] - self.centroids[near[:, j]][:, None], axis=2)
-            hidden = (taken & (apart < dn[:, j][:, None])).any(1)
-            taken[:, j] = (dn[:, j] <= (1 + spread) * dn[:, 0]) & ~hidden & (taken.sum(1) < copies)
-        row, col = np.nonzero(taken)
+        row, col = np.nonzero(dn <= (1 + spread) * dn[:, :1])
         return row, near[row, col]
 
+    def calibrate(self, x: np.ndarray, k: int, copies: int, spread: float, recall: float) -> None:
+        """Sets ratio and width by up to 200 of the vectors as queries against all of them."""
+        asked = np.unique(np.linspace(0, len(x) - 1, min(len(x), 200)).astype(np.int64))
+        score = x[asked] @ x.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        row, at = self.lists_of(x, copies, spread)
+        member = np.zeros((len(x), len(self.centroids)), bool)
+        member[row, at] = True
+        d = _distances(self.aim(x[asked]), self.centroids)
+        found = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, found, 1)
+        for self.ratio in np.arange(0.02, 2.0, 0.01).tolist():
+            keep = d <= (1 + self.ratio) * d[:, :1]
+            opened = np.zeros((len(asked), len(self.centroids)), bool)
+            r, c = np.nonzero(keep)
+            opened[r, found[r, c]] = True
+            if np.mean([(member[n] & o).any(1).mean() for n, o in zip(near, opened)]) >= recall:
+                break
+        self.width = int(min(len(self.centroids), 32 + 1.5 * keep.sum(1).max()))
+
     def walk(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For every query, up to ``width`` centroids found in the graph, nearest first, and
         their distances (infinite where there are fewer)."""
-        y = q * (self.norm / np.linalg.norm(q, axis=1))[:, None]
-        y = np.hstack([y, np.zeros((len(y), 1))])
+        y = self.aim(q)
         n, m = len(y), len(self.centroids)
         every = np.arange(n)[:, None]
         seen = np.zeros((n, m), bool)
@@ -95,13 +121,20 @@ class Index:
         seen[every, at] = True
         far = lambda at: np.linalg.norm(self.centroids[at] - y[:, None], axis=2)
         d, open_ = far(at), np.ones(at.shape, bool)
+        rows = np.arange(n)
         while open_.any():
-            pick = np.where(open_, d, np.inf).argmin(1)
-            live = open_[np.arange(n), pick]
-            open_[np.arange(n), pick] = False
-            new = self.graph[at[np.arange(n), pick]]
-            fresh = ~seen[every, new] & live[:, None]
-            seen[every, new] |= fresh
+            # The nearest few that are open, then one new order of all.
+            ahead = np.where(open_, d, np.inf)
+            picks = np.argpartition(ahead, min(STEP, d.shape[1]) - 1, axis=1)[:, :STEP]
+            more, new_ones = [], []
+            for pick in picks.T:
+                live = open_[rows, pick]
+                open_[rows, pick] = False
+                new = self.graph[at[rows, pick]]
+                new_ones.append(~seen[every, new] & live[:, None])
+                seen[every, new] |= live[:, None]
+                more.append(new)
+            new, fresh = np.hstack(more), np.hstack(new_ones)
             dn = np.where(fresh, far(new), np.inf)
             at, d, open_ = np.hstack([at, new]), np.hstack([d, dn]), np.hstack([open_, fresh])
             order = np.argsort(d, axis=1, kind="stable")[:, :width]
@@ -118,7 +151,11 @@ def fit(x: np.ndarray, norm: float, lists: int) -> Index:
     links = min(len(c), 25)
     far = rng.integers(0, len(c), (len(c), 4))
     far[:, 0] = (np.arange(len(c)) + 1) % len(c)
-    index.centroids, index.graph = c, np.hstack([near[:, :links], far])
+    graph = np.hstack([near[:, :links], far])
+    for row, own in zip(graph, range(len(c))):  # a node named twice would be scanned twice
+        _, once = np.unique(row, return_index=True)
+        row[np.setdiff1d(np.arange(len(row)), once)] = own
+    index.centroids, index.graph = c, graph
     index.entries = np.unique(np.linspace(0, len(c) - 1, min(len(c), 8)).astype(np.int64))
     return index
 
@@ -135,21 +172,25 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(e, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int = 200, lists: int = 2048, sample: int = 20_000,
-           copies: int = 4, spread: float = 0.12, ratio: float = 0.25, width: int = 96, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int = 400, lists: int = 2048, sample: int = 20_000,
+           copies: int = 3, spread: float = 0.02, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of every query (vec_id, embedding)
     among all vectors but those with the query's own id."""
-    every, asked = usable(vectors), usable(queries)
+    # One row for each id; equal rows and different ones come down to the same choice.
+    one = lambda df: usable(df).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    every, asked = written(one(vectors), "vectors"), one(queries)
     drawn = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     out = "query_id long, rank int, vec_id long, score double"
     if not drawn.num_rows:
         return vectors.sparkSession.createDataFrame([], out)
     dims = np.bincount([len(v) for v in drawn["embedding"]]).argmax().item()
-    every, asked = every.filter(F.size("embedding") == dims), asked.filter(F.size("embedding") == dims).dropDuplicates(["vec_id"])
+    every, asked = every.filter(F.size("embedding") == dims), asked.filter(F.size("embedding") == dims)
     drawn = drawn.filter(pa.array([len(v) == dims for v in drawn["embedding"]]))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     n, norm = every.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
-    index = fit(_matrix(drawn["embedding"]), norm, int(min(max(n // per_list, 1), lists)))
+    drawn = _matrix(drawn["embedding"])
+    index = fit(drawn, norm, int(min(max(n // per_list, 1), lists)))
+    index.calibrate(drawn, k, copies, spread, recall)
     held = vectors.sparkSession.sparkContext.broadcast(index)
 
     def post(batches):
@@ -162,11 +203,12 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int
     counted = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = np.array([counted.get(i, 0) for i in range(len(index.centroids))])
     blocks = np.maximum(-(-sizes // block), 1)
+    index_width = index.width
 
     def probe(batches):
         for batch in batches:
-            at, d = held.value.walk(_matrix(batch["embedding"]), min(width, len(sizes)))
-            keep = d <= (1 + ratio) * d[:, :1]
+            at, d = held.value.walk(_matrix(batch["embedding"]), max(index_width, min(len(sizes), 64)))
+            keep = d <= (1 + held.value.ratio) * d[:, :1]
             # Copies of a vector may stand in several lists: enough of them for k others.
             before = np.cumsum(np.where(np.isfinite(d), sizes[at], 0), axis=1) - sizes[at]
             keep |= before < copies * (k + 1)
@@ -194,12 +236,13 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int
             for i in range(0, len(q), 256):
                 s = q[i : i + 256] @ x.T
                 s[asked_ids[i : i + 256][:, None] == ids] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")
-                # Rows of one vec_id count once: keep enough to have k different ones.
-                for j, b in enumerate(best):
-                    b = b[: k] if len(np.unique(ids[b[:k]])) == min(k, len(b)) else b
-                    b = b[s[j, b] > -np.inf]
-                    parts.append((np.full(len(b), asked_ids[i + j]), ids[b], s[j, b]))
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+                row, col = np.nonzero((s >= least) & (s > -np.inf))
+                order = np.lexsort((col, -s[row, col], row))  # columns stand in order of ids
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[nth < k], col[nth < k]
+                parts.append((asked_ids[i + row], ids[col], s[row, col]))
             found = [np.concatenate(p) for p in zip(*parts)]
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
