@@ -5,8 +5,11 @@ distinct shingles of five words, or its whole word sequence if that is shorter.
 held as sorted 64-bit hashes; equal sets are one node, known by a 64-bit hash of the set.
 
 Candidates come from index lists. Shingles are ordered from rare to common, by a count
-sketch of fixed size (one pass over all documents) and then by hash; two sets that are alike
-share one of their first n - ceil(0.8 n) + 1 shingles, so only these are listed. Every list
+sketch of fixed size (one pass over all documents) and then by hash. Two sets that are alike
+share a fifth of the shorter set at least among the first two fifths of each, so a set that
+shares less of its own with all others is out, whatever passages it shares behind them. They
+also share one of their first n - ceil(0.8 n) + 1 shingles, so of the others only these are
+listed. Every list
 sends its members to the group of its first member, and sets travel once for each group they
 are in, not once for each pair.
 
@@ -136,28 +139,91 @@ def measured(documents: DataFrame) -> DataFrame:
     return written(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, cell int, count long"), "sets")
 
 
-def _first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, one of which every set that is alike shares."""
-    order = np.lexsort((s, sketch[(s >> np.uint64(48)).astype(np.int64)]))
-    return s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]]
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(48)).astype(np.int64)
 
 
-def _listed(documents: DataFrame, sketch: np.ndarray, hot: np.ndarray, n_buckets: int) -> DataFrame:
-    """node, group: the groups that each set is sent to, if it shares a list at all."""
+def _rarest(s: np.ndarray, sketch: np.ndarray, size: int) -> np.ndarray:
+    return s[np.lexsort((s, sketch[_cells(s)]))[:size]]
+
+
+def _probed(n: int) -> int:
+    """Rarest shingles that are listed: sets that are alike share one of them."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _weighed(n: int) -> int:
+    """Rarest shingles that are looked at before, two fifths. A set of m shingles shares all
+    of them but m - ceil(0.8 m) with one that is alike, up to the end of the shorter two
+    fifths: m / 5 at least, and m is four fifths of n at least."""
+    return (2 * n + 4) // 5
+
+
+def _needed(n):
+    return F.floor((F.floor((4 * n + 4) / 5) + 4) / 5)
+
+
+def _promising(documents: DataFrame, size: DataFrame, sketch: np.ndarray, hot: np.ndarray, n_buckets: int) -> DataFrame:
+    """node: the sets that share enough of their rarest two fifths with any others.
+
+    Hot shingles count as shared without being looked at."""
 
     def entries(batches):
-        out, seen = Buckets(n_buckets, ["shingle", "node"]), set()
+        out, seen = Buckets(n_buckets, ["shingle", "node"], runs="node"), set()
         for batch in batches:
             for s in shingle_sets(_texts(batch)):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                if len(seen) > 2_000_000:  # only saves repeated entries
-                    seen.clear()
-                p = _first(s, sketch)
-                p = p[~hot[(p >> np.uint64(48)).astype(np.int64)]]
-                out.add(((p >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32), p, np.full(len(p), key, np.int64))
+                p = _rarest(s, sketch, _weighed(len(s)))
+                own = ~hot[_cells(p)]
+                # A hot shingle stands as two entries of a bucket of its own.
+                bucket = np.where(own, (p >> np.uint64(32)) % np.uint64(n_buckets), np.uint64(key % n_buckets))
+                out.add(bucket.astype(np.int32), np.where(own, p.astype(np.uint32), np.uint32(0)), np.full(len(p), key, np.int64))
                 yield from out.flush(out.limit)
+            if len(seen) > 2_000_000:  # only saves repeated entries
+                seen.clear()
+        yield from out.flush()
+
+    def count(t: pa.Table) -> pa.Table:
+        shingle = unpacked(t["shingle"], np.uint32)
+        node = np.repeat(unpacked(t["node"], np.int64), unpacked(t["node_runs"], np.uint32))
+        order = np.lexsort((node, shingle))
+        shingle, node = shingle[order], node[order]
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]) | (shingle[1:] == 0)]
+        shingle, node = shingle[new], node[new]
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        times = np.repeat(np.diff(np.r_[first, len(shingle)]), np.diff(np.r_[first, len(shingle)]))
+        found, counts = np.unique(node[(times > 1) | (shingle == 0)], return_counts=True)
+        return pa.table({"node": found, "shared": counts})
+
+    shared = documents.select("text").mapInArrow(entries, "bucket int, shingle binary, node binary, node_runs binary").groupBy(
+        "bucket").applyInArrow(count, "node long, shared long")
+    return shared.groupBy("node").agg(F.sum("shared").alias("shared")).join(size, "node").filter(
+        F.col("shared") >= _needed(F.col("n"))).select("node")
+
+
+def _listed(documents: DataFrame, wanted: np.ndarray, sketch: np.ndarray, hot: np.ndarray, n_buckets: int) -> DataFrame:
+    """node, group: the groups that each promising set is sent to, if it shares a list at all."""
+
+    def probes(batches, of_hot: bool):
+        seen = set()
+        for batch in batches:
+            for s in shingle_sets(_texts(batch)):
+                if not len(s) or (key := set_key(s)) in seen or not may_hold(wanted, np.array([key]))[0]:
+                    continue
+                seen.add(key)
+                p = _rarest(s, sketch, _probed(len(s)))
+                p = p[hot[_cells(p)] == of_hot]
+                yield p, np.full(len(p), key, np.int64)
+            if len(seen) > 2_000_000:
+                seen.clear()
+
+    def entries(batches):
+        out = Buckets(n_buckets, ["shingle", "node"])
+        for p, key in probes(batches, False):
+            out.add(((p >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32), p, key)
+            yield from out.flush(out.limit)
         yield from out.flush()
 
     def lists(t: pa.Table) -> pa.Table:
@@ -177,14 +243,12 @@ def _listed(documents: DataFrame, sketch: np.ndarray, hot: np.ndarray, n_buckets
     if hot.any():
 
         def hot_entries(batches):
-            for batch in batches:
-                for s in shingle_sets(_texts(batch)):
-                    p = _first(s, sketch) if len(s) else s
-                    p = p[hot[(p >> np.uint64(48)).astype(np.int64)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), set_key(s) if len(p) else 0, np.int64))], ["shingle", "node"])
+            for p, key in probes(batches, True):
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(key)], ["shingle", "node"])
 
         rows = documents.select("text").mapInArrow(hot_entries, "shingle long, node long").distinct()
-        least = rows.groupBy("shingle").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # Written, so that the join has two plain shuffles, whose skewed keys Spark splits.
+        least = written(rows.groupBy("shingle").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "hot")
         found = found.unionByName(rows.join(least, "shingle").select("node", "group"))
     return found.distinct()
 
@@ -311,8 +375,11 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
     counts = sets.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()
     sketch = np.zeros(CELLS, np.int64)
     sketch[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    n_buckets = int(max(4 * partitions(spark), sketch.sum() // 1_000_000))
-    listed = written(_listed(documents, sketch, sketch > hot + 2 * sketch.mean(), n_buckets), "listed")
+    n_buckets = int(max(partitions(spark), sketch.sum() // 4_000_000))
+    too_many = sketch > hot + 2 * sketch.mean()
+    size = sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    promising = written(_promising(documents, size, sketch, too_many, n_buckets), "promising")
+    listed = written(_listed(documents, id_filter(promising, "node"), sketch, too_many, n_buckets), "listed")
     wanted = id_filter(listed, "node")
 
     def ship(batches):
@@ -330,7 +397,6 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     shipped = documents.select("text").mapInArrow(ship, "node long, shingles binary")
-    size = sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
     groups = listed.join(size, "node").groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / members, F.col("total") / shingles)).cast("int")
     groups = groups.select("group", blocks.alias("blocks"))

@@ -377,7 +377,8 @@ def _hot_marks(documents: DataFrame, hot: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["rank"], b["node"], pa.array([m.tobytes() for m in marks], pa.binary())], ["rank", "node", "marks"])
 
     rows = documents.select("rank", "text").mapInArrow(strings, "rank long, node long, place long, bit long, h1 long, h2 long")
-    least = rows.groupBy("h1", "h2").agg(F.min("rank").alias("least"))
+    # Written, so that the join has two plain shuffles, whose skewed keys Spark splits.
+    least = written(rows.groupBy("h1", "h2").agg(F.min("rank").alias("least")), "least")
     late = rows.join(least, ["h1", "h2"]).filter("rank > least")
     return late.groupBy("rank", "node", "place").agg(F.bit_or("bit").alias("bits")).mapInArrow(packed, "rank long, node long, marks binary")
 
