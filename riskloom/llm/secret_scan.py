@@ -144,8 +144,10 @@ def redact(documents: DataFrame, model: list[float], **options) -> DataFrame:
     done = F.aggregate("cuts", start, step, lambda a: F.concat(
         F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text))))
     cut = F.when(F.col("cuts").isNull(), text).otherwise(done)
-    columns = {"text": cut} | ({"n_chars": F.length(cut).cast("long")} if "n_chars" in documents.columns else {})
-    return joined.withColumns(columns).select(*documents.columns)
+    # In a step of its own: beside the new text, "text" would name that one.
+    done = joined.withColumn("cut_text", cut)
+    new = {"text": F.col("cut_text")} | ({"n_chars": F.length("cut_text").cast("long")} if "n_chars" in documents.columns else {})
+    return done.select(*[new[c].alias(c) if c in new else documents[c] for c in documents.columns])
 
 
 def samples_of(documents: DataFrame, *, shortest: int = 10) -> DataFrame:
