@@ -286,8 +286,9 @@ class Group:
         return lo + np.flatnonzero(100 * o >= 80 * (n + self.n[lo:hi] - o))
 
     def answers(self, wanted=None):
-        """(x, positions alike) of sets in a useful order, until nothing can be added. With
-        ``wanted``, of just these sets, all of them."""
+        """(x, positions alike, first positions of the components that these join to that of
+        x) in a useful order, until nothing can be added. With ``wanted``, of just these
+        sets, all of them."""
         m = len(self.n)
         root, computed, rows = np.arange(m), np.zeros(m, bool), {}
         x = 0
@@ -317,8 +318,8 @@ class Group:
                 rows.pop(next(iter(rows)))
             rows[x] = overlap
             near = self.alike(x, overlap)
-            yield x, near
             joined = np.unique(root[near])
+            yield x, near, joined[joined != root[x]]
             if len(joined) > 1:
                 root[np.isin(root, joined)] = joined[0]
 
@@ -348,15 +349,18 @@ def _members(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
     return node[order], [sets[i] for i in order], np.array(order, np.int64)
 
 
+def _joins(node: np.ndarray, answers) -> pa.RecordBatch:
+    """Links that make one component of several: fewer than there are sets."""
+    pairs = [(node[x], node[to]) for x, _, joins in answers for to in joins]
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _links(batches):
     for block in _blocks(batches, ["group", "block"]):
         node, sets, _ = _members(block)
         if len(sets) > 1:
-            a, b = [], []
-            for x, near in Group(sets).answers():
-                a.append(np.full(len(near), node[x]))
-                b.append(node[near])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield _joins(node, Group(sets).answers())
 
 
 def _asked_links(batches):
@@ -365,8 +369,7 @@ def _asked_links(batches):
         asked = np.unique(block["node"].to_numpy()[block["asked"].to_numpy(zero_copy_only=False)])
         wanted = np.flatnonzero(np.isin(node, asked))
         if len(wanted) and len(sets) > 1:
-            for x, near in Group(sets).answers(list(wanted)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), node[x])), pa.array(node[near])], ["a", "b"])
+            yield _joins(node, Group(sets).answers(list(wanted)))
 
 
 def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shingles: int) -> DataFrame:
@@ -379,7 +382,8 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
     too_many = sketch > hot + 2 * sketch.mean()
     size = sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
     promising = written(_promising(documents, size, sketch, too_many, n_buckets), "promising")
-    listed = written(_listed(documents, id_filter(promising, "node"), sketch, too_many, n_buckets), "listed")
+    to_list = promising.join(size, "node").agg(F.sum("n")).first()[0] or 0
+    listed = written(_listed(documents, id_filter(promising, "node"), sketch, too_many, int(to_list // 1_000_000 + 1)), "listed")
     wanted = id_filter(listed, "node")
 
     def ship(batches):
