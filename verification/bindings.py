@@ -89,12 +89,14 @@ SELECT repo_id, 'e' || CAST(event_id AS STRING) AS sha, path,
   CASE event_type WHEN 'error' THEN 'Resolve crash (#' || CAST(event_id AS STRING) || ')'
        WHEN 'view' THEN 'Merge pull request #' || CAST(event_id AS STRING) || ' from y'
        ELSE 'Extend ' || event_type END AS message
-FROM @events@ JOIN fx_source_files ON doc_id = event_id % 150""",
+FROM (SELECT *, event_id % (SELECT count(*) FROM @documents@) AS of_doc FROM @events@)
+JOIN fx_source_files ON doc_id = of_doc""",
     "fx_doc_incidents": """
 SELECT repo_id, path AS file, ts AS date,
   CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium'
        ELSE 'low' END AS severity
-FROM @events@ JOIN fx_source_files ON doc_id = event_id % 600
+FROM (SELECT *, event_id % (SELECT count(*) FROM @documents@) AS of_doc FROM @events@)
+JOIN fx_source_files ON doc_id = of_doc
 WHERE event_type = 'error' AND value > 40""",
     "fx_part_path": """
 SELECT p_partkey, p_size,
@@ -209,8 +211,9 @@ FROM @orders@""",
 }
 
 
-def with_views(names: list[str], body: str, views: dict[str, str] = VIEWS) -> str:
-    """The body with the named views, and all views those need, in front of it."""
+def with_views(names: list[str], body: str, views: dict[str, str] = VIEWS, once: bool = False) -> str:
+    """The body with the named views, and all views those need, in front of it; with
+    ``once`` (DuckDB only) each is computed a single time."""
     ordered: list[str] = []
 
     def need(name: str) -> None:
@@ -223,7 +226,8 @@ def with_views(names: list[str], body: str, views: dict[str, str] = VIEWS) -> st
 
     for name in names:
         need(name)
-    ctes = ",\n".join(f"{n} AS ({views[n].strip()})" for n in ordered)
+    held = "MATERIALIZED " if once else ""
+    ctes = ",\n".join(f"{n} AS {held}({views[n].strip()})" for n in ordered)
     return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
 
 

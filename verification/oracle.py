@@ -158,7 +158,8 @@ UNION ALL
 SELECT r.repo_id, r.path, r.imp, min(h.path), 'loose'
 FROM (SELECT *, row_number() OVER () AS line FROM {refs}) r
 LEFT JOIN (SELECT i.repo_id, i.imp, f.path FROM (SELECT DISTINCT repo_id, imp FROM {refs}) i
-           JOIN {files} f ON f.repo_id = i.repo_id AND contains(f.path, i.imp)) h
+           JOIN {files} f ON f.repo_id = i.repo_id AND contains(f.path, i.imp)
+           QUALIFY row_number() OVER (PARTITION BY i.repo_id, i.imp ORDER BY f.path) <= 2) h
   ON h.repo_id = r.repo_id AND h.imp = r.imp AND h.path <> r.path
 GROUP BY r.line, r.repo_id, r.path, r.imp"""
 
@@ -705,5 +706,5 @@ def all_sql() -> dict[str, str]:
     out = {}
     for name, body in SQL.items():
         used = [n for n in dict.fromkeys(re.findall(r"\b[fo][x]?_\w+\b", body)) if n in _EVERY]
-        out[name] = re.sub(r"@(\w+)@", r"\1", with_views(used, body, _EVERY))
+        out[name] = re.sub(r"@(\w+)@", r"\1", with_views(used, body, _EVERY, once=True))
     return out
