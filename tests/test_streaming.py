@@ -40,9 +40,14 @@ def test_pull_requests_across_batches(spark, tmp_path):
 
     push([("r", 1, "1\t1\tcold.go"), ("r", 2, "600\t0\thot.go")])
     push([("r", 1, "1\t1\thot.go")])
-    verdicts = spark.read.parquet(out)
-    assert verdicts.count() == 3
-    got = {r.pr_number: (r.tier, r.signals) for r in review.current(verdicts).collect()}
+    assert spark.read.parquet(f"{out}/verdicts").count() == 3
+    verdicts = review.verdicts(spark, out)
+    got = {r.pr_number: (r.tier, r.signals) for r in verdicts.collect()}
+    assert {r.pr_number: r.files_changed for r in verdicts.collect()} == {1: 2, 2: 1}
     assert got[1] == ("critical", ["Low test ratio (<0.3)"])
     assert got[2] == ("critical", ["Large diff (>500 lines)", "Low test ratio (<0.3)"])
-    assert review.current(verdicts).filter(F.col("blocked")).count() == 2
+    assert verdicts.filter(F.col("blocked")).count() == 2
+    # The other half of a diff, and a file that comes again with other numbers.
+    push([("r", 2, "900\t0\tcold_test.go"), ("r", 1, "2\t0\thot.go")])
+    got = {r.pr_number: (r.total_lines, r.signals) for r in review.verdicts(spark, out).collect()}
+    assert got[2] == (1500, ["Large diff (>500 lines)"]) and got[1][0] == 4

@@ -166,7 +166,8 @@ SELECT DISTINCT 'r' || CAST(l_orderkey % 4 AS STRING) AS repo_id, stem || ext AS
 FROM @lineitem@ JOIN fx_part_path ON p_partkey = l_partkey""",
     "fx_import_refs": """
 SELECT DISTINCT 'r' || CAST(l_orderkey % 4 AS STRING) AS repo_id, a.stem || a.ext AS path,
-  b.stem AS imp
+  CASE WHEN l_linenumber % 3 = 0 THEN b.stem
+       ELSE substring(b.stem || b.ext, CAST(1 + l_orderkey % 9 AS INTEGER), CAST(1 + l_partkey % 40 AS INTEGER)) END AS imp
 FROM @lineitem@ JOIN fx_part_path a ON a.p_partkey = l_partkey
   JOIN fx_part_path b ON b.p_partkey = l_suppkey""",
     "fx_coverage": """

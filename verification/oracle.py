@@ -693,6 +693,15 @@ FROM (SELECT event_type AS path, date_trunc('day', ts) AS day FROM events)
 WHERE day + INTERVAL 1 DAY
   <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
 GROUP BY path, day""",
+    "churn_90d_stream": f"""
+SELECT 'r' AS repo_id, path, count(*) AS commits_last_90d
+FROM (SELECT event_type AS path, date_trunc('day', ts) AS day FROM events)
+WHERE day >= TIMESTAMP '{DOC_AS_OF}' - INTERVAL 90 DAY AND day + INTERVAL 1 DAY
+  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
+GROUP BY path""",
+    "heat_saved": _HEAT_OUT + "o_heat",
+    "assessments_saved": """
+SELECT * REPLACE ('again' AS critical_reason) FROM o_assessments""",
     "pr_stream": f"""
 SELECT repo_id, pr_number, files_changed, heat_score, tier, blocked, signals
 FROM ({_pr_risk("o_heat", files="o_numstat")})""",

@@ -19,9 +19,10 @@ from riskloom.plans.analysis import analyze, score_metrics
 from riskloom.plans.review import score_prs
 
 from riskloom.settings import BreakerLimits, Settings, TierThresholds
+from riskloom.sources import readers, writers
 from riskloom.sources.staging import new_path, stage
-from riskloom.streaming.churn import daily_churn
-from riskloom.streaming.review import current, score_stream
+from riskloom.streaming.churn import daily_churn, recent_commits
+from riskloom.streaming.review import score_stream, verdicts
 from verification.bindings import AS_OF, DOC_AS_OF, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,9 +582,7 @@ def at_or_above(spark, d):
 # --- streams ----------------------------------------------------------------------------
 
 
-@query
-def churn_stream(spark, d):
-    """Daily commit counts from the events table read as a stream."""
+def _daily(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") \
         .parquet(d).select(
@@ -593,8 +592,37 @@ def churn_stream(spark, d):
         .option("checkpointLocation", new_path(spark, "churn-log")) \
         .trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return plain(spark.read.schema("repo_id string, path string, day timestamp, commits bigint")
-                 .parquet(out))
+    return spark.read.schema("repo_id string, path string, day timestamp, commits bigint").parquet(out)
+
+
+@query
+def churn_stream(spark, d):
+    """Daily commit counts from the events table read as a stream."""
+    return plain(_daily(spark, d))
+
+
+@query
+def churn_90d_stream(spark, d):
+    """Commits of the last 90 days from the stream's daily counts."""
+    return recent_commits(_daily(spark, d), DOC_AS_OF)
+
+
+@query
+def heat_saved(spark, d):
+    """The scored table, written and read back."""
+    path = new_path(spark, "heat")
+    writers.write_heat(Inputs(spark, d).scored(), path)
+    return plain(readers.read_heat(spark, path))
+
+
+@query
+def assessments_saved(spark, d):
+    """Two appended batches of the same contents, read back: the second counts."""
+    path = new_path(spark, "assessments")
+    done = Inputs(spark, d).assessments()
+    writers.append_assessments(done, path, batch=1)
+    writers.append_assessments(done.withColumn("critical_reason", F.lit("again")), path, batch=2)
+    return readers.read_assessments(spark, path)
 
 
 @query
@@ -602,8 +630,10 @@ def pr_stream(spark, d):
     """Verdicts of diffs that arrive as a stream of numstat lines."""
     t = Inputs(spark, d)
     feed = new_path(spark, "feed")
-    t.numstat.write.parquet(feed)
-    lines = spark.readStream.schema("repo_id string, pr_number bigint, value string").parquet(feed)
+    # Lines of one diff are spread over the files, and each file is a batch.
+    t.numstat.repartition(4, "value").write.parquet(feed)
+    lines = spark.readStream.schema("repo_id string, pr_number bigint, value string").option(
+        "maxFilesPerTrigger", 1).parquet(feed)
     heat = new_path(spark, "heat")
     t.scored().write.parquet(heat)
     out = new_path(spark, "verdicts")
@@ -611,7 +641,7 @@ def pr_stream(spark, d):
         prs.parse_numstat(lines), lambda s: s.read.parquet(heat), out,
         new_path(spark, "verdicts-log"), STATIC,
     ).awaitTermination()
-    return current(spark.read.parquet(out)).select(
+    return verdicts(spark, out).select(
         "repo_id", "pr_number", "files_changed", "heat_score", "tier", "blocked",
         F.array_join("signals", "; ").alias("signals"))
 
