@@ -9,8 +9,6 @@ a name that is given more than once the last value counts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,28 +22,27 @@ _KINDS = {f.name: "BIGINT" if isinstance(f.dataType, T.IntegralType) else "STRIN
 _ENVELOPE = "choices array<struct<message struct<content string>>>"
 
 
+_ENTRIES = "array<struct<key string, value variant>>"
+
+
 def _fields(candidate: Column) -> Column:
     """The fields of one JSON object with nothing after it, repeats kept; else null."""
     # Wrapped in brackets, text behind the object makes the whole array invalid.
     wrapped = F.concat(F.lit("["), candidate, F.lit("]"))
     objects = F.from_json(wrapped, "array<map<string,variant>>", _STRICT)
-    single = F.startswith(candidate, F.lit("{")) & (F.size(objects) == 1)
-    return F.when(single, F.map_entries(F.get(objects, 0)))
+    return F.when(F.startswith(candidate, F.lit("{")) & (F.size(objects) == 1), F.map_entries(F.get(objects, 0)))
 
 
-def _named(entries: Column, name: str) -> Column:
-    return F.filter(entries, lambda e: F.lower(e["key"]) == name)
+def _well_typed(entries: Column) -> Column:
+    """Every field of a known name has that field's type or is null."""
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
 
+    def fits(e: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
+        wanted = F.try_element_at(kinds, F.lower(e["key"]))
+        return wanted.isNull() | (kind == "VOID") | (kind == wanted)
 
-def _is_assessment(candidate: Column) -> Column:
-    """One JSON object whose fields of known names all have the right type."""
-    entries = _fields(candidate)
-
-    def typed(name: str, kind: str) -> Column:
-        of = lambda e: F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
-        return F.forall(_named(entries, name), lambda e: of(e).isin("VOID", kind))
-
-    return reduce(lambda a, b: a & b, [typed(*x) for x in _KINDS.items()], entries.isNotNull())
+    return entries.isNotNull() & F.forall(entries, fits)
 
 
 def candidates(text: Column) -> list[Column]:
@@ -64,20 +61,23 @@ def candidates(text: Column) -> list[Column]:
     return [opened, closed, cut, mended]
 
 
-def assessment_json(text: Column) -> Column:
-    """The first valid candidate, or null when the response is rejected."""
-    empty = F.when(strip(text) == "null", F.lit("{}"))
-    return F.coalesce(empty, *[F.when(_is_assessment(c), c) for c in candidates(text)])
+def assessment_fields(text: Column) -> Column:
+    """The fields of the first valid candidate, or null when the response is rejected."""
+    tried = F.filter(F.transform(F.array(*candidates(text)), _fields), _well_typed)
+    nothing = F.array().cast(_ENTRIES)
+    return F.when(strip(text) == "null", nothing).otherwise(F.get(tried, F.lit(0)))
 
 
 def clamp(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(value, F.lit(0)))).cast("int")
 
 
-def assessment_body(json: Column) -> Column:
+def assessment_body(entries: Column) -> Column:
     """The fields as one struct: the last value of each name, in whatever case."""
-    entries = _fields(json)
-    last = lambda name: F.try_element_at(_named(entries, name), F.lit(-1))["value"]
+    def last(name: str) -> Column:
+        named = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+        return F.try_element_at(named, F.lit(-1))["value"]
+
     return F.when(entries.isNotNull(), F.struct(*[
         F.try_variant_get(last(f.name), "$", f.dataType.simpleString()).alias(f.name)
         for f in ASSESSMENT_BODY.fields]))

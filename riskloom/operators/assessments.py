@@ -81,11 +81,11 @@ def unwrap_chat(raw: DataFrame) -> DataFrame:
 
 def parse_responses(answers: DataFrame) -> DataFrame:
     """Responses with their assessment columns and whether they could be read."""
-    # The struct is a column of its own, so that its fields share one parse.
-    json = responses.assessment_json(F.col("text"))
+    # Fields and struct are columns of their own, so that what follows shares one parse.
+    read = answers.withColumn("fields", responses.assessment_fields(F.col("text")))
     kept = [c for c in answers.columns if c == "batch"]
     return (
-        answers.select("content_hash", "text", *kept, responses.assessment_body(json).alias("body"))
+        read.select("content_hash", "text", *kept, responses.assessment_body(F.col("fields")).alias("body"))
         .select(
             "content_hash", "text", *kept, F.col("body").isNotNull().alias("accepted"),
             *[v.alias(name) for name, v in responses.assessment_columns("body").items()],

@@ -124,8 +124,14 @@ def for_file(incidents: DataFrame, repo_id: str, path: str) -> DataFrame:
 
 
 def listed(incidents: DataFrame) -> DataFrame:
-    """Incidents in the order they are listed: by id inside a repository."""
-    return incidents.orderBy("repo_id", "date", "file", "severity")
+    """Incidents in the order they are listed: by id inside a repository, or by date where
+    they have no ids yet."""
+    order = ["id"] if "id" in incidents.columns else ["date", "file", "severity"]
+    return incidents.orderBy("repo_id", *order)
+
+
+def by_file(incidents: DataFrame) -> DataFrame:
+    return incidents.groupBy("repo_id", "file").agg(F.count("*").alias("incidents"))
 
 
 def counts(incidents: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ are shuffled, so no task sees a directory's files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths, scores
@@ -121,3 +121,27 @@ def sort_tree(nodes: DataFrame, by: str = "heat") -> DataFrame:
     if by not in orders:
         raise ValueError(f"sort must be one of {', '.join(orders)} (got {by!r})")
     return nodes.orderBy("repo_id", "parent", F.col("is_dir").desc(), *orders[by], "name")
+
+
+def ranked_tree(nodes: DataFrame, by: str = "heat") -> DataFrame:
+    """Nodes with their place among the children of their parent, in one of the orders of
+    :func:`sort_tree`. The children of one directory have to fit a task's sort."""
+    key = {"heat": "heat_score", "size": "lines"}.get(by)
+    if key is None and by != "name":
+        raise ValueError(f"sort must be heat, name or size (got {by!r})")
+    order = [F.col("is_dir").desc(), *([F.col(key).desc()] if key else []), "name"]
+    place = Window.partitionBy("repo_id", "parent").orderBy(*order)
+    return nodes.withColumn("rank", F.row_number().over(place))
+
+
+def explorer_listing(heat: DataFrame) -> DataFrame:
+    """What an explorer lists below each directory: directories by their hottest file, then
+    files by heat, each with its place and the number of files below."""
+    dirs = explorer_dirs(heat).select(
+        "repo_id", F.col("dir").alias("path"), F.lit(True).alias("is_dir"),
+        F.col("max_heat").alias("heat_score"), "tier", "files", "parent")
+    files = heat.select(
+        "repo_id", "path", F.lit(False).alias("is_dir"), "heat_score", "tier",
+        F.lit(1).cast("bigint").alias("files"), paths.directory(F.col("path")).alias("parent"))
+    nodes = dirs.unionByName(files).withColumn("name", paths.base_name(F.col("path")))
+    return ranked_tree(nodes)

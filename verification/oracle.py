@@ -584,6 +584,13 @@ SELECT repo_id, path, {_PARENT} AS dir, {_BASE} AS name, heat_score, tier, summa
   availability_impact AS availability, user_impact AS user, auto_merge,
   min_reviewers AS reviewers, greatest(lines, 10) AS lines, language, cyclomatic AS complexity,
   import_count AS imported_by FROM o_assessed""",
+    "ranked_facts": f"""
+SELECT repo_id, path, heat_score, row_number() OVER (PARTITION BY repo_id ORDER BY {_HEAT_ORDER}) AS rank
+FROM o_assessed""",
+    "pr_files_ranked": f"""
+SELECT repo_id, pr_number, path, heat_score,
+  row_number() OVER (PARTITION BY repo_id, pr_number ORDER BY heat_score DESC, path) AS rank
+FROM ({_pr_files("o_assessed")})""",
     "file_search": f"""
 SELECT repo_id, path, heat_score, summary AS reason FROM o_assessed
 WHERE tier = 'medium' AND (contains(lower(path), 's1') OR contains(lower(summary), 's1'))
@@ -674,6 +681,21 @@ FROM o_heat GROUP BY repo_id, module""",
 SELECT repo_id, path, greatest(heat_score * heat_score / 10e0, 5e0) AS by_heat,
   CAST(greatest(lines, 10) AS DOUBLE) AS by_lines FROM o_heat""",
     "tree_nodes": f"SELECT *, {_NODE} FROM o_tree",
+    "tree_by_name": f"""
+SELECT repo_id, path, is_dir, row_number() OVER (PARTITION BY repo_id, parent ORDER BY is_dir DESC, name) AS rank
+FROM (SELECT *, {_NODE} FROM o_tree)""",
+    "tree_by_size": f"""
+SELECT repo_id, path, is_dir, row_number() OVER (PARTITION BY repo_id, parent ORDER BY is_dir DESC, lines DESC, name) AS rank
+FROM (SELECT *, {_NODE} FROM o_tree)""",
+    "tree_by_heat": f"""
+SELECT repo_id, path, is_dir, row_number() OVER (PARTITION BY repo_id, parent ORDER BY is_dir DESC, heat_score DESC, name) AS rank
+FROM (SELECT *, {_NODE} FROM o_tree)""",
+    "explorer_listing": f"""
+SELECT *, row_number() OVER (PARTITION BY repo_id, parent ORDER BY is_dir DESC, heat_score DESC, name) AS rank
+FROM (SELECT *, {_BASE} AS name FROM (
+  SELECT repo_id, dir AS path, true AS is_dir, max(heat_score) AS heat_score, {_HOTTEST_TIER},
+    count(*) AS files, {_PARENT.replace('path', 'dir')} AS parent FROM o_dirs GROUP BY repo_id, dir
+  UNION ALL SELECT repo_id, path, false, heat_score, tier, 1, {_PARENT} FROM o_heat))""",
     "tree_filter": f"""
 SELECT *, {_NODE} FROM (
 SELECT repo_id, path, false AS is_dir, heat_score, tier, lines FROM o_heat

@@ -214,8 +214,7 @@ def incident_rollup(spark, d):
 
 @query
 def incidents_by_file(spark, d):
-    t = Inputs(spark, d)
-    return t.incidents.groupBy("repo_id", "file").agg(F.count("*").alias("incidents"))
+    return incidents.by_file(Inputs(spark, d).incidents)
 
 
 @query
@@ -364,6 +363,12 @@ def file_facts(spark, d):
     return reports.file_facts(Inputs(spark, d).assessed_heat())
 
 
+@query
+def ranked_facts(spark, d):
+    return reports.ranked_facts(Inputs(spark, d).assessed_heat()).select(
+        "repo_id", "path", "heat_score", "rank")
+
+
 @query
 def file_search(spark, d):
     facts = reports.file_facts(Inputs(spark, d).assessed_heat())
@@ -420,6 +425,13 @@ def pr_file_risk(spark, d):
     return prs.pr_file_risk(t.pr_files, t.assessed_heat())
 
 
+@query
+def pr_files_ranked(spark, d):
+    t = Inputs(spark, d)
+    return prs.hottest_first(prs.pr_file_risk(t.pr_files, t.assessed_heat())).select(
+        "repo_id", "pr_number", "path", "heat_score", "rank")
+
+
 @query
 def pr_risk(spark, d):
     t = Inputs(spark, d)
@@ -562,6 +574,29 @@ def tree_nodes(spark, d):
     return rollups.sort_tree(rollups.tree_nodes(Inputs(spark, d).scored()))
 
 
+@query
+def tree_by_name(spark, d):
+    return rollups.ranked_tree(rollups.tree_nodes(Inputs(spark, d).scored()), "name").select(
+        "repo_id", "path", "is_dir", "rank")
+
+
+@query
+def tree_by_size(spark, d):
+    return rollups.ranked_tree(rollups.tree_nodes(Inputs(spark, d).scored()), "size").select(
+        "repo_id", "path", "is_dir", "rank")
+
+
+@query
+def tree_by_heat(spark, d):
+    return rollups.ranked_tree(rollups.tree_nodes(Inputs(spark, d).scored())).select(
+        "repo_id", "path", "is_dir", "rank")
+
+
+@query
+def explorer_listing(spark, d):
+    return rollups.explorer_listing(Inputs(spark, d).scored())
+
+
 @query
 def tree_filter(spark, d):
     return rollups.filter_tree(Inputs(spark, d).scored(), ["critical", "high"])
