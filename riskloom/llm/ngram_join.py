@@ -195,12 +195,18 @@ def _promising(documents: DataFrame, size: DataFrame, sketch: np.ndarray, hot: n
         first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
         times = np.repeat(np.diff(np.r_[first, len(shingle)]), np.diff(np.r_[first, len(shingle)]))
         found, counts = np.unique(node[(times > 1) | (shingle == 0)], return_counts=True)
-        return pa.table({"node": found, "shared": counts})
-
-    shared = documents.select("text").mapInArrow(entries, "bucket int, shingle binary, node binary, node_runs binary").groupBy(
-        "bucket").applyInArrow(count, "node long, shared long")
-    return shared.groupBy("node").agg(F.sum("shared").alias("shared")).join(size, "node").filter(
-        F.col("shared") >= _needed(F.col("n"))).select("node")
+        out = Buckets(n_buckets, ["node", "shared"])
+        out.add((mix(found.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), found, counts.astype(np.int64))
+        return pa.Table.from_batches(list(out.flush()), pa.schema([("bucket", pa.int32()), ("node", pa.binary()), ("shared", pa.binary())]))
+
+    def total(t: pa.Table) -> pa.Table:
+        found, at = np.unique(unpacked(t["node"], np.int64), return_inverse=True)
+        return pa.table({"node": found, "shared": np.bincount(at, unpacked(t["shared"], np.int64), len(found)).astype(np.int64)})
+
+    counted = documents.select("text").mapInArrow(entries, "bucket int, shingle binary, node binary, node_runs binary").groupBy(
+        "bucket").applyInArrow(count, "bucket int, node binary, shared binary")
+    shared = counted.groupBy("bucket").applyInArrow(total, "node long, shared long")
+    return shared.join(size, "node").filter(F.col("shared") >= _needed(F.col("n"))).select("node")
 
 
 def _listed(documents: DataFrame, wanted: np.ndarray, sketch: np.ndarray, hot: np.ndarray, n_buckets: int) -> DataFrame:
