@@ -22,9 +22,10 @@ hold null or non-finite components take no part; of rows that repeat a vec_id th
 the largest components, compared in order, counts; ties go to the smaller vec_id; fewer candidates than ``k`` are all given;
 an empty table gives no rows; other columns are not read.
 
-Scale: centroids (at most ``lists``) and their graph are the only things broadcast. A list is
-cut into blocks of about ``block`` vectors by a hash of the id, so a hot list, say of equal
-vectors, is no hot task; a block hands on its ``k`` best for a query.
+Scale: centroids (at most ``lists``) and their graph are the only things broadcast. Lists
+that lie near each other are scanned in one shard of about ``block`` vectors, and a hot list,
+say of equal vectors, is cut into parts by a hash of the id; a shard or part hands on its
+``k`` best for a query.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int = 400, lists: int = 2048, sample: int = 20_000,
-           copies: int = 3, spread: float = 0.02, recall: float = 0.97, block: int = 4096) -> DataFrame:
+           copies: int = 3, spread: float = 0.02, recall: float = 0.97, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of every query (vec_id, embedding)
     among all vectors but those with the query's own id."""
     # One row for each id; equal rows and different ones come down to the same choice.
@@ -202,51 +203,71 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, per_list: int
     postings = written(every.mapInArrow(post, "list int, vec_id long, embedding array<double>"), "postings")
     counted = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = np.array([counted.get(i, 0) for i in range(len(index.centroids))])
-    blocks = np.maximum(-(-sizes // block), 1)
-    index_width = index.width
+    # Lists that follow each other stem from one split and lie near each other: a shard holds
+    # as many as fill a block, and a list above that is cut into parts.
+    shard_of = (np.cumsum(sizes) - sizes) // block
+    parts_of = np.maximum(-(-sizes // block), 1)
+    width = index.width
 
     def probe(batches):
         for batch in batches:
-            at, d = held.value.walk(_matrix(batch["embedding"]), max(index_width, min(len(sizes), 64)))
+            at, d = held.value.walk(_matrix(batch["embedding"]), max(width, min(len(sizes), 64)))
             keep = d <= (1 + held.value.ratio) * d[:, :1]
             # Copies of a vector may stand in several lists: enough of them for k others.
             before = np.cumsum(np.where(np.isfinite(d), sizes[at], 0), axis=1) - sizes[at]
             keep |= before < copies * (k + 1)
             row, col = np.nonzero(keep & np.isfinite(d))
             lists_ = at[row, col]
-            times = blocks[lists_]
-            row, part = np.repeat(row, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row = pa.array(row)
+            times = parts_of[lists_]
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, lists_ = np.repeat(row, times), np.repeat(lists_, times)
+            order = np.lexsort((lists_, part, shard_of[lists_], row))
+            row, part, lists_ = row[order], part[order], lists_[order]
+            shard = shard_of[lists_]
+            new = np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])][: len(row)]
+            cut = np.flatnonzero(new)
+            which = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(row)].astype(np.int32)), pa.array(lists_.astype(np.int32)))
+            row = pa.array(row[cut])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(lists_, times).astype(np.int32)), pa.array(part.astype(np.int32)), batch["vec_id"].take(row), batch["embedding"].take(row)],
-                ["list", "block", "query_id", "query"])
+                pa.array(shard[cut].astype(np.int32)), pa.array(part[cut].astype(np.int32)), batch["vec_id"].take(row), batch["embedding"].take(row), which],
+                ["shard", "part", "query_id", "query", "lists"])
 
-    probes = asked.mapInArrow(probe, "list int, block int, query_id long, query array<double>")
-    many = F.element_at(F.lit(blocks.tolist()), F.col("list") + 1)
-    placed = postings.withColumn("block", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
+    probes = asked.mapInArrow(probe, "shard int, part int, query_id long, query array<double>, lists array<int>")
+    look = lambda a: F.element_at(F.lit(a.tolist()), F.col("list") + 1)
+    placed = postings.withColumns({"shard": look(shard_of).cast("int"), "part": F.pmod(F.xxhash64("vec_id"), look(parts_of)).cast("int")})
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        """The k best of every query among the vectors of its lists in one shard or part."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            ids, x = left["vec_id"].to_numpy(), _matrix(left["embedding"])
+            ids, at, x = left["vec_id"].to_numpy(), left["list"].to_numpy(), _matrix(left["embedding"])
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            asked_ids, q = right["query_id"].to_numpy(), _matrix(right["query"])
-            parts = []
+            ids, at, x = ids[order], at[order], x[order]
+            low = at.min()
+            asked_ids, q, lists_ = right["query_id"].to_numpy(), _matrix(right["query"]), right["lists"].to_pylist()
             for i in range(0, len(q), 256):
                 s = q[i : i + 256] @ x.T
-                s[asked_ids[i : i + 256][:, None] == ids] = -np.inf
-                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+                opened = np.zeros((len(s), at.max() - low + 1), bool)
+                for j, own in enumerate(lists_[i : i + 256]):
+                    own = np.array(own) - low
+                    opened[j, own[(own >= 0) & (own < opened.shape[1])]] = True
+                s[~opened[:, at - low] | (asked_ids[i : i + 256][:, None] == ids)] = -np.inf
+                # A vector may stand here in several lists: enough for k different ones.
+                most = copies * k
+                least = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most] if s.shape[1] > most else np.full((len(s), 1), -np.inf)
                 row, col = np.nonzero((s >= least) & (s > -np.inf))
                 order = np.lexsort((col, -s[row, col], row))  # columns stand in order of ids
                 row, col = row[order], col[order]
+                _, once = np.unique(row.astype(np.int64) * len(ids) + np.searchsorted(ids, ids[col]), return_index=True)
+                once.sort()
+                row, col = row[once], col[once]
                 nth = np.arange(len(row)) - np.searchsorted(row, row)
                 row, col = row[nth < k], col[nth < k]
-                parts.append((asked_ids[i + row], ids[col], s[row, col]))
-            found = [np.concatenate(p) for p in zip(*parts)]
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+                found.append((asked_ids[i + row], ids[col], s[row, col]))
+        query, vec, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": query, "vec_id": vec, "score": score})
 
-    near = placed.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    near = placed.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
