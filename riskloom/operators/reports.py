@@ -184,6 +184,13 @@ def tier_bars(heat: DataFrame) -> DataFrame:
     )
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """Of several runs of a repository the latest."""
+    facts = ["repo_path", "commit_sha", "branch"]
+    return runs.groupBy("repo_id").agg(F.max(F.struct("analyzed_at", *facts)).alias("r")).select(
+        "repo_id", "r.repo_path", "r.analyzed_at", "r.commit_sha", "r.branch")
+
+
 def dashboard_stats(heat: DataFrame, runs: DataFrame) -> DataFrame:
     """Totals, tier counts, language counts and run facts: one row per repository."""
     languages = (
@@ -192,8 +199,4 @@ def dashboard_stats(heat: DataFrame, runs: DataFrame) -> DataFrame:
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "files"))))
              .alias("languages"))
     )
-    # Of several runs of a repository the latest counts.
-    facts = ["repo_path", "commit_sha", "branch"]
-    latest = runs.groupBy("repo_id").agg(F.max(F.struct("analyzed_at", *facts)).alias("r")).select(
-        "repo_id", "r.repo_path", "r.analyzed_at", "r.commit_sha", "r.branch")
-    return tier_counts(heat).join(languages, "repo_id").join(latest, "repo_id", "left")
+    return tier_counts(heat).join(languages, "repo_id").join(latest_runs(runs), "repo_id", "left")

@@ -169,6 +169,13 @@ HEAT_DOCUMENT = T.StructType([
     ))),
 ])
 
+# Parts of a saved result.
+RUN_RESULT = T.StructType([
+    T.StructField("repo_id", T.StringType()), T.StructField("version", T.StringType()),
+    *HEAT_DOCUMENT["metadata"].dataType.fields])
+EDGES = T.StructType([
+    T.StructField(n, T.StringType()) for n in ("repo_id", "path", "imported_by", "match")])
+
 # The flat scored table, in the order of its columns.
 HEAT = (
     "repo_id string, path string, language string, lines bigint, bytes bigint, heat_score int,"

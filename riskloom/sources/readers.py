@@ -161,6 +161,21 @@ def read_assessments(spark: SparkSession, path: str) -> DataFrame:
     return one_per_hash(spark.read.schema(schema).parquet(path))
 
 
+def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What :func:`riskloom.sources.writers.write_result` saved, part by part; a part that was
+    not saved is empty. Files come back as flat rows of the scored table."""
+    def part(name: str, schema: T.StructType) -> DataFrame:
+        return _or_empty(spark, schema, lambda: spark.read.schema(schema).json(f"{path}/{name}", mode="FAILFAST"))
+
+    return {
+        "metadata": part("metadata", schemas.RUN_RESULT),
+        "files": flatten_heat(part("files", schemas.FILE_HEAT)),
+        "incidents": part("incidents", schemas.INCIDENTS),
+        "annotations": part("annotations", schemas.ANNOTATIONS),
+        "dependencies": part("dependencies", schemas.EDGES),
+    }
+
+
 def read_heat_document(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
     """Scored files of saved result documents (one JSON object per repository)."""
     documents = spark.read.schema(schemas.HEAT_DOCUMENT).options(**_FAIL).json(path)

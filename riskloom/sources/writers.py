@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.assessments import ASSESSMENT_COLUMNS
 from riskloom.operators.heat import nest_heat
+from riskloom.operators.reports import latest_runs
 from riskloom.operators.incidents import number_incidents, prepare_incidents, split_incidents
 from riskloom.sources.staging import stage
 
@@ -31,6 +32,35 @@ def write_heat_json(
     nest_heat(heat, changes).write.mode(mode).json(path)
 
 
+def write_result(
+    path: str, heat: DataFrame, runs: DataFrame, *, changes: DataFrame | None = None,
+    edges: DataFrame | None = None, incidents: DataFrame | None = None,
+    annotations: DataFrame | None = None, version: str = "1.0.0", mode: str = "overwrite",
+) -> None:
+    """Save a whole result as JSON lines: a folder each for the run of every repository
+    (``metadata``), its ``files``, ``incidents``, ``annotations`` and ``dependencies``.
+
+    All are keyed by repository (files and dependencies by path too). One object for each
+    repository, as a single-repository tool writes it, would gather all files of a
+    repository in one row, and all importers of a file in one list.
+    """
+    languages = (
+        heat.groupBy("repo_id", "language").agg(F.count("*").alias("n")).groupBy("repo_id")
+        .agg(F.sum("n").alias("total_files"), F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("language", "n")))).alias("languages"))
+    )
+    metadata = latest_runs(runs).join(languages, "repo_id", "full_outer").select(
+        "repo_id", F.lit(version).alias("version"), "repo_path", "analyzed_at", "commit_sha",
+        "branch", F.coalesce("total_files", F.lit(0).cast("bigint")).alias("total_files"), "languages")
+    parts = {"metadata": metadata, "files": nest_heat(heat, changes), "incidents": incidents,
+             "annotations": annotations,
+             "dependencies": None if edges is None else edges.select(
+                 "repo_id", "path", "imported_by", "match")}
+    for name, part in parts.items():
+        if part is not None:
+            part.write.mode(mode).json(f"{path}/{name}")
+
+
 def heat_json(heat: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Nested rows as JSON text next to their key."""
     nested = nest_heat(heat, changes)

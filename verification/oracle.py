@@ -721,6 +721,13 @@ FROM (SELECT event_type AS path, date_trunc('day', ts) AS day FROM events)
 WHERE day >= TIMESTAMP '{DOC_AS_OF}' - INTERVAL 90 DAY AND day + INTERVAL 1 DAY
   <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
 GROUP BY path""",
+    "result_metadata": """
+SELECT repo_id, '1.0.0' AS version, repo_path, commit_sha, branch, total_files, go_files
+FROM (SELECT repo_id, count(*) AS total_files, nullif(count(*) FILTER (WHERE language = 'Go'), 0) AS go_files
+      FROM o_heat GROUP BY repo_id) FULL JOIN fx_runs USING (repo_id)""",
+    "result_files": _HEAT_OUT + "o_heat",
+    "result_dependencies":
+        "SELECT repo_id, path, imported_by, match FROM o_edges WHERE path IS NOT NULL",
     "heat_saved": _HEAT_OUT + "o_heat",
     "assessments_saved": """
 SELECT * REPLACE ('again' AS critical_reason) FROM o_assessments""",

@@ -650,6 +650,31 @@ def heat_saved(spark, d):
     return plain(readers.read_heat(spark, path))
 
 
+def _result(spark, d):
+    """A whole result, written and read back."""
+    t, path = Inputs(spark, d), new_path(spark, "result")
+    edges = imports.import_edges(t.file_metrics.select("repo_id", "path"), t.import_refs)
+    writers.write_result(path, t.scored(), t.runs, edges=edges, incidents=t.incidents)
+    return readers.read_result(spark, path)
+
+
+@query
+def result_metadata(spark, d):
+    return _result(spark, d)["metadata"].select(
+        "repo_id", "version", "repo_path", "commit_sha", "branch", "total_files",
+        F.element_at("languages", "Go").alias("go_files"))
+
+
+@query
+def result_files(spark, d):
+    return plain(_result(spark, d)["files"])
+
+
+@query
+def result_dependencies(spark, d):
+    return _result(spark, d)["dependencies"]
+
+
 @query
 def assessments_saved(spark, d):
     """Two appended batches of the same contents, read back: the second counts."""
