@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskloom.llm import decontaminate as seeds
+from riskloom.llm import secret_scan as secrets
 from riskloom.llm import url_filter
 
 _HOST = url_filter.HOST
@@ -72,6 +73,65 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM every GROUP BY conv_id
 """
 
+_PATTERNS = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX,
+             "markov": rf"[A-Za-z0-9+/_=]{{{secrets.SHORTEST},}}"}
+_QUOTED = {k: p.replace("'", "''") for k, p in _PATTERNS.items()}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS gaps FROM docs"
+    for n, p in enumerate(_QUOTED.values(), 1))
+_PAIRS = f"[strpos('{secrets.CHARS}', {{x}}[i]) * {secrets.BASE} + strpos('{secrets.CHARS}', {{x}}[i + 1]) FOR i IN range(1, length({{x}}))]"
+_BASE_36 = "ltrim(array_to_string([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + CAST((n // p) % 36 AS INTEGER), 1) FOR p IN [" + ", ".join(
+    str(36**k) for k in range(11, -1, -1)) + "]], ''), '0')"
+
+SECRETS = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, kind, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM ({_FOUND}) WHERE len(m) > 0),
+placed AS (SELECT doc_id, kind, m[i] AS match, coalesce(list_sum([length(g) FOR g IN gaps[1:i]]), 0)
+    + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS start FROM found),
+valued AS MATERIALIZED (SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST(start + length(match) AS BIGINT) AS stop,
+    CASE WHEN kind = 1 THEN regexp_extract(match, '{_QUOTED["assign"]}', 2) ELSE match END AS value FROM placed),
+spans AS MATERIALIZED (SELECT * FROM valued WHERE kind <> 1 OR length(value) >= 12),
+digests AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS d FROM documents),
+numbers AS (SELECT CAST('0x' || d[1:15] AS BIGINT) AS n FROM digests),
+samples AS (
+  SELECT value AS s, true AS random FROM spans WHERE kind <> 4
+  UNION ALL SELECT base64(unhex(d)), true FROM digests UNION ALL SELECT d[1:40], true FROM digests
+  UNION ALL SELECT {_BASE_36}, true FROM numbers
+  UNION ALL SELECT unnest(regexp_extract_all(t, '[A-Za-z][a-z]{{9,}}')), false FROM docs),
+pairs AS (SELECT random, pair, count(*) AS n FROM (SELECT random, unnest({_PAIRS.format(x='s')}) AS pair FROM samples) GROUP BY ALL),
+counts AS (SELECT pair, coalesce(sum(n) FILTER (random), 0) AS r, coalesce(sum(n) FILTER (NOT random), 0) AS o FROM pairs GROUP BY pair),
+totals AS (SELECT pair // {secrets.BASE} AS a, sum(r) AS r, sum(o) AS o FROM counts GROUP BY a),
+runs AS (SELECT *, {_PAIRS.format(x='value')} AS ps FROM spans WHERE kind = 4),
+steps AS (SELECT doc_id, start, stop, unnest(ps) AS pair FROM runs),
+scored AS (SELECT s.doc_id, s.start, s.stop, avg(round(
+    ln((coalesce(c.r, 0) + 1) / (coalesce(t.r, 0) + {secrets.BASE})) - ln((coalesce(c.o, 0) + 1) / (coalesce(t.o, 0) + {secrets.BASE})), 4)) AS ratio
+  FROM steps s LEFT JOIN counts c USING (pair) LEFT JOIN totals t ON t.a = s.pair // {secrets.BASE} GROUP BY ALL),
+kept AS (SELECT doc_id, kind, start, stop FROM spans WHERE kind <> 4
+  UNION ALL SELECT doc_id, 4, start, stop FROM scored m WHERE ratio > 0 AND NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = m.doc_id AND b.kind <> 4 AND b.start < m.stop AND m.start < b.stop)),
+named AS (SELECT *, {list(_PATTERNS)}[kind] || ':' || start || ':' || stop AS span FROM kept)
+SELECT d.doc_id, count(*) FILTER (kind = 1) AS n_assign, count(*) FILTER (kind = 2) AS n_access, count(*) FILTER (kind = 3) AS n_hex,
+  count(*) FILTER (kind = 4) AS n_markov,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (kind < 4), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, kind, stop), '') AS spans
+FROM docs d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
+NGRAMS = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x) m USING (doc_id)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op4_chat": CHAT, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
+    return {"op4_chat": CHAT, "op8_ngram_join": NGRAMS, "op9_secret_scan": SECRETS, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
