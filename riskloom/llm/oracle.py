@@ -132,6 +132,25 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.d
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x) m USING (doc_id)
 """
 
+SUBSTRINGS = """
+WITH docs AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS MATERIALIZED (SELECT doc_id, q, b[q + 1:q + 50] AS w
+  FROM (SELECT doc_id, b, unnest(range(0, greatest(octet_length(b) - 49, 0))) AS q FROM docs)),
+earliest AS (SELECT w, min(doc_id) AS d FROM strings GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT doc_id, q, q > lag(q) OVER (PARTITION BY doc_id ORDER BY q) + 50 AS apart
+  FROM strings JOIN earliest USING (w) WHERE d < doc_id),
+runs AS MATERIALIZED (SELECT doc_id, min(q) AS s, max(q) + 50 AS e FROM (
+  SELECT *, sum(CAST(coalesce(apart, false) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY q) AS run FROM hits) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, octet_length(b), NULL FROM docs),
+pieces AS (SELECT doc_id, s, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM cuts),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN s > a THEN hex(b[a + 1:s]) ELSE '' END, '' ORDER BY s, a))) AS kept_sha256
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op4_chat": CHAT, "op8_ngram_join": NGRAMS, "op9_secret_scan": SECRETS, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
+    return {"op3_suffix_dedup": SUBSTRINGS, "op4_chat": CHAT, "op8_ngram_join": NGRAMS, "op9_secret_scan": SECRETS, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
