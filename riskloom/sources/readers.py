@@ -21,6 +21,7 @@ from riskloom.operators.sources import analysable
 from riskloom.settings import Settings
 
 _FAIL = {"multiLine": True, "mode": "FAILFAST"}
+_BATCH_CHARS = 4_000_000
 _LISTED = pa.schema([(name, pa.string()) for name in ("repo_id", "root", "path")])
 _FILES = pa.schema([(name, pa.string()) for name in ("repo_id", "path", "content")])
 
@@ -32,15 +33,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def read_source_tree(
     spark: SparkSession, roots: Mapping[str, str], settings: Settings = Settings(),
-    tasks: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Source files below checked-out trees, one root per repository.
 
     Trees are listed in parallel by repository and read in parallel by file, whatever
     repository the file is in. Spark's own file sources skip names that start with an
     underscore, such as ``__init__.py``; this listing keeps them, does not enter hidden
-    or excluded directories, and passes on only files of a known language.
+    or excluded directories, and passes on only files of a known language. ``tasks`` is the
+    number of shuffle partitions unless it is given.
     """
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     skipped = re.compile(paths.excluded_dir_regex(settings.exclude))
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +61,16 @@ def read_source_tree(
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            read, size = [], 0
             for row in batch.to_pylist():
                 with open(os.path.join(row["root"], row["path"]), "rb") as handle:
                     text = handle.read().decode("utf-8", errors="replace")
-                yield pa.RecordBatch.from_pydict({
-                    "repo_id": [row["repo_id"]], "path": [row["path"]], "content": [text],
-                }, _FILES)
+                read.append({"repo_id": row["repo_id"], "path": row["path"], "content": text})
+                size += len(text)
+                if size > _BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(read, _FILES)
+                    read, size = [], 0
+            yield pa.RecordBatch.from_pylist(read, _FILES)
 
     repos = spark.createDataFrame(list(roots.items()), "repo_id string, root string")
     listed = repos.repartition(tasks, "repo_id") \
