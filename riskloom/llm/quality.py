@@ -131,11 +131,12 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def word_vectors(texts: list[str], dim: int = DIM) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary (row 0: no known shape) and vectors by random indexing over the texts."""
-    split = [t.split() for t in texts]
-    seen = Counter(w for s in split for w in s)
+    seen: Counter[str] = Counter()
+    for t in texts:
+        seen.update(t.split())
     name = lambda w: w if seen[w] >= RARE else shape(w)
     vocabulary: dict[str, int] = {"": 0}
-    ids = [np.array([vocabulary.setdefault(name(w), len(vocabulary)) for w in s], dtype=np.int64) for s in split]
+    ids = [np.array([vocabulary.setdefault(name(w), len(vocabulary)) for w in t.split()], dtype=np.int64) for t in texts]
     rows = [index_vector(w, dim) for w in vocabulary]
     places, signs = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
     flat = np.zeros(len(vocabulary) * dim)
@@ -149,7 +150,7 @@ def word_vectors(texts: list[str], dim: int = DIM) -> tuple[dict[str, int], np.n
     size = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = context / np.maximum(size, 1e-9) + own / math.sqrt(NONZERO)
     vectors[0] = 0
-    return vocabulary, vectors
+    return vocabulary, vectors.astype(np.float32)
 
 
 def fit(labelled: list[tuple[str | None, int]], *, hidden: int = 24, epochs: int = 40) -> Model:
