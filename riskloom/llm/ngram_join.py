@@ -46,7 +46,7 @@ from riskloom.llm.common import Buckets, components, id_filter, may_hold, mix, p
 
 SIZE = 5
 CELLS = 1 << 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -92,7 +92,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sets of the texts, in order, computed for about a megabyte at a time."""
+    """The sets of the texts, in order, computed for about CHUNK bytes at a time."""
     held, size = [], 0
     for t in texts:
         if held and size + len(t) > CHUNK:
