@@ -7,8 +7,11 @@ adds both offsets and cuts at multiples of the length; every piece is a boundary
 All sequences but the last are full, so padding is less than one sequence in all.
 
 Ids are those of the given ``tokenizers`` file. Its byte-level BPE vocabulary is loaded into
-the faster ``tiktoken`` encoder, which gives the same ids (checked in ``tests/llm``); strings
-of special tokens inside a text are ordinary text.
+the faster ``tiktoken`` encoder, which gives the same ids (checked in ``tests/llm``). As in
+``tokenizers``, a text is cut at the file's added tokens first, the longest of those that
+start at a place, and each gives its one id; ``encode_special_tokens=True`` takes the
+special ones as ordinary text, and is the default of ``pack``. The queries set it to False,
+which is the default of the file.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed as often
 as they occur; a null doc_id stays null; an empty table has no pieces; a document longer
@@ -21,8 +24,9 @@ finds the same offsets.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -48,27 +52,44 @@ def _byte_of() -> dict[str, int]:
 
 
 @cache
-def encoder(path: str):
+def encoder(path: str, encode_special_tokens: bool = True) -> Callable[[str], list[int]]:
+    """The ids of a text."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+    added = {t["content"]: t for t in spec["added_tokens"]}
     byte = _byte_of()
-    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-
-def tokenized(documents: DataFrame, tokenizer: str, *, end_id: int = END) -> DataFrame:
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    ordinary = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    cut_at = {c: t["id"] for c, t in added.items() if not (encode_special_tokens and t["special"])}
+    if wide := [c for c in cut_at if any(added[c][k] for k in ("single_word", "lstrip", "rstrip"))]:
+        raise ValueError(f"added tokens that depend on the text around them: {wide}")
+    if not cut_at:
+        return ordinary
+    token = re.compile("(" + "|".join(re.escape(c) for c in sorted(cut_at, key=len, reverse=True)) + ")")
+
+    def ids(text: str) -> list[int]:
+        pieces = token.split(text)
+        out = ordinary(pieces[0])
+        for found, after in zip(pieces[1::2], pieces[2::2]):
+            out.append(cut_at[found])
+            out += ordinary(after)
+        return out
+
+    return ids
+
+
+def tokenized(documents: DataFrame, tokenizer: str, *, end_id: int = END, encode_special_tokens: bool = True) -> DataFrame:
     """doc_id, part, before (tokens before it in its partition), n and ids (little-endian
     unsigned 32-bit), written to the shared folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(tokenizer, encode_special_tokens), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, starts, counts = [], [], []
             for text in batch["text"]:
-                one = enc.encode_ordinary(text.as_py() or "")
+                one = enc(text.as_py() or "")
                 one.append(end_id)
                 ids.append(np.array(one, dtype="<u4").tobytes())
                 starts.append(before)
@@ -92,10 +113,11 @@ def offsets(tokens: DataFrame) -> dict[int, int]:
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id: int = END, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id: int = END, with_ids: bool = False,
+         encode_special_tokens: bool = True) -> DataFrame:
     """A row per piece: doc_id, start (its document's ids before it), length, ids_crc32,
     doc_tokens, sequence_id, offset (in the sequence) and, if asked for, ids."""
-    tokens = tokenized(documents, tokenizer, end_id=end_id)
+    tokens = tokenized(documents, tokenizer, end_id=end_id, encode_special_tokens=encode_special_tokens)
     first = offsets(tokens)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

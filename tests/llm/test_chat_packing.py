@@ -80,3 +80,25 @@ def test_pieces_hold_every_id_once(spark, documents, prose, length):
     last = whole[max(whole)]
     assert len(last["ids"]) == 4 * (last["n_tokens"] if last["n_tokens"] & (last["n_tokens"] - 1) == 0 else length)
     assert packing.pack(documents([]), VOCABULARY).count() == 0
+
+
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|> b  <|endoftext|>\n", "<|endoftext|", "x  <|endoftext|>  y"]
+
+
+def test_added_tokens_are_one_id(spark, documents):
+    """The queries' ids are those of the file under its default settings."""
+    t = Tokenizer.from_file(VOCABULARY)
+    pieces = packing.pack(documents(list(enumerate([*SPECIAL, *NASTY]))), VOCABULARY, length=1 << 20, with_ids=True, encode_special_tokens=False)
+    got = {r["doc_id"]: list(struct.unpack(f"<{r['length']}I", r["ids"])) for r in pieces.collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate([*SPECIAL, *NASTY])}
+    assert got[0] == [64, 50256, 65, 1]
+
+
+def test_queries_encode_added_tokens(spark, tmp_path, documents):
+    import corpus_pipeline
+    from riskloom.llm import queries
+
+    docs = documents([(0, SPECIAL[0])])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for pieces in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert [r["doc_tokens"] for r in pieces.collect()] == [4]
