@@ -17,9 +17,10 @@ In a group the answers follow from set relations. Members stand in order of size
 index list holds positions in that order, so one search skips the block of members that are
 too short and another the block of those too long for a set. The first set's overlaps are
 counted from its lists; those of a set that is alike are derived from the computed ones, by
-taking away the lists of the shingles it lacks and adding those it has more. Once all members
-without own answers are in one component, no answer of theirs can add a link between
-components, and the group is done.
+taking away the lists of the shingles it lacks and adding those it has more. ``link_counts`` does so
+for every set and gives the number of links of each document. ``classes`` needs components
+only: once all members without own answers are in one component, no answer of theirs can add
+a link between components, and the group is done.
 
 Defined cases: null, empty and word-less texts have empty sets and are linked with nothing;
 rows that share a doc_id are answered each by its own text; a null doc_id is counted but never linked (null
@@ -378,8 +379,9 @@ def _asked_links(batches):
             yield _joins(node, Group(sets).answers(list(wanted)))
 
 
-def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shingles: int) -> DataFrame:
-    """node, label: components of the sets that have links."""
+def grouped(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+    """node, group, blocks: the groups of each set and the blocks these are cut into; and
+    node, shingles of the sets that are in any."""
     spark = documents.sparkSession
     counts = sets.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()
     sketch = np.zeros(CELLS, np.int64)
@@ -410,7 +412,12 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
     groups = listed.join(size, "node").groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / members, F.col("total") / shingles)).cast("int")
     groups = groups.select("group", blocks.alias("blocks"))
-    placed = listed.join(groups, "group")
+    return listed.join(groups, "group"), shipped
+
+
+def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shingles: int) -> DataFrame:
+    """node, label: components of the sets that have links."""
+    placed, shipped = grouped(documents, sets, hot=hot, members=members, shingles=shingles)
     # A few members are in all blocks of a group and join what belongs together.
     large = placed.filter("blocks > 1")
     turn = Window.partitionBy("group").orderBy("node")
@@ -437,6 +444,51 @@ def linked(documents: DataFrame, sets: DataFrame, *, hot: int, members: int, shi
     return components(written(links.unionByName(more), "links"))
 
 
+def _link_counts(batches):
+    """node, links: alike documents that a set finds among the others of a cell."""
+    for block in _blocks(batches, ["group", "part", "block"]):
+        node, sets, rows = _members(block)
+        if len(sets) < 2:
+            continue
+        asked, other = (block[c].to_numpy()[rows] for c in ("asked", "other"))
+        copies = block["copies"].to_numpy()[rows]
+        group = block["group"][0].as_py()
+        known = block["groups"].to_pylist()
+        # A pair that meets in several groups counts in the first of them.
+        earlier = Group([np.array([g for g in known[i] if g < group], np.int64) for i in rows])
+        links = np.zeros(len(node), np.int64)
+        for x, near, _ in Group(sets).answers(list(np.flatnonzero(asked))):
+            near = near[other[near] & (near != x)]
+            links[x] = copies[np.setdiff1d(near, earlier.found(earlier.sets[x]))].sum()
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some])], ["node", "links"])
+
+
+def link_counts(documents: DataFrame, *, hot: int = 1 << 20, members: int = 2000, shingles: int = 2_000_000) -> DataFrame:
+    """A row per row of documents: doc_id, n_shingles, links (the other rows with a doc_id
+    that are linked with it directly; null if its doc_id is).
+
+    Every set's answer is computed, derived from that of the nearest computed set where there
+    is one, and summed in its task. A group of b blocks has b * b cells, the sets of one block
+    asking those of another, so each set travels 2 b - 1 times."""
+    sets = measured(documents)
+    rows = sets.filter("cell is null")
+    placed, shipped = grouped(documents, sets, hot=hot, members=members, shingles=shingles)
+    copies = rows.filter("n > 0").groupBy("node").agg(F.count("doc_id").alias("copies"))
+    # A set is in fewer groups than it has shingles.
+    about = placed.groupBy("node").agg(F.collect_list("group").alias("groups")).join(copies, "node")
+    own = placed.withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).withColumn(
+        "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = own.select("node", "group", F.col("own").alias("part"), F.col("k").alias("block"), F.lit(True).alias("asked"), (F.col("k") == F.col("own")).alias("other"))
+    told = own.filter("k <> own").select("node", "group", F.col("k").alias("part"), F.col("own").alias("block"), F.lit(False).alias("asked"), F.lit(True).alias("other"))
+    cells = asks.unionByName(told).join(about, "node").join(shipped, "node")
+    met = cells.repartition("group", "part", "block").sortWithinPartitions("group", "part", "block")
+    links = met.mapInArrow(_link_counts, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    found = rows.join(links, "node", "left").join(copies, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(
+        F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)).alias("links"))
+
+
 def classes(documents: DataFrame, *, hot: int = 1 << 20, members: int = 2000, shingles: int = 2_000_000) -> DataFrame:
     """A row per row of documents: doc_id, n_shingles, component_id (the smallest doc_id that
     links reach, its own included)."""

@@ -59,6 +59,28 @@ def test_against_brute_force(documents, prose, options):
     assert len({r[2] for r in rows}) < len(docs) - 60  # the cases do link
 
 
+def brute_links(docs):
+    sets = sets_of(docs)
+    alike = lambda x, y: x and 100 * len(x & y) >= 80 * len(x | y)
+    return [(i, len(s), None if i is None else sum(bool(alike(s, o)) for k, (j, o) in enumerate(sets) if k != at and j is not None))
+            for at, (i, s) in enumerate(sets)]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"members": 9}, {"members": 40, "shingles": 3000}])
+def test_every_link_is_counted(documents, prose, options):
+    docs = cases(prose) + [(None, cases(prose)[3][1]), (None, "")]
+    order = lambda r: (str(r[0]), r[1], str(r[2]))
+    got = sorted((tuple(r) for r in n.link_counts(documents(docs), **options).collect()), key=order)
+    assert got == sorted(brute_links(docs), key=order)
+
+
+def test_links_of_a_triangle(documents, prose):
+    base = prose(1, 200)
+    docs = [(k, " ".join([*base[:190 - k], *base[190 - k:-1], f"end{k}"])) for k in range(3)]
+    assert sorted(tuple(r)[::2] for r in n.link_counts(documents(docs)).collect()) == [(0, 2), (1, 2), (2, 2)]
+    assert n.link_counts(documents([])).count() == 0
+
+
 def test_sets_hash_what_words_say(prose):
     docs = [(i, t) for i, t in cases(prose)]
     got = list(n.shingle_sets([(t or "").encode() for _, t in docs]))
