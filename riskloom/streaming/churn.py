@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.history import days_before
 from riskloom.settings import Settings
@@ -25,6 +26,31 @@ def daily_churn(commits: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
+def count_stream(commits: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Counts of each micro-batch per file and day, from a stream of (repo_id, path, ts).
+
+    Nothing waits for a watermark, so open days and events of any lateness count. A batch has
+    a folder of its own, which is overwritten if the batch is run again: a restart neither
+    loses nor repeats a commit. :func:`day_counts` sums the batches.
+    """
+    days = commits.select("repo_id", "path", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("repo_id", "path", "day").agg(F.count("*").alias("commits")) \
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        days.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def day_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Commits per file and day over all batches so far."""
+    parts = spark.read.schema("repo_id string, path string, day timestamp, commits bigint").parquet(out)
+    return parts.groupBy("repo_id", "path", "day").agg(F.sum("commits").alias("commits"))
+
+
 def recent_commits(daily: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
     """Commits per file over the recent whole days before ``as_of``."""
     return (

@@ -25,6 +25,25 @@ def test_daily_churn(spark, tmp_path):
     assert recent == {"f0": 36, "f1": 36}  # 90 days before is 2 January
 
 
+def test_open_days_and_late_commits_count(spark, tmp_path):
+    schema = "repo_id string, path string, ts timestamp"
+    feed, out, log = (str(tmp_path / n) for n in ("feed", "out", "log"))
+
+    def push(hours):
+        rows = [("r", f"f{i % 2}", START + timedelta(hours=i)) for i in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        churn.count_stream(spark.readStream.schema(schema).parquet(feed), out, log).awaitTermination()
+        return {(r.day, r.path): r.commits for r in churn.day_counts(spark, out).collect()}
+
+    got = push(range(24 * 5 + 1))
+    assert got == {(START + timedelta(days=d), f"f{k}"): 12 for d in range(5) for k in range(2)} | {(START + timedelta(days=5), "f0"): 1}
+    # A second batch, with one more commit of the open day and one that is four days late.
+    got = push([24 * 5 + 2, 2])
+    assert got[START + timedelta(days=5), "f0"] == 2 and got[START, "f0"] == 13 and sum(got.values()) == 123
+    recent = {r.path: r.commits_last_90d for r in churn.recent_commits(churn.day_counts(spark, out), "2024-04-01").collect()}
+    assert recent == {"f0": 50, "f1": 48}
+
+
 def test_pull_requests_across_batches(spark, tmp_path):
     heat = spark.createDataFrame(
         [("r", "hot.go", 90, "critical", "Go", False, "")],

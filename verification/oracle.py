@@ -721,6 +721,13 @@ FROM (SELECT event_type AS path, date_trunc('day', ts) AS day FROM events)
 WHERE day >= TIMESTAMP '{DOC_AS_OF}' - INTERVAL 90 DAY AND day + INTERVAL 1 DAY
   <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
 GROUP BY path""",
+    "churn_stream_all_days": """
+SELECT 'r' AS repo_id, event_type AS path, date_trunc('day', ts) AS day, count(*) AS commits
+FROM events GROUP BY ALL""",
+    "churn_90d_stream_all_days": f"""
+SELECT 'r' AS repo_id, event_type AS path, count(*) AS commits_last_90d
+FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '{DOC_AS_OF}' - INTERVAL 90 DAY
+GROUP BY ALL""",
     "result_metadata": """
 SELECT repo_id, '1.0.0' AS version, repo_path, commit_sha, branch, total_files, go_files
 FROM (SELECT repo_id, count(*) AS total_files, nullif(count(*) FILTER (WHERE language = 'Go'), 0) AS go_files

@@ -21,7 +21,7 @@ from riskloom.plans.review import score_prs
 from riskloom.settings import BreakerLimits, Settings, TierThresholds
 from riskloom.sources import readers, writers
 from riskloom.sources.staging import new_path, stage
-from riskloom.streaming.churn import daily_churn, recent_commits
+from riskloom.streaming.churn import count_stream, daily_churn, day_counts, recent_commits
 from riskloom.streaming.review import score_stream, verdicts
 from verification.bindings import AS_OF, DOC_AS_OF, view
 
@@ -617,13 +617,16 @@ def at_or_above(spark, d):
 # --- streams ----------------------------------------------------------------------------
 
 
-def _daily(spark, d):
+def _events(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") \
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") \
         .parquet(d).select(
             F.lit("r").alias("repo_id"), F.col("event_type").alias("path"), "ts")
+
+
+def _daily(spark, d):
     out = new_path(spark, "churn")
-    run = daily_churn(stream).writeStream.format("parquet") \
+    run = daily_churn(_events(spark, d)).writeStream.format("parquet") \
         .option("checkpointLocation", new_path(spark, "churn-log")) \
         .trigger(availableNow=True).start(out)
     run.awaitTermination()
@@ -642,6 +645,24 @@ def churn_90d_stream(spark, d):
     return recent_commits(_daily(spark, d), DOC_AS_OF)
 
 
+def _all_days(spark, d):
+    out = new_path(spark, "churn")
+    count_stream(_events(spark, d), out, new_path(spark, "churn-log")).awaitTermination()
+    return day_counts(spark, out)
+
+
+@query
+def churn_stream_all_days(spark, d):
+    """Daily commit counts from the stream, the days still open included."""
+    return plain(_all_days(spark, d))
+
+
+@query
+def churn_90d_stream_all_days(spark, d):
+    """Commits of the last 90 days from the stream, the newest days included."""
+    return recent_commits(_all_days(spark, d), DOC_AS_OF)
+
+
 @query
 def heat_saved(spark, d):
     """The scored table, written and read back."""
