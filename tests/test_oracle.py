@@ -50,3 +50,10 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "tier" in df.columns
+
+
+def test_merge_reads_every_assessment(spark):
+    every = registered.all_queries()["assessments"](spark, DIR).select("content_hash")
+    merged = registered.all_queries()["assessment_merge_whole"](spark, DIR).select("content_hash")
+    assert not every.exceptAll(merged).count() and not merged.exceptAll(every).count()
+    assert registered.all_queries()["assessment_merge"](spark, DIR).count() < every.count()

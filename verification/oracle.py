@@ -654,6 +654,10 @@ SELECT content_hash, security_impact, data_impact, availability_impact, user_imp
   blast_radius_summary, CASE WHEN c % 3 = 0 THEN critical_reason ELSE 'cached' END AS critical_reason
 FROM (SELECT *, CAST(substr(content_hash, 2) AS BIGINT) AS c FROM o_assessments)
 WHERE c % 2 = 0 OR c % 3 = 0""",
+    "assessment_merge_whole": """
+SELECT content_hash, security_impact, data_impact, availability_impact, user_impact,
+  blast_radius_summary, CASE WHEN c % 3 = 0 THEN critical_reason ELSE 'cached' END AS critical_reason
+FROM (SELECT *, CAST(substr(content_hash, 2) AS BIGINT) AS c FROM o_assessments)""",
     "assessment_counters": f"""
 SELECT (SELECT count(*) FROM o_files WHERE NOT {_NOT_ASSESSED} AND {_HASH} IN
           (SELECT {_HASH} FROM fx_source_files WHERE doc_id % 3 = 0)) AS cached,

@@ -512,6 +512,15 @@ def assessment_merge(spark, d):
     return assess.merge_assessments(cached, done.filter(number % 3 == 0))
 
 
+@query
+def assessment_merge_whole(spark, d):
+    """As before, with all assessments in the cache and every third one fresh as well."""
+    done = Inputs(spark, d).assessments()
+    number = F.substring("content_hash", 2, 20).cast("bigint")
+    cached = done.withColumn("critical_reason", F.lit("cached"))
+    return assess.merge_assessments(cached, done.filter(number % 3 == 0))
+
+
 @query
 def assessment_reassessed(spark, d):
     """Every response three times, in batches that differ; the newest readable one wins."""
