@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, quality, secret_scan, suffix_dedup, url_filter
+from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, prefix_bpe, quality, secret_scan, suffix_dedup, url_filter
 from riskloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefix_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

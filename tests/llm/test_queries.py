@@ -29,7 +29,7 @@ def test_native_queries_run_no_python(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.all_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.all_queries()) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark):
