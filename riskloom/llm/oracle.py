@@ -152,5 +152,32 @@ FROM docs JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
 
+PREFIX_TRIE = r"""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS t,
+  -- crc32 of the decimal digits, bit by bit
+  xor(list_reduce([ascii(c) FOR c IN string_split(CAST(conv_id AS VARCHAR), '')], lambda a, b:
+    list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(a, CAST(b AS BIGINT))), 4294967295), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id),
+rebuilt AS MATERIALIZED (SELECT o.conv_id, coalesce(b.t[:o.h], []) || o.t[o.h + 1:] AS t
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+prefixes AS (SELECT conv_id, len(t) AS n, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt),
+nodes AS MATERIALIZED (SELECT depth, CASE WHEN depth = 0 THEN [] ELSE t[:depth] END AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL),
+keyed AS MATERIALIZED (SELECT *, md5(CAST(to_json(p) AS VARCHAR)) AS k, CASE WHEN depth > 0 THEN md5(CAST(to_json(p[:depth - 1]) AS VARCHAR)) END AS above,
+  CASE WHEN depth > 0 THEN (n_convs - 1) * coalesce(length(p[depth].x), 0) ELSE 0 END AS own FROM nodes),
+counts AS (SELECT above AS k, count(*) AS n FROM keyed WHERE depth > 0 GROUP BY 1),
+full_nodes AS MATERIALIZED (SELECT a.*, coalesce(c.n, 0) AS n_children FROM keyed a LEFT JOIN counts c USING (k)),
+up AS (SELECT k AS top, k AS at, above, own, n_children FROM full_nodes
+  UNION ALL SELECT f.k, u.at, f.above, u.own, u.n_children FROM up u JOIN full_nodes f ON f.k = u.above),
+sums AS (SELECT top AS k, sum(own) AS saved, count_if(n_children = 0) AS leaves FROM up GROUP BY top)
+SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_nodes a JOIN sums s USING (k) LEFT JOIN full_nodes b ON b.k = a.above
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": SUBSTRINGS, "op4_chat": CHAT, "op8_ngram_join": NGRAMS, "op9_secret_scan": SECRETS, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER}
+    return {"op3_suffix_dedup": SUBSTRINGS, "op4_chat": CHAT, "op8_ngram_join": NGRAMS, "op9_secret_scan": SECRETS, "op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER,
+            "op13_prefix_trie": PREFIX_TRIE}

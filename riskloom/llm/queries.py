@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, prefix_bpe, quality, secret_scan, suffix_dedup, url_filter
+from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, prefix_bpe, prefix_trie, quality, secret_scan, suffix_dedup, url_filter
 from riskloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,14 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return prefix_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with the first turns, 0 to 5, of its family's first one."""
+    own = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 100)
+    leads = own.filter("conv_id = family").select("family", F.slice("turns", 1, 5).alias("leads"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    lead = F.when(F.col("leads").isNotNull(), F.slice("leads", F.lit(1), h)).otherwise(F.slice("turns", 1, 0))
+    return prefix_trie.trie(own.join(leads, "family", "left").select("conv_id", F.concat(lead, rest).alias("turns")))
