@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, prefix_bpe, prefix_trie, quality, secret_scan, suffix_dedup, url_filter
+from riskloom.llm import ann, chat, decontaminate, language, ngram_join, packing, pair_alignment, prefix_bpe, prefix_trie, quality, secret_scan, suffix_dedup, url_filter
 from riskloom.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
     lead = F.when(F.col("leads").isNotNull(), F.slice("leads", F.lit(1), h)).otherwise(F.slice("turns", 1, 0))
     return prefix_trie.trie(own.join(leads, "family", "left").select("conv_id", F.concat(lead, rest).alias("turns")))
+
+
+@query
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pair_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
