@@ -52,6 +52,8 @@ LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM  # a string starts at most so far before its anchor
 AROUND = REACH + LENGTH
+PARTS = 64  # of the texts, at least: what buckets find goes to the texts in so many rows
+PART = 4_000_000  # entries that a part may come to hold
 CELLS = 1 << 16
 CHUNK = 1 << 18
 SEGMENT = 1 << 19  # of a long text; positions have to fit 20 bits
@@ -227,8 +229,50 @@ def measured(documents: DataFrame) -> DataFrame:
     return written(documents.mapInArrow(run, "rank long, node long, size long, check long, cell long, count long"), "texts")
 
 
-def _shared(documents: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
-    """node, grams (32-bit hashes): the anchors that another text has as well."""
+def _part(nodes: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of the texts that a text belongs to."""
+    return (mix(nodes.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+
+
+def _parts(entries: int) -> int:
+    return int(max(PARTS, entries // PART))
+
+
+def _packed(part: np.ndarray, **arrays: np.ndarray) -> pa.Table:
+    """A row per part of the texts, arrays packed: however many texts a bucket meets, it
+    gives no more rows than there are parts."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    ends = np.r_[cut[1:], len(part)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    columns = {k: pa.array([pack(a[order[i:j]].tobytes()) for i, j in zip(cut, ends)], pa.binary()) for k, a in arrays.items()}
+    return pa.table({"part": pa.array(part[cut], pa.int32()), **columns})
+
+
+def _by_text(rows: DataFrame, kinds: dict[str, type], keys: list[str], blob: str) -> DataFrame:
+    """Rows of :func:`_packed` as a row per text: its keys, and its other values side by side
+    as little-endian 32-bit numbers in the column ``blob``."""
+
+    def collect(t: pa.Table) -> pa.Table:
+        arrays = {k: unpacked(t[k], kind, packed=True) for k, kind in kinds.items()}
+        order = np.lexsort([arrays[k] for k in keys])
+        arrays = {k: a[order] for k, a in arrays.items()}
+        n = len(order)
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= arrays[k][1:] != arrays[k][:-1]
+        cut = np.flatnonzero(new)
+        ends = np.r_[cut[1:], n]
+        values = np.stack([arrays[k] for k in kinds if k not in keys], 1)
+        return pa.table({**{k: arrays[k][cut] for k in keys}, blob: pa.array([values[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(collect, ", ".join(f"{k} long" for k in keys) + f", {blob} binary")
+
+
+def _shared(documents: DataFrame, hot: np.ndarray, n_buckets: int, n_parts: int) -> DataFrame:
+    """node, grams (32-bit hashes): the anchors that another text has as well, a row a text."""
 
     def entries(batches):
         out = Buckets(n_buckets, ["gram", "node"], runs="node")
@@ -252,14 +296,11 @@ def _shared(documents: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[cut, len(g)])
         g, v = g[np.repeat(size, size) > 1], v[np.repeat(size, size) > 1]
-        order = np.argsort(v, kind="stable")
-        g, v = g[order], v[order]
-        cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(v)]
-        return pa.table({"node": v[cut], "grams": pa.array([g[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())})
+        return _packed(_part(v, n_parts), node=v, gram=g)
 
     found = documents.select("text").mapInArrow(entries, "bucket int, gram binary, node binary, node_runs binary")
-    return found.groupBy("bucket").applyInArrow(meet, "node long, grams binary")
+    met = found.groupBy("bucket").applyInArrow(meet, "part int, node binary, gram binary")
+    return _by_text(met, {"node": np.int64, "gram": np.uint32}, ["node"], "grams")
 
 
 def _compressed(documents: DataFrame, wanted: np.ndarray, digest: bool = False) -> DataFrame:
@@ -309,16 +350,15 @@ def _surroundings(texts: list[bytes], grams: list[np.ndarray]) -> Iterator[tuple
             yield text, place, far, near, around
 
 
-def _ordered(first: DataFrame, n_buckets: int) -> DataFrame:
-    """rank, node, marks (position and string bits, 32 bits each). ``first``: rank, node,
-    packed and lists of wanted grams of texts."""
+def _ordered(first: DataFrame, n_buckets: int, n_parts: int) -> DataFrame:
+    """rank, node, marks (position and string bits, 32 bits each), a row a text. ``first``:
+    rank, node, packed and wanted grams of texts."""
 
     def send(batches):
         out = Buckets(n_buckets, ["around", "rank", "node", "place", "far", "near"], limit=60_000, packed=True)
         for batch in batches:
-            for r, v, p, lists in zip(batch["rank"].to_pylist(), batch["node"].to_pylist(), batch["packed"].to_pylist(), batch["grams"].to_pylist()):
-                wanted = np.concatenate([np.frombuffer(x, np.uint32) for x in lists])
-                for _, place, far, near, around in _surroundings([_text(p)], [wanted]):
+            for r, v, p, grams in zip(batch["rank"].to_pylist(), batch["node"].to_pylist(), batch["packed"].to_pylist(), batch["grams"].to_pylist()):
+                for _, place, far, near, around in _surroundings([_text(p)], [np.frombuffer(grams, np.uint32)]):
                     key = np.zeros(len(place), np.uint64)
                     with np.errstate(over="ignore"):
                         for j in range(REACH, REACH + GRAM):
@@ -334,15 +374,11 @@ def _ordered(first: DataFrame, n_buckets: int) -> DataFrame:
         place, far, near = take("place", np.uint32), take("far", np.uint8).astype(np.int64), take("near", np.uint8).astype(np.int64)
         bits = marked(around, rank, far, near)
         hit = np.flatnonzero(bits)
-        hit = hit[np.lexsort((node[hit], rank[hit]))]
-        r, v = rank[hit], node[hit]
-        marks = np.stack([place[hit], bits[hit]], 1)
-        cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])]) if len(hit) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(hit)]
-        return pa.table({"rank": r[cut], "node": v[cut], "marks": pa.array([marks[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())})
+        return _packed(_part(node[hit], n_parts), rank=rank[hit], node=node[hit], place=place[hit], bits=bits[hit])
 
     columns = "bucket int, around binary, rank binary, node binary, place binary, far binary, near binary"
-    return first.mapInArrow(send, columns).groupBy("bucket").applyInArrow(order, "rank long, node long, marks binary")
+    found = first.mapInArrow(send, columns).groupBy("bucket").applyInArrow(order, "part int, rank binary, node binary, place binary, bits binary")
+    return _by_text(found, {"rank": np.int64, "node": np.int64, "place": np.uint32, "bits": np.uint32}, ["rank", "node"], "marks")
 
 
 def _hot_marks(documents: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -406,15 +442,14 @@ def deduplicate(documents: DataFrame, *, hot: int = 1 << 17, with_text: bool = F
     sketch = np.zeros(CELLS, np.int64)
     sketch[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     too_many = sketch > hot + 2 * sketch.mean()
-    shared = written(_shared(ranked, too_many, int(max(partitions(spark), sketch.sum() // 2_000_000))), "shared")
+    shared = written(_shared(ranked, too_many, int(max(partitions(spark), sketch.sum() // 2_000_000)), _parts(sketch.sum())), "shared")
     rows = texts.filter("cell is null")
     # "first" is the smallest doc_id that has the text.
     first = rows.groupBy("node", "check", "size").agg(F.min("rank").alias("first"))
-    wanted = shared.groupBy("node").agg(F.collect_list("grams").alias("grams"), F.sum(F.octet_length("grams")).alias("n"))
     total = shared.agg(F.sum(F.octet_length("grams") / 4)).first()[0] or 0
-    asked = wanted.join(first, "node").select("node", F.col("first").alias("rank"), "grams")
+    asked = shared.join(first, "node").select("node", F.col("first").alias("rank"), "grams")
     sent = _compressed(ranked.select("rank", "text"), id_filter(shared, "node")).join(asked, ["node", "rank"])
-    marks = _ordered(sent.select("rank", "node", "packed", "grams"), int(max(partitions(spark), total // 200_000)))
+    marks = _ordered(sent.select("rank", "node", "packed", "grams"), int(max(partitions(spark), total // 200_000)), _parts(total))
     if too_many.any():
         marks = marks.unionByName(_hot_marks(ranked, too_many))
     marks = written(marks, "marks")
