@@ -90,7 +90,7 @@ class Alignment:
     """The groups and links of a block of documents, whose ids lie one behind the other."""
 
     def __init__(self, own: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]):
-        self.n_a, self.n_b = (np.array([len(x) for x in ids]) for ids in (a, b))
+        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
         self.a, self.b = (np.concatenate([np.zeros(0, np.uint16), *ids]) for ids in (a, b))
         a_end, b_end = np.cumsum(own.a_length[self.a]), np.cumsum(own.b_length[self.b])
         # Both tokenizers give all bytes of every text, so ends of texts are ends of groups.
@@ -187,8 +187,8 @@ class PerfectHash:
         return cls([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(sizes, bits)])
 
 
-def _blob(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(array.tobytes())
+def _blob(array: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(array.tobytes())
 
 
 def _take(column, kind) -> np.ndarray:
@@ -196,36 +196,34 @@ def _take(column, kind) -> np.ndarray:
 
 
 def encoded(documents: DataFrame, a_path: str, b_path: str, n_shards: int) -> DataFrame:
-    """Rows of documents (block, doc_id, a, b: 16-bit ids) and of their blocks' pairs (block,
-    shard, keys, counts), written to the shared folder."""
+    """Rows of blocks (block, doc_ids, n_a, n_b, and 16-bit ids a, b, all packed) and of their
+    pairs (block, shard, keys, counts), written to the shared folder."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, turn = tokenizers(a_path, b_path), TaskContext.get().partitionId(), 0
         held: list = []
-        names = ["block", "doc_id", "a", "b", "shard", "keys", "counts"]
+        names = ["block", "doc_ids", "n_a", "n_b", "a", "b", "shard", "keys", "counts"]
 
         def block() -> pa.RecordBatch:
             number = task << 32 | turn
-            _, keys, _ = Alignment(own, [a for _, a, _ in held], [b for _, _, b in held]).links()
+            made = Alignment(own, [a for _, a, _ in held], [b for _, _, b in held])
+            _, keys, _ = made.links()
             keys, counts = np.unique(keys, return_counts=True)
             shard = (mix((keys >> np.uint32(16)).astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             keys, counts, shard = keys[order], counts[order].astype(np.uint32), shard[order]
             cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
             ends = np.r_[cut[1:], len(shard)]
-            n, m = len(held), len(cut)
-            none = lambda of, k: pa.nulls(k, of)
-            join = lambda x, y: pa.concat_arrays([x.cast(y.type), y])
-            ids = pa.concat_arrays([d for d, _, _ in held])
+            # One row for the documents, then one for every shard.
+            ids, m = pa.concat_arrays([d for d, _, _ in held]), len(cut)
+            first = lambda array: pa.array([_blob(array, 6), *[None] * m], pa.binary())
+            others = lambda parts: pa.array([None, *parts], pa.binary())
+            offsets = pa.array([0, *[len(ids)] * (m + 1)], pa.int32())
             return pa.RecordBatch.from_arrays([
-                pa.array([number] * (n + m), pa.int64()),
-                pa.concat_arrays([ids, none(ids.type, m)]),
-                join(pa.array([_blob(a) for _, a, _ in held], pa.binary()), none(pa.binary(), m)),
-                join(pa.array([_blob(b) for _, _, b in held], pa.binary()), none(pa.binary(), m)),
-                pa.concat_arrays([none(pa.int32(), n), pa.array(shard[cut], pa.int32())]),
-                join(none(pa.binary(), n), pa.array([_blob(keys[i:j]) for i, j in zip(cut, ends)], pa.binary())),
-                join(none(pa.binary(), n), pa.array([_blob(counts[i:j]) for i, j in zip(cut, ends)], pa.binary()))], names)
+                pa.array([number] * (m + 1), pa.int64()), pa.ListArray.from_arrays(offsets, ids),
+                first(made.n_a), first(made.n_b), first(made.a), first(made.b), pa.array([None, *shard[cut].tolist()], pa.int32()),
+                others(_blob(keys[i:j]) for i, j in zip(cut, ends)), others(_blob(counts[i:j]) for i, j in zip(cut, ends))], names)
 
         size = 0
         for batch in batches:
@@ -240,7 +238,7 @@ def encoded(documents: DataFrame, a_path: str, b_path: str, n_shards: int) -> Da
             yield block()
 
     return written(documents.select("doc_id", "text").mapInArrow(
-        run, f"block long, doc_id {kind}, a binary, b binary, shard int, keys binary, counts binary"), "aligned")
+        run, f"block long, doc_ids array<{kind}>, n_a binary, n_b binary, a binary, b binary, shard int, keys binary, counts binary"), "aligned")
 
 
 def _distinct(t: pa.Table) -> pa.Table:
@@ -340,21 +338,22 @@ def align(documents: DataFrame, a_path: str, b_path: str, *, leaf: int = LEAF, w
     found = entries.groupBy("shard", "branch").cogroup(_for_leaves(shards, entries).groupBy("shard", "leaf")).applyInArrow(
         _found, "block long, keys binary, total binary, best binary")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ids = rows.filter("shard is null").select("block", "doc_id", "a", "b")
+    ids = rows.filter("shard is null").select("block", "doc_ids", "n_a", "n_b", "a", "b")
 
     def finish(docs: pa.Table, counts: pa.Table) -> pa.Table:
         own = tokenizers(a_path, b_path)
-        block = Alignment(own, *([_take([x], np.uint16) for x in docs[c]] for c in ("a", "b")))
+        each = lambda c: np.split(_take(docs[c], np.uint16), np.cumsum(_take(docs[f"n_{c}"], np.int64))[:-1])
+        block = Alignment(own, each("a"), each("b"))
         doc, key, n = block.links()
         keys, total, best = _take(counts["keys"], np.uint32), _take(counts["total"], np.int64), _take(counts["best"], np.bool_)
         order = np.argsort(keys)
         at = order[np.searchsorted(keys, key, sorter=order)] if len(key) else np.zeros(0, np.int64)
-        sums = np.zeros((3, docs.num_rows), np.int64)
+        sums = np.zeros((3, len(block.n_a)), np.int64)
         for out, of in zip(sums, (n, n * best[at], n * total[at])):
             np.add.at(out, doc, of)
         texts = list(block.texts())
         digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
-        columns = [docs["doc_id"], block.n_a, block.n_b, block.n_groups, *sums, digests] + [texts] * with_groups
+        columns = [docs["doc_ids"].combine_chunks().flatten(), block.n_a, block.n_b, block.n_groups, *sums, digests] + [texts] * with_groups
         return pa.table(dict(zip(names, columns)))
 
     names = ["doc_id", *OUT, "groups_sha256"] + ["groups"] * with_groups
