@@ -1,27 +1,29 @@
 """Import resolution and dependency centrality.
 
-An import resolves twice, and both hits count: exactly, to the first existing of five
-file names built from it, and loosely, to the first other path that contains it.
-
-Loose matching never pairs imports with paths, nor with lengths of a whole repository. An
-import is known by its lead, its first six characters (all of a shorter one). A path lists
-the substrings of up to six characters at each of its positions, at most six times its
-length; those that are a lead of the repository meet the lengths of the imports with that
-lead, and what results meets the imports, both in equi-joins on hashed keys.
+An import resolves twice, and both hits count: exactly, to the first existing of six file
+names built from it, and loosely, to the first other path that contains it.
+
+Loose matching pairs nothing. The paths are numbered in name order, and the suffixes of all
+paths of a repository are put in order; an import's matches are then the suffixes that begin
+with it, which lie side by side. Two marks of every import, sorted in with the suffixes, give
+its range, and minima over blocks of the order give the least two path numbers of the range,
+however many suffixes it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordering import in_order, two_least_in_ranges
 from riskloom.operators.skew import spread_join
 from riskloom.sources.staging import stage
 
-# File names an import may stand for, in the order they are tried.
+# Endings of the file names an import may stand for, in the order they are tried;
+# the last one is tried again behind the cleaned path.
 EXACT_ENDINGS = (".py", ".go", ".ts", ".js", "/__init__.py")
 
-_LEAD = 6
+_PACKAGE = "/__init__.py"
 _IMPORT = ["repo_id", "imp"]
 
 
@@ -38,61 +40,74 @@ def exact_targets(files: DataFrame) -> DataFrame:
         stem = F.substring(path, F.lit(1), F.length(path) - len(ending))
         fits = F.endswith(path, F.lit(ending)) & (F.length(path) > len(ending))
         names.append(F.when(fits, F.struct(stem.alias("imp"), F.lit(rank).alias("rank"))))
-    # A package may also be named relative to the root.
-    dotted = F.concat(F.lit("./"), stem).alias("imp")
-    names.append(F.when(fits, F.struct(dotted, F.lit(len(EXACT_ENDINGS)).alias("rank"))))
     # The name and the rank give the path back, so only a number is aggregated.
-    endings = F.array(*[F.lit(e) for e in (*EXACT_ENDINGS, EXACT_ENDINGS[-1])])
-    named = F.when(F.col("rank") < len(EXACT_ENDINGS), F.col("imp")) \
-        .otherwise(F.substring("imp", 3, 1 << 30))
+    endings = F.array(*[F.lit(e) for e in EXACT_ENDINGS])
     return (
         files.select("repo_id", F.explode(F.array_compact(F.array(*names))).alias("target"))
         .groupBy("repo_id", F.col("target.imp").alias("imp"))
         .agg(F.min("target.rank").alias("rank"))
-        .select(*_IMPORT, F.concat(named, F.element_at(endings, F.col("rank") + 1))
-                .alias("exact_path"))
+        .select(*_IMPORT, F.concat("imp", F.element_at(endings, F.col("rank") + 1)).alias("exact_path"))
     )
 
 
-def _listed_substrings(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(repo_id, imp, path) for the path substrings that are an import.
+def cleaned(path: Column) -> Column:
+    """A path without empty and ``.`` segments, and ``..`` taken together with the segment
+    before it; ``.`` if nothing is left."""
+    rooted = F.startswith(path, F.lit("/"))
 
-    A lead that very many paths hold is split by adaptive execution. ``imports`` is a staged
-    table: Spark knows its size and broadcasts leads and imports only while they are small.
-    """
-    lead = F.substring("imp", 1, _LEAD)
-    leads = imports.select("repo_id", lead.alias("lead"), F.length("imp").alias("n")).distinct()
-    path, at, n = F.col("path"), F.col("at"), F.col("n")
-    widths = F.explode(F.sequence(F.lit(1), F.least(F.lit(_LEAD), F.length(path) - at + 1)))
-    listed = (
-        files.select("repo_id", "path", F.explode(F.sequence(F.lit(1), F.length(path))).alias("at"))
-        .select("repo_id", "path", "at", widths.alias("width"))
-        .select("repo_id", "path", "at", F.substring(path, at, F.col("width")).alias("lead"))
-    )
-    return (
-        listed.join(leads, ["repo_id", "lead"])
-        .filter(at + n - 1 <= F.length(path))
-        .select("repo_id", F.substring(path, at, n).alias("imp"), "path")
-        .join(imports.select(*_IMPORT), _IMPORT, "left_semi")
-    )
+    def step(kept: Column, segment: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        up = segment == ".."
+        return (
+            F.when(segment.isin("", "."), kept)
+            .when(up & F.coalesce(last != "..", F.lit(False)), F.slice(kept, F.lit(1), F.size(kept) - 1))
+            .when(up & rooted, kept)
+            .otherwise(F.concat(kept, F.array(segment)))
+        )
+
+    parts = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), parts)).when(parts == "", ".").otherwise(parts)
+
+
+def package_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """The package file that an import stands for once its path is cleaned, where cleaning
+    changes it: one row per (repo_id, imp)."""
+    odd = imports.select(*_IMPORT, cleaned(F.col("imp")).alias("clean"))
+    clean = F.col("clean")
+    # Elsewhere the cleaned name is that of the last ending.
+    odd = odd.filter((clean != F.col("imp")) | clean.isin(".", "/"))
+    named = F.when(clean == ".", _PACKAGE[1:]).when(clean == "/", _PACKAGE).otherwise(F.concat(clean, F.lit(_PACKAGE)))
+    return odd.select(*_IMPORT, named.alias("path")).join(
+        files.filter(F.endswith("path", F.lit(_PACKAGE[1:]))).select("repo_id", "path"), ["repo_id", "path"], "left_semi",
+    ).select(*_IMPORT, F.col("path").alias("package_path"))
 
 
 def loose_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     """The first two paths, in name order, that contain each import.
 
-    Two are enough: an importer that is itself the first is given the second. The rank is
-    dense because a path may hold a substring twice; its limit cuts every map task's rows
-    before they are shuffled.
+    Two are enough: an importer that is itself the first is given the second. No suffix is
+    kept beyond the length of the longest import.
     """
-    by_name = Window.partitionBy(*_IMPORT).orderBy("path")
+    numbered = in_order(files.distinct(), ["repo_id", "path"], "no", "paths")
+    longest = imports.agg(F.max(F.length("imp"))).first()[0] or 0
+    key = lambda text: F.encode(text, "UTF-8")
+    none = F.lit(None)
+    suffixes = numbered.filter("path <> ''").select(
+        "repo_id", "path", F.explode(F.sequence(F.lit(1), F.length("path"))).alias("start"), "no",
+    ).select("repo_id", key(F.substring("path", F.col("start"), F.lit(longest))).alias("key"), F.lit(1).alias("kind"), "no",
+             none.cast("string").alias("imp"))
+    # No text has the byte 255, so the second mark stands behind all that begins with the import.
+    marks = imports.select("repo_id", "imp", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind")).select(
+        "repo_id", F.when(F.col("kind") == 0, key(F.col("imp"))).otherwise(F.concat(key(F.col("imp")), F.lit(b"\xff"))).alias("key"),
+        "kind", none.cast("bigint").alias("no"), "imp")
+    order = in_order(suffixes.unionByName(marks), ["repo_id", "key", "kind", "no"], "at", "suffixes", ["repo_id", "imp", "no"])
+    ranges = order.filter("imp is not null").groupBy(*_IMPORT).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    least = two_least_in_ranges(order.select("at", F.col("no").alias("number")), ranges, _IMPORT)
+    least = least.select(*_IMPORT, F.get("least", F.lit(0)).alias("first"), F.get("least", F.lit(1)).alias("second"))
+    path = lambda no, name: numbered.select(F.col("no").alias(no), F.col("path").alias(name))
     return (
-        _listed_substrings(files, imports)
-        .withColumn("rank", F.dense_rank().over(by_name)).filter(F.col("rank") <= 2)
-        .groupBy(*_IMPORT)
-        .agg(
-            F.min("path").alias("loose_path"),
-            F.max(F.when(F.col("rank") == 2, F.col("path"))).alias("loose_next"),
-        )
+        least.join(path("first", "loose_path"), "first").join(path("second", "loose_next"), "second", "left")
+        .select(*_IMPORT, "loose_path", "loose_next")
     )
 
 
@@ -101,17 +116,25 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     files = files.select("repo_id", "path")
     return (
         imports.join(exact_targets(files), _IMPORT, "left")
+        .join(package_targets(files, imports), _IMPORT, "left")
+        .withColumn("exact_path", F.coalesce("exact_path", "package_path")).drop("package_path")
         .join(loose_targets(files, imports), _IMPORT, "left")
     )
 
 
-def import_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
+def resolved_imports(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """The same for the imports of ``refs``, with their number of lines, as a written table:
+    :func:`import_edges` and :func:`fan_in` both start from it."""
+    return stage(resolve_imports(files, stage(distinct_imports(refs), "imports")), "resolved")
+
+
+def import_edges(files: DataFrame, refs: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """One row per resolved import: target ``path`` and the importing file.
 
-    Both hits of an import line are kept, so a target can appear twice.
+    Both hits of an import line are kept, so a target can appear twice. ``resolved`` is the
+    table of :func:`resolved_imports`, if there is one already.
     """
-    imports = stage(distinct_imports(refs), "imports")
-    resolved = resolve_imports(files, imports).drop("refs")
+    resolved = (resolved or resolved_imports(files, refs)).drop("refs")
     other = F.when(F.col("loose_path") != F.col("imported_by"), F.col("loose_path")) \
         .otherwise(F.col("loose_next"))
     refs = refs.withColumnRenamed("path", "imported_by")
@@ -129,14 +152,14 @@ def import_edges(files: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def fan_in(files: DataFrame, refs: DataFrame) -> DataFrame:
+def fan_in(files: DataFrame, refs: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Number of import lines that resolve to each file that has any.
 
     Counts the same edges as :func:`import_edges` without listing them: lines are
     counted per import before any shuffle, and only lines of a file that is its own
     first loose hit are looked at one by one.
     """
-    resolved = resolve_imports(files, stage(distinct_imports(refs), "imports"))
+    resolved = resolved or resolved_imports(files, refs)
     own = (
         refs.filter(F.contains("path", "imp"))
         .groupBy("repo_id", "imp", F.col("path").alias("loose_path"))

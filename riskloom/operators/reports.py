@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths, scores
-from riskloom.operators.skew import ranked, spread_join, top_k
+from riskloom.operators.ordering import ranked
+from riskloom.operators.skew import spread_join, top_k
 from riskloom.schemas import IMPACTS
 from riskloom.settings import TIER_RANK, TIERS, check_tier
 
@@ -117,7 +118,7 @@ def file_facts(heat: DataFrame) -> DataFrame:
 
 def ranked_facts(heat: DataFrame) -> DataFrame:
     """The BI extract with each file's place in its repository, hottest first."""
-    return ranked(file_facts(heat), ["repo_id"], "heat_score", ["path"])
+    return ranked(file_facts(heat), ["repo_id"], [F.desc("heat_score"), "path"])
 
 
 def search_facts(

@@ -7,10 +7,11 @@ are shuffled, so no task sees a directory's files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths, scores
+from riskloom.operators.ordering import ranked
 from riskloom.settings import TIERS, Settings, check_tier
 
 DIR = ["repo_id", "dir"]
@@ -125,13 +126,12 @@ def sort_tree(nodes: DataFrame, by: str = "heat") -> DataFrame:
 
 def ranked_tree(nodes: DataFrame, by: str = "heat") -> DataFrame:
     """Nodes with their place among the children of their parent, in one of the orders of
-    :func:`sort_tree`. The children of one directory have to fit a task's sort."""
+    :func:`sort_tree`. A directory of any size lies in as many tasks as its children fill."""
     key = {"heat": "heat_score", "size": "lines"}.get(by)
     if key is None and by != "name":
         raise ValueError(f"sort must be heat, name or size (got {by!r})")
     order = [F.col("is_dir").desc(), *([F.col(key).desc()] if key else []), "name"]
-    place = Window.partitionBy("repo_id", "parent").orderBy(*order)
-    return nodes.withColumn("rank", F.row_number().over(place))
+    return ranked(nodes, ["repo_id", "parent"], order)
 
 
 def explorer_listing(heat: DataFrame) -> DataFrame:

@@ -39,23 +39,6 @@ def spread_join(
     )
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
-    """``df`` with ``rank`` inside each group: highest integer ``score`` first, then ``ties``.
-
-    A group is sorted per score only: what ranks before a score is a running sum over the
-    counts of its scores, of which there are as many as different scores.
-    """
-    counts = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    hotter = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, score, F.coalesce(F.sum("_n").over(hotter), F.lit(0)).alias("_before"))
-    same = Window.partitionBy(*keys, score).orderBy(*ties)
-    return (
-        df.join(before, [*keys, score])
-        .withColumn("rank", F.row_number().over(same) + F.col("_before"))
-        .select(*df.columns, "rank")
-    )
-
-
 def top_k(
     df: DataFrame, keys: list[str], order: list[Column], k: int, spread_on: list[str],
     rank: str = "rank", fan_out: int = 64,

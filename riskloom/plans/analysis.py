@@ -17,7 +17,8 @@ from riskloom.sources.staging import stage
 
 @dataclass(frozen=True)
 class Analysis:
-    """Result tables of one run, all lazy but ``metrics``."""
+    """Result tables of one run. Metrics and resolved imports are written while the plan is
+    built; heat, edges and changes are lazy and start from them."""
 
     metrics: DataFrame
     heat: DataFrame
@@ -27,14 +28,15 @@ class Analysis:
 
 def score_metrics(
     metrics: DataFrame, refs: DataFrame, commits: DataFrame, incidents: DataFrame, as_of: str,
-    settings: Settings = Settings(), **extra: DataFrame | None,
+    settings: Settings = Settings(), resolved: DataFrame | None = None, **extra: DataFrame | None,
 ) -> DataFrame:
-    """Scored table from a metrics table and import references."""
+    """Scored table from a metrics table and import references; ``resolved`` are those
+    imports where they have been resolved already."""
     return score_files(
         metrics,
         hist.file_history(commits, as_of, settings),
         incident_rollup(incidents, as_of, settings).drop("any_recent", "severity_points"),
-        imports.centrality(imports.fan_in(metrics, refs)),
+        imports.centrality(imports.fan_in(metrics, refs, resolved)),
         settings=settings,
         **extra,
     )
@@ -50,17 +52,19 @@ def analyze(
     """Scan the sources once and score them.
 
     The contents are read by one narrow pass whose result, a small row per file, is
-    staged: import resolution, scoring and assessment planning all start from it.
+    staged: import resolution, scoring and assessment planning all start from it. Imports are
+    resolved once, for both the scores and the edges.
     """
     metrics = stage(source_metrics(files, settings), "metrics")
     refs = import_refs(metrics)
+    resolved = imports.resolved_imports(metrics, refs)
     heat = score_metrics(
-        metrics, refs, commits, incidents, as_of, settings,
+        metrics, refs, commits, incidents, as_of, settings, resolved,
         assessments=assessments, coverage=coverage, annotations=annotations,
     )
     return Analysis(
         metrics=metrics,
         heat=heat,
-        edges=imports.import_edges(metrics, refs),
+        edges=imports.import_edges(metrics, refs, resolved),
         changes=hist.recent_changes(commits, as_of, settings),
     )

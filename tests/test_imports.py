@@ -1,7 +1,10 @@
+import posixpath
 import random
 from collections import Counter
 
-from riskloom.operators import imports
+from pyspark.sql import functions as F
+
+from riskloom.operators import imports, ordering
 from riskloom.operators.skew import spread_join, top_k
 from riskloom.operators.dependencies import dependency_heat
 
@@ -14,13 +17,9 @@ def by_hand(files, refs):
     known = set(files)
     edges = []
     for repo, importer, imp in refs:
-        for ending in (".py", ".go", ".ts", ".js", "/__init__.py"):
-            if (repo, imp + ending) in known:
-                edges.append((repo, imp + ending, importer))
-                break
-        else:
-            if imp.startswith("./") and (repo, imp[2:] + "/__init__.py") in known:
-                edges.append((repo, imp[2:] + "/__init__.py", importer))
+        names = [imp + e for e in (".py", ".go", ".ts", ".js", "/__init__.py")]
+        names.append(posixpath.normpath(posixpath.join(imp, "__init__.py")))
+        edges += [(repo, name, importer) for name in names if (repo, name) in known][:1]
         loose = [p for r, p in files if r == repo and p != importer and imp in p]
         if loose:
             edges.append((repo, min(loose), importer))
@@ -50,6 +49,38 @@ def test_resolution_order_and_both_hits(spark):
     check(spark, files, refs)
 
 
+def test_cleaned_paths(spark, apply):
+    odd = ["./a/../b", "a//b", ".", "", "..", "../..", "../a/..", "/..", "/a/../..", "a/./b/", "./", "a/b/../..", "é/../x", "a/../../b", "/", "/a//b/."]
+    got = apply("s string", [(o,) for o in odd], imports.cleaned(F.col("s")))
+    assert got == [posixpath.normpath(o) for o in odd]
+    files = [("r", p) for p in ("b/__init__.py", "a/b/__init__.py", "__init__.py", "a/b.py", "x.go")] + [("q", "b/__init__.py")]
+    check(spark, files, [(r, "x.go", o) for r in "rq" for o in odd if o] + [("r", "x.go", "a/b")])
+
+
+def test_ranges_of_an_order(spark):
+    """The least two of every range against looking at all rows, over several partitions."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(400)) for i in range(3000)]
+    df = ordering.in_order(spark.createDataFrame(rows, "id long, number long").repartition(5), ["id"], "at", "t")
+    place = sorted(r["at"] for r in df.collect())
+    number = [n for _, n in rows]
+    asked = [(0, 3000), (5, 5), (0, 1), (2999, 3000)] + [tuple(sorted(rng.sample(range(3000), 2))) for _ in range(150)] + [(i, i + rng.randrange(9)) for i in range(0, 2900, 37)]
+    ranges = spark.createDataFrame([(k, place[a], place[b] if b < 3000 else place[-1] + 1) for k, (a, b) in enumerate(asked)], "k long, lo long, hi long")
+    got = {r["k"]: r["least"] for r in ordering.two_least_in_ranges(df, ranges, ["k"]).collect()}
+    assert got == {k: sorted(set(number[a:b]))[:2] for k, (a, b) in enumerate(asked) if a < b}
+
+
+def test_places_of_hot_groups(spark):
+    rows = [(g if i % 3 else "hot", i % 4, i) for i in range(2000) for g in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "g string, s int, i int")
+    got = sorted((str(r["g"]), r["rank"], r["s"], r["i"]) for r in ordering.ranked(df, ["g"], [F.desc("s"), "i"]).collect())
+    want = []
+    for g in ("None", "a", "b", "hot"):
+        own = sorted(((s, i) for k, s, i in rows if str(k) == g), key=lambda x: (-x[0], x[1]))
+        want += [(g, n + 1, s, i) for n, (s, i) in enumerate(own)]
+    assert got == sorted(want)
+
+
 def test_random_graph(spark):
     rng = random.Random(11)
     names = ["a", "b", "ab", "ba", "aa", "src", "lib"]
