@@ -192,3 +192,12 @@ HEAT = (
     " requires_senior boolean, requires_security_scan boolean, requires_integration_tests boolean,"
     " auto_merge boolean, estimated_review_time_minutes int"
 )
+
+VERDICTS = _struct(
+    repo_id="string", pr_number="bigint", files_changed="bigint", heat_score="int",
+    total_lines="bigint", languages="bigint", test_lines="bigint", code_lines="bigint",
+    large_diff="boolean", many_languages="boolean", low_test_ratio="boolean",
+    no_description="boolean", tier="string", min_reviewers="int", requires_senior="boolean",
+    requires_security_scan="boolean", requires_integration_tests="boolean", auto_merge="boolean",
+    estimated_review_time_minutes="int", signals=T.ArrayType(T.StringType()), blocked="boolean",
+)

@@ -102,7 +102,11 @@ def read_incidents(spark: SparkSession, path: str, repo_id: str | None = None) -
 
 
 def read_annotations(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
-    """Annotations in JSON: one array of objects, or one object keyed by path."""
+    """Annotations in JSON: one array of objects, or one object keyed by path.
+
+    Annotations of many repositories lie in ``repo_id=<id>`` folders; for a single file give
+    its ``repo_id``.
+    """
     body = T.StructType([f for f in schemas.ANNOTATIONS.fields if f.name not in ("repo_id", "path")])
     keyed = T.MapType(T.StringType(), body)
 
@@ -110,10 +114,11 @@ def read_annotations(spark: SparkSession, path: str, repo_id: str | None = None)
         raw = spark.read.text(path, wholetext=True)
         rows = F.from_json("value", T.ArrayType(schemas.ANNOTATIONS))
         is_list = F.startswith(F.ltrim("value"), F.lit("["))
-        lists = raw.filter(is_list).select(F.inline(rows))
-        maps = raw.filter(~is_list).select(F.explode(F.from_json("value", keyed))).select(
-            F.lit(None).cast("string").alias("repo_id"), F.col("key").alias("path"), "value.*")
-        return lists.unionByName(maps)
+        folder = (F.col("repo_id") if "repo_id" in raw.columns else F.lit(None)).cast("string").alias("folder")
+        lists = raw.filter(is_list).select(folder, F.inline(rows)).withColumn("repo_id", F.coalesce("repo_id", "folder"))
+        maps = raw.filter(~is_list).select(folder, F.explode(F.from_json("value", keyed))).select(
+            F.col("folder").alias("repo_id"), F.col("key").alias("path"), "value.*")
+        return lists.drop("folder").unionByName(maps)
 
     df = _or_empty(spark, schemas.ANNOTATIONS, read)
     df = df if repo_id is None else df.withColumn("repo_id", F.lit(repo_id))

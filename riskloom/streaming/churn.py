@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.history import days_before
 from riskloom.settings import Settings
+from riskloom.sources.staging import stage
+from riskloom.streaming.state import KeyedTable
 
 
 def daily_churn(commits: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -26,18 +29,27 @@ def daily_churn(commits: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
-def count_stream(commits: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Counts of each micro-batch per file and day, from a stream of (repo_id, path, ts).
+_DAYS = T.StructType([T.StructField("repo_id", T.StringType()), T.StructField("path", T.StringType()),
+                      T.StructField("day", T.TimestampType()), T.StructField("commits", T.LongType())])
+_KEY = ("repo_id", "path")
 
-    Nothing waits for a watermark, so open days and events of any lateness count. A batch has
-    a folder of its own, which is overwritten if the batch is run again: a restart neither
-    loses nor repeats a commit. :func:`day_counts` sums the batches.
+
+def _added(held: DataFrame, rows: DataFrame) -> DataFrame:
+    return held.unionByName(rows).groupBy("repo_id", "path", "day").agg(F.sum("commits").alias("commits"))
+
+
+def count_stream(commits: DataFrame, out: str, checkpoint: str, parts: int = 64, **trigger) -> StreamingQuery:
+    """Counts per file and day, kept up to date from a stream of (repo_id, path, ts).
+
+    Nothing waits for a watermark, so open days and events of any lateness count. The counts
+    are a keyed table: a row per file and day however many batches there were, of which a
+    batch rewrites the parts of its files. :func:`day_counts` reads it.
     """
     days = commits.select("repo_id", "path", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("repo_id", "path", "day").agg(F.count("*").alias("commits")) \
-            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counts = stage(batch.groupBy("repo_id", "path", "day").agg(F.count("*").alias("commits")), "days")
+        KeyedTable(batch.sparkSession, out, _DAYS, _KEY, parts).update(counts, batch_id, _added)
 
     return (
         days.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -45,10 +57,36 @@ def count_stream(commits: DataFrame, out: str, checkpoint: str, **trigger) -> St
     )
 
 
-def day_counts(spark: SparkSession, out: str) -> DataFrame:
+def day_counts(spark: SparkSession, out: str, parts: int = 64) -> DataFrame:
     """Commits per file and day over all batches so far."""
-    parts = spark.read.schema("repo_id string, path string, day timestamp, commits bigint").parquet(out)
-    return parts.groupBy("repo_id", "path", "day").agg(F.sum("commits").alias("commits"))
+    return KeyedTable(spark, out, _DAYS, _KEY, parts).read()
+
+
+def sliding_commits(daily: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Commits of the last ``recent_days`` days, that day included, on every day: a row for
+    each span of days, from ``day`` and before ``until``, in which a file's sum is the same.
+    The last span of a file has sum 0 and no end.
+
+    A day's commits come in on that day and go out ``recent_days`` later; both are events of
+    one table, and the running sum over a file's events is the window's sum on every day. A
+    file brings two rows for each of its days, not one for each day of the window.
+    """
+    out = F.col("day") + F.make_dt_interval(F.lit(settings.recent_days))
+    events = daily.select("repo_id", "path", F.explode(F.array(
+        F.struct(F.col("day").alias("day"), F.col("commits").alias("n")),
+        F.struct(out.alias("day"), (-F.col("commits")).alias("n")))).alias("event"))
+    steps = events.groupBy("repo_id", "path", "event.day").agg(F.sum("event.n").alias("n"))
+    file = Window.partitionBy("repo_id", "path").orderBy("day")
+    return steps.select(
+        "repo_id", "path", "day", F.lead("day").over(file).alias("until"),
+        F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("commits_last_90d"))
+
+
+def on_days(spans: DataFrame) -> DataFrame:
+    """A row per file and day of :func:`sliding_commits` with a count above 0."""
+    last = F.col("until") - F.expr("INTERVAL 1 DAY")
+    return spans.filter("until is not null and commits_last_90d > 0").select(
+        "repo_id", "path", F.explode(F.sequence(F.col("day"), last, F.expr("INTERVAL 1 DAY"))).alias("day"), "commits_last_90d")
 
 
 def recent_commits(daily: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:

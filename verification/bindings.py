@@ -197,6 +197,26 @@ SELECT 'h' || CAST(c_custkey AS STRING) AS content_hash,
               ELSE ',"critical_reason":""}' END
   END AS text
 FROM @customer@""",
+    "fx_odd_responses": f"""
+SELECT 'h' || CAST(c_custkey AS STRING) AS content_hash,
+  CASE WHEN c_custkey % 4 = 3 THEN 'An answer:' || {NL} ELSE '' END
+  || '{{"security_impact":' || CAST(c_custkey % 101 AS STRING) || ',"data_impact":1,'
+  || CASE WHEN c_custkey % 4 = 3 THEN ''
+          ELSE '"availability_impact":2,"user_impact":3,"blast_radius_summary":"' END
+  || CASE c_custkey % 4
+       WHEN 0 THEN 'line one' || {NL} || 'line two","critical_reason":"a' || {NL} || {NL} || 'b"}}'
+       WHEN 1 THEN 'open, and cut'
+       WHEN 2 THEN 'say ' || chr(92) || chr(34) || 'yes, no' ELSE '' END AS text
+FROM @customer@""",
+    "fx_odd_files": """
+SELECT 'r' || CAST(p_partkey % 4 AS STRING) AS repo_id, 'pkg/p' || CAST(p_partkey AS STRING) || '/__init__.py' AS path
+FROM @part@""",
+    "fx_odd_refs": """
+SELECT 'r' || CAST(p_partkey % 4 AS STRING) AS repo_id, 'pkg/main.go' AS path,
+  CASE CAST(floor(p_partkey / 4) AS BIGINT) % 4 WHEN 0 THEN './pkg/../pkg/p' WHEN 1 THEN 'pkg//p'
+       WHEN 2 THEN 'pkg/./x/../p' ELSE 'x/../pkg/p' END || CAST(p_partkey AS STRING)
+  || CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '/.' END AS imp
+FROM @part@""",
     "fx_chat_bodies": """
 SELECT content_hash,
   CASE WHEN length(content_hash) % 3 = 0 THEN '{"choices":[]}'

@@ -510,6 +510,22 @@ SELECT repo_id, printf('INC-%d-%03d', year(date), row_number() OVER (PARTITION B
     + (SELECT count(*) FROM fx_incidents e WHERE e.repo_id = n.repo_id)) AS id,
   file, date, severity, description
 FROM ({_INCIDENT_CHECK}) n WHERE date IS NOT NULL AND severity <> 'extreme'""",
+    "incident_log": f"""
+SELECT repo_id, printf('INC-%d-%03d', year(date), n + again * taken) AS id, file, date, severity, description
+FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY
+    date, md5(file || chr(31) || severity || chr(31) || description)) AS n, count(*) OVER (PARTITION BY repo_id) AS taken
+  FROM ({_INCIDENT_CHECK}) WHERE date IS NOT NULL AND severity <> 'extreme'), (VALUES (0), (1)) t(again)""",
+    "incident_files": "SELECT repo_id, file, CAST(date AS TIMESTAMP) AS date, severity FROM fx_incidents",
+    "annotation_files": "SELECT repo_id, path, override_tier, 'team ' || path AS owner FROM fx_annotations",
+    "assessments_of_odd_responses": """
+SELECT 'h' || c_custkey AS content_hash, CAST(c_custkey % 101 AS INTEGER) AS security_impact, 1 AS data_impact,
+  CASE WHEN k = 3 THEN 0 ELSE 2 END AS availability_impact, CASE WHEN k = 3 THEN 0 ELSE 3 END AS user_impact,
+  CASE k WHEN 0 THEN 'line one line two' WHEN 1 THEN 'open, and cut' WHEN 2 THEN 'say "yes, no' ELSE '' END AS blast_radius_summary,
+  CASE k WHEN 0 THEN 'a  b' ELSE '' END AS critical_reason
+FROM (SELECT *, c_custkey % 4 AS k FROM customer)""",
+    "import_edges_cleaned": """
+SELECT repo_id, 'pkg/p' || p_partkey || '/__init__.py' AS path, 'pkg/main.go' AS imported_by, 'exact' AS match
+FROM (SELECT 'r' || p_partkey % 4 AS repo_id, p_partkey FROM part)""",
     "incident_rejects": f"""
 SELECT repo_id, file, severity, description, date_text AS date,
   CASE WHEN date IS NULL THEN 'date must be YYYY-MM-DD'
@@ -731,6 +747,11 @@ FROM events GROUP BY ALL""",
     "churn_90d_stream_all_days": f"""
 SELECT 'r' AS repo_id, event_type AS path, count(*) AS commits_last_90d
 FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '{DOC_AS_OF}' - INTERVAL 90 DAY
+GROUP BY ALL""",
+    "churn_sliding_stream": """
+SELECT repo_id, path, CAST(day AS TIMESTAMP) AS day, CAST(sum(n) AS BIGINT) AS commits_last_90d
+FROM (SELECT repo_id, path, n, unnest(range(first, first + INTERVAL 90 DAY, INTERVAL 1 DAY)) AS day
+      FROM (SELECT 'r' AS repo_id, event_type AS path, date_trunc('day', CAST(ts AS TIMESTAMP)) AS first, count(*) AS n FROM events GROUP BY ALL))
 GROUP BY ALL""",
     "result_metadata": """
 SELECT repo_id, '1.0.0' AS version, repo_path, commit_sha, branch, total_files, go_files

@@ -18,10 +18,11 @@ from riskloom.operators.heat import flatten_heat, nest_heat
 from riskloom.plans.analysis import analyze, score_metrics
 from riskloom.plans.review import score_prs
 
+from riskloom import schemas
 from riskloom.settings import BreakerLimits, Settings, TierThresholds
 from riskloom.sources import readers, writers
 from riskloom.sources.staging import new_path, stage
-from riskloom.streaming.churn import count_stream, daily_churn, day_counts, recent_commits
+from riskloom.streaming.churn import count_stream, daily_churn, day_counts, on_days, recent_commits, sliding_commits
 from riskloom.streaming.review import score_stream, verdicts
 from verification.bindings import AS_OF, DOC_AS_OF, view
 
@@ -234,6 +235,43 @@ def incident_append(spark, d):
     return plain(incidents.number_incidents(good, t.incidents))
 
 
+@query
+def incident_log(spark, d):
+    """New incidents appended to a log, and once more behind them; the log read back by id."""
+    new, log = Inputs(spark, d).new_incidents, new_path(spark, "incident-log")
+    fields = [f for f in schemas.INCIDENTS.fields if f.name in ("repo_id", "id", "file", "date", "severity", "description")]
+    schema = T.StructType(fields)
+    writers.append_incidents(new, log, spark.createDataFrame([], schema), AS_OF)
+    writers.append_incidents(new, log, spark.read.schema(schema).parquet(log), AS_OF)
+    return plain(incidents.listed(spark.read.schema(schema).parquet(log)))
+
+
+def _saved_documents(df: DataFrame, document: Callable[[list[str]], F.Column], name: str) -> str:
+    """Folder of JSON documents below ``repo_id=<id>`` folders, some hundred rows in each."""
+    path = new_path(df.sparkSession, name)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(df.count() // 2000 + 1))
+    columns = [c for c in df.columns if c != "repo_id"]
+    df.groupBy("repo_id", part.alias("part")).agg(document(columns).alias("value")).select("repo_id", "value") \
+        .write.partitionBy("repo_id").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query
+def incident_files(spark, d):
+    """Incident logs saved as JSON arrays, read back."""
+    path = _saved_documents(Inputs(spark, d).incidents, lambda c: F.to_json(F.collect_list(F.struct(*c))), "incident-files")
+    return plain(readers.read_incidents(spark, path).select("repo_id", "file", "date", "severity"))
+
+
+@query
+def annotation_files(spark, d):
+    """Annotations saved as JSON objects keyed by path, read back."""
+    keyed = lambda c: F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        "path", F.struct("override_tier", "owner")))))
+    owned = Inputs(spark, d).annotations.withColumn("owner", F.concat(F.lit("team "), "path"))
+    return readers.read_annotations(spark, _saved_documents(owned, keyed, "annotation-files")).select("repo_id", "path", "override_tier", "owner")
+
+
 @query
 def incident_rejects(spark, d):
     _, bad = incidents.split_incidents(
@@ -250,6 +288,13 @@ def import_edges(spark, d):
     return imports.import_edges(t.file_metrics, t.import_refs)
 
 
+@query
+def import_edges_cleaned(spark, d):
+    """Imports of packages by paths with empty segments, ``.`` and ``..``."""
+    t = Inputs(spark, d)
+    return imports.import_edges(t.odd_files, t.odd_refs).drop("imp")
+
+
 @query
 def fan_in(spark, d):
     t = Inputs(spark, d)
@@ -493,6 +538,12 @@ def assessments(spark, d):
     return Inputs(spark, d).assessments().withColumn("max_impact", responses.max_impact())
 
 
+@query
+def assessments_of_odd_responses(spark, d):
+    """Answers with line breaks inside strings, and answers cut inside a string or behind a comma."""
+    return assess.accepted(assess.parse_responses(Inputs(spark, d).odd_responses))
+
+
 @query
 def assessment_rejects(spark, d):
     return assess.rejected(assess.parse_responses(Inputs(spark, d).responses))
@@ -715,6 +766,12 @@ def assessments_saved(spark, d):
     return readers.read_assessments(spark, path)
 
 
+@query
+def churn_sliding_stream(spark, d):
+    """Commits of the last 90 days on every day, from the stream; the feed brings late days."""
+    return plain(on_days(sliding_commits(_all_days(spark, d))))
+
+
 @query
 def pr_stream(spark, d):
     """Verdicts of diffs that arrive as a stream of numstat lines."""
