@@ -46,17 +46,41 @@ def split_by_cache(
     )
 
 
+_BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+
+
+def maybe_among(files: DataFrame, wanted: DataFrame, count: int, most_bits: int) -> DataFrame:
+    """The rows of ``files`` whose (repo_id, path) may be among the ``count`` wanted ones.
+
+    All wanted files are kept, and about an eighth of the others or fewer, more only where
+    the bitmap would need over ``most_bits`` bits. The bitmap is built by partial aggregates
+    and broadcast, a row for each 32,768 bits; nothing of ``files`` is shuffled."""
+    bits = min(max(8 * count, _BUCKET), most_bits)
+    bits = max(-(-bits // _BUCKET) * _BUCKET, _BUCKET)
+    slot = F.pmod(F.xxhash64("repo_id", "path"), F.lit(bits)) + 1
+    bitmaps = (
+        wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_bit"))
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    )
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = files.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket")
+    return held.filter(F.getbit(byte.cast("bigint"), (bit % 8).cast("int")) == 1).select(*files.columns)
+
+
 def plan_assessments(
     files: DataFrame, cache: DataFrame, settings: Settings = Settings(),
     force: bool = False, hashed: DataFrame | None = None, broadcast_rows: int = 500_000,
+    filter_bits: int = 1 << 27,
 ) -> DataFrame:
     """One prompt per distinct content that the cache does not know.
 
     Only hashes travel through the grouping and the anti join. What the cache misses is
     staged; up to ``broadcast_rows`` rows of it are broadcast to the scan of the contents,
-    which then are not shuffled at all. Beyond that the prompts, cut to
-    ``settings.prompt_lines`` if that is set, are what travels. Give ``hashed`` (repo_id,
-    path, content_hash), as the metrics table has it, to spare a second hashing.
+    which then are not shuffled at all. Beyond that a bitmap of the missed files, of at most
+    ``filter_bits`` bits, is broadcast instead: the scan drops the files that are not in it, and
+    the prompts of the others are shuffled to the exact join. Give ``hashed`` (repo_id, path,
+    content_hash), as the metrics table has it, to spare a second hashing.
     """
     candidates = assessable(files, settings)
     if hashed is None:
@@ -66,8 +90,11 @@ def plan_assessments(
         hashed = hashed.filter(paths.is_assessable(F.col("path")))
     _, misses = split_by_cache(content_groups(hashed), cache, force)
     misses = stage(misses, "misses")
-    if misses.count() <= broadcast_rows:
+    missed = misses.count()
+    if missed <= broadcast_rows:
         misses = F.broadcast(misses)
+    else:
+        candidates = maybe_among(candidates, misses, missed, filter_bits)
     prompt = texts.assessment_prompt(F.col("path"), F.col("content"), settings.prompt_lines)
     prompts = candidates.select("repo_id", "path", prompt.alias("prompt"))
     return prompts.join(misses, ["repo_id", "path"]).select(

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions import responses
+from riskloom.functions import responses, texts
 from riskloom.operators import assessments as ops
 
 CLEAN = ('{"security_impact": 12, "data_impact": 64, "availability_impact": 7, "user_impact": 31,'
@@ -108,3 +108,23 @@ def test_repeated_responses_give_one_assessment(spark):
     rows = [("h", '{"data_impact": 9}', 1), ("h", '{"data_impact": 2}', 3), ("h", '{"data_impact": 7}', 2), ("h", "no", 9)]
     got = ops.accepted(ops.parse_responses(spark.createDataFrame(rows, "content_hash string, text string, batch bigint")))
     assert [(r.content_hash, r.data_impact) for r in got.collect()] == [("h", 2)]
+
+
+def test_bitmap_keeps_the_missed_files_out_of_the_scan_of_all(spark):
+    files = spark.range(20_000).select(
+        F.concat(F.lit("r"), F.col("id") % 3).alias("repo_id"), F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("text "), F.col("id") % 9_000).alias("content"))
+    hashed = files.select("repo_id", "path", texts.content_hash(F.col("content")).alias("content_hash"))
+    known = hashed.filter("crc32(content_hash) % 10 > 0").select("content_hash").distinct()
+    want = {tuple(r) for r in ops.plan_assessments(files, known).collect()}
+    assert 800 < len(want) < 1_000
+    got = ops.plan_assessments(files, known, broadcast_rows=0)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    wanted = got.select("repo_id", "path")
+    kept = ops.maybe_among(files, wanted, len(want), 1 << 20)
+    assert kept.columns == files.columns and kept.join(wanted, ["repo_id", "path"], "left_semi").count() == len(want)
+    assert kept.count() < len(want) + 0.15 * 20_000
+    # Before the exact join the scan's rows only meet the broadcast bitmap.
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    # A bitmap that is much too small lets all through, and the result is the same.
+    assert {tuple(r) for r in ops.plan_assessments(files, known, broadcast_rows=0, filter_bits=1).collect()} == want
