@@ -170,8 +170,9 @@ def records_of(conversations: DataFrame) -> DataFrame:
         F.struct("turn", role.alias("role"), text.alias("text")))).alias("t"))
     roles, said = F.col("t.role"), lambda i: F.get("t", i)["text"]
     named = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
-    is_prompt = F.array_join(roles, "\n") == "user\nassistant"
-    is_instruction = F.array_join(roles, "\n") == "system\nuser\nassistant"
+    # As arrays: a role may be any text, also one with a line break in it.
+    are = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    is_prompt, is_instruction = are("user", "assistant"), are("system", "user", "assistant")
     clash = F.exists("t", lambda x: x["role"].isin("human", "gpt"))
     record = F.when(is_prompt, F.to_json(F.struct(said(0).alias("prompt"), said(1).alias("response")))).when(
         is_instruction, F.to_json(F.struct(said(0).alias("system"), said(1).alias("instruction"), said(2).alias("output")))).when(

@@ -42,6 +42,17 @@ def small_side(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind them where a column is called so in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

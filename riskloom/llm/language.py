@@ -149,7 +149,7 @@ def windows_of(data: bytes) -> np.ndarray:
 def fit(documents: DataFrame, *, folds: int = 4, held_fold: int = 2, per_language: int = 300, windows: int = 16) -> Model:
     """Learns from rows whose crc32(doc_id) mod ``folds`` is not ``held_fold``. The ids of
     the sample come first, without texts; then only the sample's texts."""
-    known = documents.select("doc_id", "lang").dropna().filter(remainder("doc_id", folds) != held_fold).dropDuplicates(["doc_id"])
+    known = documents.select("doc_id", "lang").dropna().filter(remainder("doc_id", folds) != held_fold).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.withColumn("k", F.row_number().over(turn)).filter(F.col("k") <= per_language).collect()
     lang = {r["doc_id"]: r["lang"] for r in ids}

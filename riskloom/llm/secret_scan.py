@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import small_side
+from riskloom.llm.common import small_side, unused
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -130,10 +130,12 @@ def redact(documents: DataFrame, model: list[float], **options) -> DataFrame:
     """Documents with every finding replaced by ``<secret>``; other columns stay, and
     ``n_chars``, if there, is counted again. Findings that overlap are cut as one."""
     found = find_secrets(documents, model, **options)
-    spans = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    spans = small_side(spans.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cuts"), "spans")
+    # Names that no column of the documents has.
+    cuts, cut_id, cut_key, cut_text = unused(documents.columns, "cuts", "cut_id", "cut_key", "cut_text")
+    spans = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    spans = small_side(spans.select(F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), cuts), "spans")
     key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
-    joined = documents.join(spans, documents["doc_id"].eqNullSafe(spans["cut_id"]) & (key == spans["cut_key"]), "left")
+    joined = documents.join(spans, documents["doc_id"].eqNullSafe(spans[cut_id]) & (key == spans[cut_key]), "left")
     # Pieces of the text are collected with the end of the last cut.
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("text")
@@ -141,12 +143,12 @@ def redact(documents: DataFrame, model: list[float], **options) -> DataFrame:
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(
             F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit("<secret>")))).alias("out"))
-    done = F.aggregate("cuts", start, step, lambda a: F.concat(
+    done = F.aggregate(cuts, start, step, lambda a: F.concat(
         F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text))))
-    cut = F.when(F.col("cuts").isNull(), text).otherwise(done)
+    cut = F.when(F.col(cuts).isNull(), text).otherwise(done)
     # In a step of its own: beside the new text, "text" would name that one.
-    done = joined.withColumn("cut_text", cut)
-    new = {"text": F.col("cut_text")} | ({"n_chars": F.length("cut_text").cast("long")} if "n_chars" in documents.columns else {})
+    done = joined.withColumn(cut_text, cut)
+    new = {"text": F.col(cut_text)} | ({"n_chars": F.length(cut_text).cast("long")} if "n_chars" in documents.columns else {})
     return done.select(*[new[c].alias(c) if c in new else documents[c] for c in documents.columns])
 
 

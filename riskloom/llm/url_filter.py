@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import unused
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 RESULTS = ["blocked", "n_entries", "categories"]
@@ -87,7 +89,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fet
     answers = met.groupBy("u", "d").agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    on = (captures[url] == answers["u"]) & (captures[fetched].cast("date") == answers["d"])
-    return captures.join(answers, on, "left").drop("u", "d").withColumns({
+    # Captures may have columns of any name, also of these.
+    u, d = unused(captures.columns, "u", "d")
+    answers = answers.withColumnsRenamed({"u": u, "d": d})
+    on = (captures[url] == answers[u]) & (captures[fetched].cast("date") == answers[d])
+    return captures.join(answers, on, "left").drop(u, d).withColumns({
         "blocked": F.col("n_entries").isNotNull(), "n_entries": F.coalesce("n_entries", F.lit(0)),
         "categories": F.coalesce("categories", F.lit(""))})

@@ -102,3 +102,12 @@ def test_queries_encode_added_tokens(spark, tmp_path, documents):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for pieces in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
         assert [r["doc_tokens"] for r in pieces.collect()] == [4]
+
+
+def test_roles_with_line_breaks_keep_their_turns(spark):
+    """A role that reads like two, and a table without conversations."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user\nassistant", "hello"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "system\nuser", "x"), (3, 1, "assistant", "y")]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_chats(chat.records_of(spark.createDataFrame(rows, schema)))).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+    assert chat.digests(chat.format_chats(chat.records_of(spark.createDataFrame([], schema)))).count() == 0

@@ -72,3 +72,14 @@ def test_redact(documents, model):
         assert not base(r["text"])
     got = {r["doc_id"]: r["text"] for r in rows.collect()}
     assert got[4] == "😀 <secret>' é" and got[8] == "0" * 15 + " <secret> <secret>z" and got[11] == "<secret>"
+
+
+def test_redact_keeps_columns_of_any_name(spark, documents, model):
+    given = [(1, "password = abcdefgh12345678 end"), (2, None)]
+    plain = {r["doc_id"]: r["text"] for r in s.redact(documents(given), model).collect()}
+    odd = documents(given).selectExpr("*", "'c' as cuts", "5 as cut_text", "6 as CUT_ID", "'k' as cut_key", "7 as start")
+    got = s.redact(odd, model)
+    assert got.columns == odd.columns
+    assert {r["doc_id"]: (r["text"], r["cuts"], r["cut_text"], r["CUT_ID"], r["cut_key"], r["start"]) for r in got.collect()} == {
+        i: (t, "c", 5, 6, "k", 7) for i, t in plain.items()}
+    assert s.redact(odd.limit(0), model).count() == 0

@@ -33,3 +33,11 @@ def test_captures_as_of_their_day(spark):
 def test_intervals(spark):
     got = {(r["pattern"], r["category"], r["valid_from"], r["valid_to"]) for r in intervals(spark.createDataFrame(ENTRIES, SCHEMA)).collect()}
     assert ("a.example.com", "spam", date(2021, 3, 1), date(2022, 3, 1)) in got and ("a.example.com", "spam", date(2024, 1, 1), None) in got
+
+
+def test_columns_of_any_name_stay(spark):
+    captures = spark.createDataFrame([(1, "http://q.example.net", date(2021, 5, 5), 7, "eight", "p", "k", 9)],
+                                     "page_id long, url string, fetched_on date, u int, D string, pattern string, kind string, year int")
+    got = url_filter(captures, spark.createDataFrame([*ENTRIES, ("host", "q.example.net", "odd", None, date(2020, 1, 1))], SCHEMA)).collect()
+    assert [(r["u"], r["D"], r["pattern"], r["kind"], r["year"], r["blocked"]) for r in got] == [(7, "eight", "p", "k", 9, True)]
+    assert set(captures.columns) < set(got[0].asDict())
