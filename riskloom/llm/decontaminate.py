@@ -19,8 +19,8 @@ Other columns are not read.
 Scale: documents are read once and stay where they are; a document's words become one array
 of hashes, seeds are generated code over it, and only verified hits are shuffled, combined
 on the map side. The item side is broadcast while it has at most ``broadcast_seeds`` rows
-(counted first; about 250 bytes each); beyond that Spark's shuffled join gives the same rows.
-No Python runs in tasks.
+(counted first; about 250 bytes each); beyond that Spark's shuffled join gives the same rows,
+and every seed of a document travels with at most 18 words around it. No Python runs in tasks.
 """
 
 from __future__ import annotations
@@ -69,18 +69,23 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int
     theirs = seeds(items.select("item_id", word_hashes(F.col("text")).alias("h"))).select(
         "seed", "item_id", F.col("p").alias("item_p"), first.alias("item_first"),
         F.least(F.lit(WINDOW), F.size("h")).alias("w"), F.slice("h", first + 1, count).alias("item_words"))
-    if theirs.count() <= broadcast_seeds:
-        theirs = F.broadcast(theirs)
-    hits = seeds(documents.select("doc_id", word_hashes(F.col("text")).alias("h"))).join(theirs, "seed")
+    ours = seeds(documents.select("doc_id", word_hashes(F.col("text")).alias("h")))
     # Both sides cut to the stretch that they share around the seed.
     first, count = _around(F.col("p"), F.size("h"))
+    if theirs.count() <= broadcast_seeds:
+        hits, words, begin = ours.join(F.broadcast(theirs), "seed"), "h", F.lit(0)
+    else:
+        # A seed that is shuffled takes the words around it along, not its document's.
+        ours = ours.select("seed", "doc_id", "p", first.alias("first"), count.alias("count"), F.slice("h", first + 1, count).alias("words"))
+        hits, words, begin = ours.join(theirs, "seed"), "words", F.col("first")
+        first, count = F.col("first"), F.col("count")
     lead = F.least(F.col("p") - first, F.col("item_p") - F.col("item_first"))
     tail = F.least(first + count - F.col("p"), F.col("item_first") + F.size("item_words") - F.col("item_p"))
     # As a generator: the comparison below, which is not generated code, must not be pushed
     # into the join, or every seed would be written out with all words of its document.
     hits = hits.select(F.inline(F.array(F.struct(
         "doc_id", "item_id", "w", (F.col("p") - F.col("item_p")).alias("diagonal"), (F.col("item_p") - lead).alias("begin"),
-        F.slice("h", F.col("p") - lead + 1, lead + tail).alias("a"),
+        F.slice(words, F.col("p") - begin - lead + 1, lead + tail).alias("a"),
         F.slice("item_words", F.col("item_p") - F.col("item_first") - lead + 1, lead + tail).alias("b")))))
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
     needed = F.col("w") - F.when(F.col("w") == WINDOW, TOLERANCE).otherwise(0)

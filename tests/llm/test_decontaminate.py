@@ -53,3 +53,16 @@ def test_filter_keeps_clean_rows_and_nulls(spark, documents, prose):
     assert kept.columns == docs.columns
     assert d.overlaps(docs, table.limit(0)).count() == 0 and d.overlaps(docs.limit(0), table).count() == 0
     assert d.decontaminate(documents([(None, item)]), table).count() == 0
+
+
+def test_shuffled_seeds_leave_their_documents_behind(spark, documents, prose):
+    """A text of 20,000 words on the shuffled path; no whole document is under an exchange."""
+    item = " ".join(prose(2, 25))
+    table = spark.createDataFrame([(0, item)], "item_id long, text string")
+    long = " ".join(prose(3, 10_000)) + " " + item + " " + " ".join(prose(4, 10_000))
+    docs = documents([(1, long), (2, "clean")])
+    got = d.overlaps(docs, table, broadcast_seeds=0)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in d.overlaps(docs, table).collect()] == [(1, 0, 25, 13)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    output = [line for line in plan.splitlines() if "Exchange hashpartitioning(seed" in line]
+    assert output and "slice(h" in plan
