@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from riskloom import schemas
 from riskloom.functions import paths
-from riskloom.operators.assessments import one_per_hash
 from riskloom.operators.heat import flatten_heat
 from riskloom.operators.pull_requests import parse_numstat
 from riskloom.operators.sources import analysable
 from riskloom.settings import Settings
+from riskloom.sources.keyed import KeyedTable
 
 _FAIL = {"multiLine": True, "mode": "FAILFAST"}
 _BATCH_CHARS = 4_000_000
@@ -168,9 +168,9 @@ def read_heat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assessments(spark: SparkSession, path: str) -> DataFrame:
-    """The appended assessments, the newest of each content."""
-    schema = T.StructType([*schemas.ASSESSMENTS.fields, T.StructField("batch", T.LongType())])
-    return one_per_hash(spark.read.schema(schema).parquet(path))
+    """The table that :func:`riskloom.sources.writers.append_assessments` keeps: the newest
+    assessment of each content."""
+    return KeyedTable(spark, path, schemas.ASSESSMENTS, ("content_hash",)).read()
 
 
 def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.assessments import ASSESSMENT_COLUMNS
+from riskloom import schemas
+from riskloom.operators.assessments import ASSESSMENT_COLUMNS, one_per_hash
 from riskloom.operators.heat import nest_heat
 from riskloom.operators.reports import latest_runs
 from riskloom.operators.incidents import number_incidents, prepare_incidents, split_incidents
+from riskloom.sources.keyed import KeyedTable
 from riskloom.sources.staging import stage
 
 
@@ -84,6 +86,15 @@ def append_incidents(raw: DataFrame, log_path: str, existing: DataFrame, as_of:
     return bad
 
 
-def append_assessments(fresh: DataFrame, path: str, batch: int) -> None:
-    """Append as batch number ``batch``; readers take the highest batch of a content."""
-    fresh.select(*ASSESSMENT_COLUMNS, F.lit(batch).cast("bigint").alias("batch")).write.mode("append").parquet(path)
+def append_assessments(fresh: DataFrame, path: str, batch: int, parts: int = 64) -> None:
+    """Merge the assessments of batch number ``batch``, higher than those before it, into the
+    table at ``path``: a fresh assessment replaces the one of the same content.
+
+    The table is keyed by content hash. A batch rewrites the parts that its contents fall
+    into, and holds one row per content however many batches there were, so readers neither
+    aggregate nor pass over history. ``parts`` stays the same for the life of a table."""
+    def merge(held: DataFrame, rows: DataFrame) -> DataFrame:
+        return held.join(rows.select("content_hash"), "content_hash", "left_anti").unionByName(rows)
+
+    rows = stage(one_per_hash(fresh).select(*ASSESSMENT_COLUMNS), "assessments")
+    KeyedTable(fresh.sparkSession, path, schemas.ASSESSMENTS, ("content_hash",), parts).update(rows, batch, merge)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.operators.history import days_before
 from riskloom.settings import Settings
 from riskloom.sources.staging import stage
-from riskloom.streaming.state import KeyedTable
+from riskloom.sources.keyed import KeyedTable
 
 
 def daily_churn(commits: DataFrame, lateness: str = "1 day") -> DataFrame:

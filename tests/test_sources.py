@@ -136,6 +136,15 @@ def test_ingest(spark, tmp_path):
     again = answers.withColumn("text", F.lit('{"security_impact":8}'))
     writers.append_assessments(ops.accepted(ops.parse_responses(again)), path, batch=2)
     assert {r.content_hash: r.security_impact for r in readers.read_assessments(spark, path).collect()} == {"x": 8, "y": 8, "z": 8}
+    # One row per content and no aggregate over batches; an older batch cannot come later.
+    read = readers.read_assessments(spark, path)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == 3 and "Aggregate" not in plan and "Exchange" not in plan
+    with pytest.raises(ValueError):
+        writers.append_assessments(ops.accepted(done.parsed), path, batch=1)
+    # The same batch again changes nothing.
+    writers.append_assessments(ops.accepted(ops.parse_responses(again)), path, batch=2)
+    assert readers.read_assessments(spark, path).count() == 3
 
 
 def test_heat_document(spark, tmp_path):

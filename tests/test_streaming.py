@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.pull_requests import parse_numstat
-from riskloom.streaming import churn, review, state
+from riskloom.sources import keyed as state
+from riskloom.streaming import churn, review
 
 START = datetime(2024, 1, 1)
 
