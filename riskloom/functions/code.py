@@ -106,6 +106,8 @@ _GO_BRANCH = r"\b(?:if|for|case)\b|\bdefault\s*:|&&|\|\|"
 _GO_NEST = r"\b(if|for)\b|\b(switch)\b(?![^{\n]*\.\(type\))|\b(func)\s*\([^{\n]*\{"
 _GO_HEADER = r"(?dms)\A.*?(?=^(?:func|type|var|const)\b|\z)"
 
+_GO_IMPORT = r'(?s)(?:\A|[;\n])\s*import\b\s*(\([^)]*\)|(?:[\w.]+\s+)?(?:"[^"\n]*"|`[^`]*`))'
+
 
 def go_blanked(content: Column) -> Column:
     return F.regexp_replace(content, _GO_BLANK, " ")
@@ -162,8 +164,10 @@ def go_imports(content: Column) -> Column:
     """Import paths that are relative or a single word."""
     header = F.regexp_extract(content, _GO_HEADER, 0)
     bare = F.regexp_replace(header, r"(?s)/\*.*?\*/|//[^\n]*+", " ")
-    paths = _extract(
-        bare, r'(?dm)^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?"([^"\n]*)"[ \t\r;]*$', 1)
+    # Whole declarations, single or grouped, however they are laid out; then their strings.
+    declared = _extract(bare, _GO_IMPORT, 1)
+    quoted = _extract(F.array_join(declared, "\n"), r'"[^"\n]*"|`[^`]*`', 0)
+    paths = F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
     return F.filter(
         paths,
         lambda p: (p != "") & (F.startswith(p, F.lit(".")) | ~F.contains(p, F.lit("/"))),

@@ -463,6 +463,9 @@ SELECT repo_id, path, language, CAST({_LINES} AS BIGINT) AS lines,
     "repo_totals": "SELECT repo_id, count(*) AS total_files,"
                    " CAST(count(DISTINCT language) AS INTEGER) AS languages"
                    " FROM o_files GROUP BY repo_id",
+    "repo_language_map": """
+SELECT repo_id, string_agg(language || '=' || n, ',' ORDER BY language) AS by_language
+FROM (SELECT repo_id, language, count(*) AS n FROM o_files GROUP BY ALL) GROUP BY repo_id""",
     "test_files": f"SELECT repo_id, path, {_IS_TEST} AS is_test FROM fx_source_files",
     "assessable_files": f"SELECT repo_id, path FROM o_files WHERE NOT {_NOT_ASSESSED}",
     "excluded_files": f"SELECT repo_id, path, {_EXCLUDED} AS excluded FROM fx_source_files",

@@ -98,6 +98,15 @@ def repo_totals(spark, d):
     return df.select("repo_id", "total_files", F.size("languages").alias("languages"))
 
 
+@query
+def repo_language_map(spark, d):
+    """The language counts of every repository, entry by entry."""
+    df = sources.repo_languages(sources.analysable(Inputs(spark, d).source_files))
+    entry = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    entries = F.array_sort(F.map_entries("languages"))
+    return df.select("repo_id", F.array_join(F.transform(entries, entry), ",").alias("by_language"))
+
+
 @query
 def test_files(spark, d):
     return Inputs(spark, d).source_files.select(
