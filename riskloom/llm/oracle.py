@@ -43,20 +43,30 @@ _SEEDS = " UNION ALL ".join(
 _AT = "(SELECT *, unnest(range(1, len(words) - 6)) AS p FROM {of} WHERE len(words) >= 8)"
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+') AS words"
 
+_SHORT = """SELECT {id}, words, w, k, p, array_to_string([words[p + i] FOR i IN range(w) IF i % 3 <> k], ' ') AS seed
+  FROM (SELECT *, unnest(CASE WHEN w < 8 THEN [3] ELSE [0, 1, 2] END) AS k FROM ({of}))"""
+
 DECONTAMINATION = rf"""
 WITH docs AS MATERIALIZED (SELECT doc_id, {_WORDS} FROM documents),
-items AS MATERIALIZED (SELECT min(item_id) AS item_id, {_WORDS} FROM benchmark GROUP BY text),
+items AS MATERIALIZED (SELECT min(item_id) AS item_id, count(*) AS n_items, {_WORDS} FROM benchmark GROUP BY text),
+long AS (SELECT * FROM items WHERE len(words) >= 13),
+short AS (SELECT *, len(words) AS w, 1 AS p FROM items WHERE len(words) BETWEEN 1 AND 12),
 doc_seeds AS ({_SEEDS.format(id='doc_id', of=_AT.format(of='docs'))}),
-item_seeds AS ({_SEEDS.format(id='item_id', of=_AT.format(of='items'))}),
-lines AS (SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS diagonal, d.words AS dw, i.words AS iw
-  FROM doc_seeds d JOIN item_seeds i ON d.mask = i.mask AND d.seed = i.seed),
-starts AS (SELECT doc_id, item_id, diagonal, least(13, len(iw)) AS w, dw, iw, unnest(range(1, len(iw) - least(13, len(iw)) + 2)) AS s FROM lines),
-scored AS (SELECT doc_id, item_id, diagonal, w, s,
+item_seeds AS ({_SEEDS.format(id='item_id, n_items', of=_AT.format(of='long'))}),
+doc_short AS ({_SHORT.format(id='doc_id', of="""SELECT doc_id, words, w, unnest(range(1, len(words) - w + 2)) AS p
+    FROM docs JOIN (SELECT DISTINCT w FROM short) ON len(words) >= w""")}),
+item_short AS ({_SHORT.format(id='item_id, n_items', of='SELECT * FROM short')}),
+lines AS (SELECT DISTINCT d.doc_id, i.item_id, i.n_items, d.p - i.p AS diagonal, d.words AS dw, i.words AS iw
+    FROM doc_seeds d JOIN item_seeds i ON d.mask = i.mask AND d.seed = i.seed
+  UNION SELECT DISTINCT d.doc_id, i.item_id, i.n_items, d.p - i.p, d.words, i.words
+    FROM doc_short d JOIN item_short i ON d.w = i.w AND d.k = i.k AND d.seed = i.seed),
+starts AS (SELECT doc_id, item_id, n_items, diagonal, least(13, len(iw)) AS w, dw, iw, unnest(range(1, len(iw) - least(13, len(iw)) + 2)) AS s FROM lines),
+scored AS (SELECT doc_id, item_id, n_items, diagonal, w, s,
   list_sum([CASE WHEN dw[s + j + diagonal] = iw[s + j] THEN 1 ELSE 0 END FOR j IN range(w)]) AS matches
   FROM starts WHERE s + diagonal >= 1 AND s + diagonal + w - 1 <= len(dw)),
-found AS (SELECT doc_id, item_id, diagonal, max(s + w) - min(s) AS tokens, max(matches) AS matches FROM scored
-  WHERE matches >= w - CASE WHEN w = 13 THEN 2 ELSE 0 END GROUP BY ALL)
-SELECT doc_id, item_id, CAST(max(tokens) AS BIGINT) AS overlap_tokens, CAST(max(matches) AS BIGINT) AS matches
+found AS (SELECT doc_id, item_id, diagonal, max(n_items) AS n_items, max(s + w) - min(s) AS tokens, max(matches) AS matches FROM scored
+  WHERE matches >= w - CASE WHEN w = 13 THEN 2 WHEN w >= 8 THEN 1 ELSE 0 END GROUP BY doc_id, item_id, diagonal)
+SELECT doc_id, item_id, max(n_items) AS n_items, CAST(max(tokens) AS BIGINT) AS overlap_tokens, CAST(max(matches) AS BIGINT) AS matches
 FROM found GROUP BY doc_id, item_id
 """
 
