@@ -31,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from riskloom.llm.common import written
 
 LENGTH = 2048
 END = 1
+# Bytes of text or ids that a task works on and hands on at a time, one row at least.
+SLICE = 1 << 20
 # The pattern that splits text before merging; fixed by the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -80,13 +83,21 @@ def encoder(path: str, encode_special_tokens: bool = True) -> Callable[[str], li
     return ids
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, about SLICE bytes of the column at a time."""
+    turn = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+    cuts = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]][: len(turn)])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(turn)]):
+        yield batch.slice(a, b - a)
+
+
 def tokenized(documents: DataFrame, tokenizer: str, *, end_id: int = END, encode_special_tokens: bool = True) -> DataFrame:
     """doc_id, part, before (tokens before it in its partition), n and ids (little-endian
     unsigned 32-bit), written to the shared folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer, encode_special_tokens), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (s for whole in batches for s in _slices(whole, "text")):
             ids, starts, counts = [], [], []
             for text in batch["text"]:
                 one = enc(text.as_py() or "")
@@ -121,7 +132,7 @@ def pack(documents: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id:
     first = offsets(tokens)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for whole in batches for s in _slices(whole, "ids")):
             part = batch["part"].to_numpy(zero_copy_only=False)
             at = batch["before"].to_numpy() + np.fromiter((first[p] for p in part), np.int64, len(part))
             n = batch["n"].to_numpy()

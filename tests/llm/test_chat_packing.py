@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -111,3 +112,12 @@ def test_roles_with_line_breaks_keep_their_turns(spark):
     got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_chats(chat.records_of(spark.createDataFrame(rows, schema)))).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
     assert chat.digests(chat.format_chats(chat.records_of(spark.createDataFrame([], schema)))).count() == 0
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["", None, "a" * 700_000, "b" * 700_000, None, "c" * 5_000_000, "", *["d" * 1000] * 3000]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": list(range(len(texts)))})
+    slices = list(packing._slices(batch, "text"))
+    assert [x for s in slices for x in s["n"].to_pylist()] == list(range(len(texts))) and all(s.num_rows for s in slices)
+    assert max(sum(len(x or "") for x in s["text"].to_pylist()[1:]) for s in slices) <= packing.SLICE
+    assert not list(packing._slices(batch.slice(0, 0), "text"))
