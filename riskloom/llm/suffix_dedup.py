@@ -192,6 +192,9 @@ def marked(around: np.ndarray, rank: np.ndarray, far: np.ndarray, near: np.ndarr
         suffixes, common = _suffix_order(view[row, REACH - o])
         hit = longest_previous(rank[row[suffixes]], common, LENGTH) >= LENGTH
         np.bitwise_or.at(out, row[suffixes[hit]], (np.uint32(1) << o[suffixes[hit]].astype(np.uint32)))
+    # The same surroundings again in the first document: marked like the first ones.
+    again = ~head & same & (rank[first] == rank[order])
+    out[order[again]] = out[first[again]]
     return out
 
 

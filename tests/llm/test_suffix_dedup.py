@@ -69,6 +69,34 @@ def test_null_ids_come_first(documents, prose):
     assert got == [(False, 0), (True, len(t))]
 
 
+def test_passage_repeated_inside_a_document(documents, prose):
+    """Both copies of a passage go where an earlier document has a part of it."""
+    passage = " ".join(prose(7, 60))
+    docs = [(1, "x" + passage[40:140] + "y"), (2, f"{passage} and {passage} or {passage}"), (3, passage[100:200] * 3)]
+    for hot in (1 << 17, 1):
+        assert sorted(tuple(r) for r in s.deduplicate(documents(docs), hot=hot).collect()) == brute(docs)
+
+
+def test_marks_of_random_strings():
+    for seed in range(200):
+        rng = random.Random(seed)
+        letters = rng.choice([b"a", b"ab", b"abcdefgh\0", bytes(range(256))])
+        pool = [bytes(rng.choice(letters) for _ in range(rng.randrange(20, 160))) for _ in range(4)]
+        docs = [b"".join(rng.choice(pool)[rng.choice([0, 0, rng.randrange(15)]):] for _ in range(rng.randrange(1, 6))) for _ in range(6)]
+        first, rows = {}, []
+        for i, t in enumerate(docs):
+            for q in range(len(t) - s.LENGTH + 1):
+                first.setdefault(t[q:q + s.LENGTH], i)
+            every = [g.astype(np.uint32) for _, _, g, _, _ in s.anchors([t])]
+            for _, place, far, near, around in s._surroundings([t], [np.concatenate([*every, np.zeros(0, np.uint32)])]):
+                rows.append((np.full(len(place), i), place, far.astype(np.int64), near.astype(np.int64), around))
+        if rows:
+            rank, place, far, near, around = (np.concatenate(x) for x in zip(*rows))
+            bits = s.marked(around, rank, far, near)
+            got = {(int(r), int(p) - o) for r, p, b in zip(rank, place, bits) for o in range(s.REACH + 1) if b >> np.uint32(o) & 1}
+            assert got == {(i, q) for i, t in enumerate(docs) for q in range(len(t) - s.LENGTH + 1) if first[t[q:q + s.LENGTH]] < i}
+
+
 def test_factor_array():
     rng = np.random.default_rng(1)
     for _ in range(200):
