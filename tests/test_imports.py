@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import imports, ordering
 from riskloom.operators.skew import spread_join, top_k
 from riskloom.operators.dependencies import dependency_heat
+from verification import queries
 
 FILES = "repo_id string, path string"
 REFS = "repo_id string, path string, imp string"
@@ -162,3 +163,39 @@ def test_top_k_of_many_hot_groups(spark):
     for k in (1, 7, 2000):
         got = sorted((r.g, r.i, r["rank"]) for r in top_k(df, ["g"], ["i"], k, spread_on=["i"], fan_out=3).collect())
         assert got == [(g, i, i + 1) for g in range(40) for i in range(min(k, 300))]
+
+
+def test_range_pieces_grow_with_the_levels_only(spark):
+    """The bounds of a level are not written out of those of all levels below it."""
+    def size(row):
+        places = spark.createDataFrame([(row + i, i) for i in range(3)], "at long, number long")
+        ranges = spark.createDataFrame([("a", 0, 2)], "k string, lo long, hi long")
+        plan = ordering.two_least_in_ranges(places, ranges, ["k"])._jdf.queryExecution().analyzed()
+        return max(len(line) for line in plan.toString().split("\n"))
+
+    assert size(1 << 30) < 3 * size(1 << 12)
+
+
+def test_a_result_resolves_its_imports_once(spark, monkeypatch):
+    """Heat, counts and edges of one result start from one table of resolved imports."""
+    tables = {
+        "fx_file_metrics": ([("r", p, "Go", 10, 99, "h", 1, 1, 3, 4) for p in ("src/a.go", "src/b.go")],
+                            "repo_id string, path string, language string, lines long, bytes long, content_hash string, "
+                            "function_count long, exported_symbols long, cyclomatic long, cognitive long"),
+        "fx_import_refs": ([("r", "src/a.go", "src/b"), ("r", "src/b.go", "a")], REFS),
+        "fx_commit_files": ([("r", "s", "src/a.go", "u", None, "m")], "repo_id string, sha string, path string, author string, ts timestamp, message string"),
+        "fx_incidents": ([("r", "src/a.go", None, "low")], "repo_id string, file string, date timestamp, severity string"),
+        "fx_runs": ([("r", "/r", None, "c", "main")], "repo_id string, repo_path string, analyzed_at timestamp, commit_sha string, branch string"),
+    }
+    calls, resolved = [], imports.resolved_imports
+    monkeypatch.setattr(queries.Inputs, "bind", staticmethod(lambda spark, d, name: spark.createDataFrame(*tables[name])))
+    monkeypatch.setattr(imports, "resolved_imports", lambda *a: calls.append(a) or resolved(*a))
+    edges = queries.result_dependencies(spark, "")
+    assert sorted((e.path, e.imported_by, e.match) for e in edges.collect()) == [
+        ("src/a.go", "src/b.go", "loose"), ("src/b.go", "src/a.go", "exact"), ("src/b.go", "src/a.go", "loose")]
+    assert len(calls) == 1
+    calls.clear()
+    assert queries.dependency_heat(spark, "").count() == 3 and len(calls) == 1
+    calls.clear()
+    queries.tree_search(spark, "").collect()
+    assert len(calls) == 1
