@@ -6,9 +6,11 @@ The same text runs in Spark SQL and in DuckDB: ``@name@`` stands for a given tab
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.sources.staging import stage
 
@@ -260,9 +262,118 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
     return view_name
 
 
+# Rows of a table for which one more task is asked for, whatever the session's setting.
+_TASK_ROWS = 500_000
+
+Table = Callable[[str], DataFrame]
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // _TASK_ROWS + 1)
+
+
+def _repo(key: Column) -> Column:
+    return F.concat(F.lit("r"), (key % 4).cast("string"))
+
+
+def _named(df: DataFrame, keep: list[str], **keys: str) -> DataFrame:
+    """``keep`` and the stem and extension (``<name>_stem``, ``<name>_ext``) that the view of
+    the parts gives each key; those are functions of the key, so that no name is shuffled."""
+    view_text = VIEWS["fx_part_path"].partition("FROM")[0].partition("p_size,")[2]
+    stem, ext = re.split(r" AS stem,", view_text)
+    ext = ext.rpartition(" AS ext")[0]
+    at = lambda text, key: F.expr(text.replace("p_partkey", key))
+    return df.select(*keep, *[c for name, key in keys.items() for c in (
+        at(stem, key).alias(f"{name}_stem"), at(ext, key).alias(f"{name}_ext"))])
+
+
+def _commit_files(table: Table) -> DataFrame:
+    """Lines meet parts and orders as numbers, in that order, and are grouped where they met
+    the orders; of the messages of a commit, which differ in kind only, the least kind is kept."""
+    kind = F.when(F.col("l_linenumber") == 1, 2).when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    lines = table("lineitem").select("l_orderkey", "l_partkey", kind.alias("kind"))
+    orders = table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    parts = table("part").select(F.col("p_partkey").alias("l_partkey"))
+    keys = ["l_orderkey", "l_partkey", "o_custkey", "o_orderdate"]
+    n = _tasks(table("lineitem"))
+    met = lines.join(parts, "l_partkey", "left_semi").repartition(n, "l_orderkey").join(orders.repartition(n, "l_orderkey"), "l_orderkey")
+    order = F.col("l_orderkey").cast("string")
+    message = F.when(F.col("kind") == 2, F.concat(F.lit("Merge pull request #"), order, F.lit(" from x"))) \
+        .when(F.col("kind") == 1, F.concat(F.lit("Fix defect (#"), order, F.lit(")"))).otherwise("Add feature")
+    return _named(met.groupBy(*keys).agg(F.min("kind").alias("kind")), [*keys, "kind"], f="l_partkey").select(
+        _repo(F.col("l_orderkey")).alias("repo_id"), F.concat(F.lit("sha"), order).alias("sha"),
+        F.concat("f_stem", "f_ext").alias("path"),
+        F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("author"),
+        F.col("o_orderdate").alias("ts"), message.alias("message"))
+
+
+def _pr_files(table: Table) -> DataFrame:
+    """Lines are grouped by the numbers of order and part, where they met the parts."""
+    lines = table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber")
+    parts = table("part").select(F.col("p_partkey").alias("l_partkey"))
+    n = _tasks(table("lineitem"))
+    files = lines.repartition(n, "l_partkey").join(parts.repartition(n, "l_partkey"), "l_partkey").groupBy("l_orderkey", "l_partkey").agg(
+        (F.sum("l_quantity") * 3).cast("bigint").alias("lines_added"), (F.sum("l_linenumber") * 5).cast("bigint").alias("lines_deleted"))
+    return _named(files, ["l_orderkey", "lines_added", "lines_deleted"], f="l_partkey").select(
+        _repo(F.col("l_orderkey")).alias("repo_id"), F.col("l_orderkey").alias("pr_number"),
+        F.concat("f_stem", "f_ext").alias("path"), "lines_added", "lines_deleted")
+
+
+def _file_metrics(table: Table) -> DataFrame:
+    """The distinct pairs of repository and part are found before the parts are joined."""
+    pairs = table("lineitem").select((F.col("l_orderkey") % 4).alias("repo"), "l_partkey").distinct()
+    size = F.col("p_size")
+    parts = table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size").distinct()
+    files = _named(pairs.join(parts, "l_partkey"), ["repo", "l_partkey", "p_size"], f="l_partkey")
+    languages = {".go": "Go", "_test.go": "Go", ".py": "Python", ".ts": "TypeScript", ".rs": "Rust"}
+    language = F.lit("Java")
+    for ext, name in languages.items():
+        language = F.when(F.col("f_ext") == ext, name).otherwise(language)
+    return files.select(
+        F.concat(F.lit("r"), F.col("repo").cast("string")).alias("repo_id"), F.concat("f_stem", "f_ext").alias("path"),
+        language.alias("language"), (size * 10).cast("bigint").alias("lines"), (size * 320).cast("bigint").alias("bytes"),
+        F.concat(F.lit("h"), F.col("l_partkey").cast("string")).alias("content_hash"),
+        (size % 11).cast("bigint").alias("function_count"), (size % 7).cast("bigint").alias("exported_symbols"),
+        size.cast("bigint").alias("cyclomatic"), ((size * 7) % 41).cast("bigint").alias("cognitive"))
+
+
+def _import_refs(table: Table) -> DataFrame:
+    """Importing and imported part travel as numbers; lines are made different where those of
+    one importing part met."""
+    lines = table("lineitem").select(
+        (F.col("l_orderkey") % 4).alias("repo"), "l_partkey", "l_suppkey",
+        (1 + F.col("l_orderkey") % 9).cast("int").alias("start"), (F.col("l_linenumber") % 3 == 0).alias("whole"))
+    part = lambda key: table("part").select(F.col("p_partkey").alias(key)).distinct()
+    n = _tasks(table("lineitem"))
+    met = lines.join(part("l_suppkey"), "l_suppkey", "left_semi").repartition(n, "l_partkey") \
+        .join(part("l_partkey").repartition(n, "l_partkey"), "l_partkey", "left_semi")
+    named = _named(met, ["repo", "l_partkey", "start", "whole"], b="l_suppkey")
+    imp = F.when(F.col("whole"), F.col("b_stem")).otherwise(F.substring(
+        F.concat("b_stem", "b_ext"), F.col("start"), (1 + F.col("l_partkey") % 40).cast("int")))
+    refs = named.select("repo", "l_partkey", imp.alias("imp")).distinct()
+    return _named(refs, ["repo", "imp"], a="l_partkey").select(
+        F.concat(F.lit("r"), F.col("repo").cast("string")).alias("repo_id"), F.concat("a_stem", "a_ext").alias("path"), "imp")
+
+
+# Views whose text, taken in its order, shuffles names and groups by them: the same rows, made
+# from keys. Names come last.
+BUILT: dict[str, Callable[[Table], DataFrame]] = {
+    "fx_commit_files": _commit_files, "fx_pr_files": _pr_files,
+    "fx_file_metrics": _file_metrics, "fx_import_refs": _import_refs,
+}
+
+
 @lru_cache(maxsize=None)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the tables of a folder."""
+    if name in BUILT:
+        return BUILT[name](lambda t: spark.table(_table(spark, sf_dir, t)))
+    return written_view(spark, sf_dir, name)
+
+
+@lru_cache(maxsize=None)
+def written_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same by the view's text."""
     text = with_views([name], f"SELECT * FROM {name}")
     return spark.sql(re.sub(r"@(\w+)@", lambda m: _table(spark, sf_dir, m[1]), text))
 
