@@ -6,8 +6,9 @@ names built from it, and loosely, to the first other path that contains it.
 Loose matching pairs nothing. The paths are numbered in name order, and the suffixes of all
 paths of a repository are put in order; an import's matches are then the suffixes that begin
 with it, which lie side by side. Two marks of every import, sorted in with the suffixes, give
-its range, and minima over blocks of the order give the least two path numbers of the range,
-however many suffixes it holds.
+its range. A task answers the ranges that lie in its piece of the order, from minima over spans of
+1, 2, 4 and so on suffixes, however many suffixes a range holds; the few ranges that reach over
+pieces are put together from their ends and the minima of the pieces between.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import in_order, two_least_in_ranges
+from riskloom.operators.ordering import in_order, two_least_between_marks
 from riskloom.operators.skew import spread_join
 from riskloom.sources.staging import stage
 
@@ -72,7 +73,9 @@ def cleaned(path: Column) -> Column:
 def package_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     """The package file that an import stands for once its path is cleaned, where cleaning
     changes it: one row per (repo_id, imp)."""
-    odd = imports.select(*_IMPORT, cleaned(F.col("imp")).alias("clean"))
+    # Only an empty segment, ``.`` or ``..`` is cleaned away.
+    unclean = F.rlike("imp", F.lit(r"(?:\A|/)\.{0,2}(?:/|\z)"))
+    odd = imports.filter(unclean).select(*_IMPORT, cleaned(F.col("imp")).alias("clean"))
     clean = F.col("clean")
     # Elsewhere the cleaned name is that of the last ending.
     odd = odd.filter((clean != F.col("imp")) | clean.isin(".", "/"))
@@ -89,21 +92,20 @@ def loose_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     kept beyond the length of the longest import.
     """
     numbered = in_order(files.distinct(), ["repo_id", "path"], "no", "paths")
-    longest = imports.agg(F.max(F.length("imp"))).first()[0] or 0
+    imports = imports.select(*_IMPORT).filter("repo_id is not null and imp is not null")
+    asked = imports.agg(F.max(F.length("imp")), F.count("*")).first()
+    longest = asked[0] or 0
     key = lambda text: F.encode(text, "UTF-8")
-    none = F.lit(None)
     suffixes = numbered.filter("path <> ''").select(
         "repo_id", "path", F.explode(F.sequence(F.lit(1), F.length("path"))).alias("start"), "no",
-    ).select("repo_id", key(F.substring("path", F.col("start"), F.lit(longest))).alias("key"), F.lit(1).alias("kind"), "no",
-             none.cast("string").alias("imp"))
+    ).select("repo_id", key(F.substring("path", F.col("start"), F.lit(longest))).alias("key"), F.lit(1).alias("kind"), "no")
     # No text has the byte 255, so the second mark stands behind all that begins with the import.
     marks = imports.select("repo_id", "imp", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind")).select(
         "repo_id", F.when(F.col("kind") == 0, key(F.col("imp"))).otherwise(F.concat(key(F.col("imp")), F.lit(b"\xff"))).alias("key"),
-        "kind", none.cast("bigint").alias("no"), "imp")
-    order = in_order(suffixes.unionByName(marks), ["repo_id", "key", "kind", "no"], "at", "suffixes", ["repo_id", "imp", "no"])
-    ranges = order.filter("imp is not null").groupBy(*_IMPORT).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    least = two_least_in_ranges(order.select("at", F.col("no").alias("number")), ranges, _IMPORT)
-    least = least.select(*_IMPORT, F.get("least", F.lit(0)).alias("first"), F.get("least", F.lit(1)).alias("second"))
+        "kind", F.lit(None).cast("bigint").alias("no"))
+    rows = 2 * asked[1] + (numbered.agg(F.sum(F.length("path"))).first()[0] or 0)
+    least = two_least_between_marks(suffixes.unionByName(marks), ["repo_id", "key"], "kind", "no", rows).select(
+        "repo_id", F.decode("key", "UTF-8").alias("imp"), F.get("least", F.lit(0)).alias("first"), F.get("least", F.lit(1)).alias("second"))
     path = lambda no, name: numbered.select(F.col("no").alias(no), F.col("path").alias(name))
     return (
         least.join(path("first", "loose_path"), "first").join(path("second", "loose_next"), "second", "left")

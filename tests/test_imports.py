@@ -71,6 +71,22 @@ def test_ranges_of_an_order(spark):
     assert got == {k: sorted(set(number[a:b]))[:2] for k, (a, b) in enumerate(asked) if a < b}
 
 
+def test_ranges_between_marks(spark):
+    """Nested, empty and repeated ranges, most of them over several pieces, against all rows."""
+    rng = random.Random(4)
+    texts = {(g, "".join(rng.choices("ab", k=rng.randrange(0, 7)))) for g in ("x", "y") for _ in range(60)}
+    rows = [(rng.choice("xy"), "".join(rng.choices("abc", k=8)), rng.randrange(300)) for _ in range(1500)]
+    data = [(g, t.encode(), 1, n) for g, t, n in rows]
+    data += [(g, t.encode() + end, kind, None) for g, t in texts for kind, end in ((0, b""), (2, b"\xff"))]
+    df = spark.createDataFrame(data, "g string, k binary, kind int, no long").repartition(3)
+    want = {(g, t): sorted({n for h, u, n in rows if h == g and u.startswith(t)})[:2] for g, t in texts}
+    want = {k: v for k, v in want.items() if v}
+    for pieces in (1, 7):
+        got = ordering.two_least_between_marks(df, ["g", "k"], "kind", "no", (pieces - 1) * ordering._PIECE_ROWS).collect()
+        assert len(got) == len(want)
+        assert {(r["g"], bytes(r["k"]).decode()): r["least"] for r in got} == want
+
+
 def test_places_of_hot_groups(spark):
     rows = [(g if i % 3 else "hot", i % 4, i) for i in range(2000) for g in ("a", "b", None)]
     df = spark.createDataFrame(rows, "g string, s int, i int")
