@@ -62,10 +62,12 @@ def candidates(text: Column) -> list[Column]:
 
 
 def assessment_fields(text: Column) -> Column:
-    """The fields of the first valid candidate, or null when the response is rejected."""
-    tried = F.filter(F.transform(F.array(*candidates(text)), _fields), _well_typed)
+    """The fields of the first valid candidate, or null when the response is rejected.
+
+    A candidate is parsed only where those before it are not valid."""
+    tried = [F.get(F.filter(F.array(_fields(c)), _well_typed), F.lit(0)) for c in candidates(text)]
     nothing = F.array().cast(_ENTRIES)
-    return F.when(strip(text) == "null", nothing).otherwise(F.get(tried, F.lit(0)))
+    return F.when(strip(text) == "null", nothing).otherwise(F.coalesce(*tried))
 
 
 def clamp(value: Column) -> Column:

@@ -107,7 +107,12 @@ def unwrap_chat(raw: DataFrame) -> DataFrame:
 
 
 def parse_responses(answers: DataFrame) -> DataFrame:
-    """Responses with their assessment columns and whether they could be read."""
+    """Responses with their assessment columns and whether they could be read.
+
+    Parsing takes far longer than reading, so the rows are dealt out first: a table of short
+    responses may be a single piece of a file."""
+    parts = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = answers.repartition(parts, "content_hash", "text")
     # Fields and struct are columns of their own, so that what follows shares one parse.
     read = answers.withColumn("fields", responses.assessment_fields(F.col("text")))
     kept = [c for c in answers.columns if c == "batch"]
@@ -120,20 +125,23 @@ def parse_responses(answers: DataFrame) -> DataFrame:
     )
 
 
-def one_per_hash(assessments: DataFrame) -> DataFrame:
+def one_per_hash(assessments: DataFrame, only: Column | None = None) -> DataFrame:
     """One row per content hash: of repeated ones that of the highest ``batch`` (no batch is
-    the oldest), then the one with the highest values, so that runs agree."""
+    the oldest), then the one with the highest values, so that runs agree. Rows that are not
+    ``only`` do not count; they are left out by the grouping, as a filter on a parsed column
+    would be moved before the rows are dealt out, and parse them a second time."""
     if "batch" not in assessments.columns:
         assessments = assessments.withColumn("batch", F.lit(0).cast("bigint"))
     values = [c for c in ASSESSMENT_COLUMNS if c != "content_hash"]
-    newest = F.max(F.struct(F.coalesce("batch", F.lit(-1)).alias("batch"), *values))
-    return assessments.groupBy("content_hash").agg(newest.alias("a")).select(
+    row = F.struct(F.coalesce("batch", F.lit(-1)).alias("batch"), *values)
+    newest = F.max(row if only is None else F.when(only, row))
+    return assessments.groupBy("content_hash").agg(newest.alias("a")).filter("a is not null").select(
         "content_hash", *[F.col(f"a.{c}") for c in values])
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
     """Readable responses, one for each content: the newest if answers carry a ``batch``."""
-    return one_per_hash(parsed.filter("accepted"))
+    return one_per_hash(parsed, F.col("accepted"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
