@@ -17,8 +17,8 @@ from riskloom.sources.staging import stage
 
 @dataclass(frozen=True)
 class Analysis:
-    """Result tables of one run. Metrics and resolved imports are written while the plan is
-    built; heat, edges and changes are lazy and start from them."""
+    """Result tables of one run. Metrics, resolved imports and commit rollups are written while
+    the plan is built; heat, edges and changes are lazy and start from them."""
 
     metrics: DataFrame
     heat: DataFrame
@@ -31,10 +31,11 @@ def score_metrics(
     settings: Settings = Settings(), resolved: DataFrame | None = None, **extra: DataFrame | None,
 ) -> DataFrame:
     """Scored table from a metrics table and import references; ``resolved`` are those
-    imports where they have been resolved already."""
+    imports where they have been resolved already. The commits, the most rows, are rolled up
+    and written first, so that what they shuffle is gone when the rest is joined."""
     return score_files(
         metrics,
-        hist.file_history(commits, as_of, settings),
+        stage(hist.file_history(commits, as_of, settings), "history"),
         incident_rollup(incidents, as_of, settings).drop("any_recent", "severity_points"),
         imports.centrality(imports.fan_in(metrics, refs, resolved)),
         settings=settings,

@@ -11,7 +11,11 @@ from riskloom.operators.heat import nest_heat
 from riskloom.operators.reports import latest_runs
 from riskloom.operators.incidents import number_incidents, prepare_incidents, split_incidents
 from riskloom.sources.keyed import KeyedTable
-from riskloom.sources.staging import stage
+from riskloom.sources.staging import shuffles_removed, stage
+
+# JSON lines repeat every field name. A compressed file is read by one task, so a file ends
+# after so many rows.
+_PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 100_000}
 
 
 def write_heat(heat: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,8 +43,8 @@ def write_result(
     edges: DataFrame | None = None, incidents: DataFrame | None = None,
     annotations: DataFrame | None = None, version: str = "1.0.0", mode: str = "overwrite",
 ) -> None:
-    """Save a whole result as JSON lines: a folder each for the run of every repository
-    (``metadata``), its ``files``, ``incidents``, ``annotations`` and ``dependencies``.
+    """Save a whole result as compressed JSON lines: a folder each for the run of every
+    repository (``metadata``), its ``files``, ``incidents``, ``annotations`` and ``dependencies``.
 
     All are keyed by repository (files and dependencies by path too). One object for each
     repository, as a single-repository tool writes it, would gather all files of a
@@ -58,9 +62,10 @@ def write_result(
              "annotations": annotations,
              "dependencies": None if edges is None else edges.select(
                  "repo_id", "path", "imported_by", "match")}
-    for name, part in parts.items():
-        if part is not None:
-            part.write.mode(mode).json(f"{path}/{name}")
+    with shuffles_removed(heat.sparkSession):
+        for name, part in parts.items():
+            if part is not None:
+                part.write.mode(mode).options(**_PACKED).json(f"{path}/{name}")
 
 
 def heat_json(heat: DataFrame, changes: DataFrame | None = None) -> DataFrame:

@@ -184,3 +184,33 @@ def test_staging(spark):
     assert staged.count() == 5
     assert len(set(os.listdir(shared_dir(spark))) - before) == 1
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark))
+
+
+def test_staging_keeps_no_shuffle_files(spark):
+    """What a written table shuffled is gone when it is written, and the setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before = shuffled()
+    rows = stage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")), "grouped")
+    assert not shuffled() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert sorted(map(tuple, rows.collect())) == [(k, 100) for k in range(10)]
+
+
+def test_a_saved_result_is_compressed(spark, tmp_path):
+    """A part of a result takes a fraction of its JSON lines, in files of bounded rows, and
+    reads back whole."""
+    path = str(tmp_path / "result")
+    heat = spark.createDataFrame([], schemas.HEAT)
+    runs = spark.createDataFrame([("r", "/r", None, "c", "main")], "repo_id string, repo_path string, analyzed_at timestamp, commit_sha string, branch string")
+    edges = spark.range(0, 250_000, 1, 1).select(
+        F.lit("r").alias("repo_id"), F.concat(F.lit("src/p"), "id").alias("path"), F.lit("src/a.go").alias("imported_by"), F.lit("exact").alias("match"))
+    writers.write_result(path, heat, runs, edges=edges)
+    parts = [p for p in (tmp_path / "result" / "dependencies").iterdir() if p.name.startswith("part-")]
+    size = edges.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert len(parts) == 3 and sum(p.stat().st_size for p in parts) < size / 5
+    back = readers.read_result(spark, path)
+    assert back["dependencies"].exceptAll(edges).isEmpty() and back["dependencies"].count() == 250_000
+    assert [r.repo_id for r in back["metadata"].collect()] == ["r"] and back["files"].isEmpty()
