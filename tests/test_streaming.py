@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from riskloom.operators.pull_requests import parse_numstat
 from riskloom.sources import keyed as state
 from riskloom.streaming import churn, review
+from verification import queries
 
 START = datetime(2024, 1, 1)
 
@@ -104,3 +105,38 @@ def test_sliding_counts(spark):
         for day in range(d, d + 90):
             want[r, p, day] = want.get((r, p, day), 0) + n
     assert got == want
+
+
+def test_every_part_has_a_writer_of_its_own(spark, tmp_path):
+    """Parts are dealt to as many tasks, however few there are; the file names tell the tasks."""
+    schema = T.StructType.fromDDL("k bigint, n bigint")
+    table = state.KeyedTable(spark, str(tmp_path / "t"), schema, ("k",), 64)
+    whole = lambda held, rows: held.unionByName(rows)
+    for batch, keys in enumerate((range(2000), range(20))):
+        touched = table.update(spark.createDataFrame([(k, 1) for k in keys], schema), batch, whole)
+        tasks = [f.name.split("-")[1] for f in (tmp_path / "t").glob(f"part=*/batch={batch}/part-*")]
+        assert len(tasks) == len(set(tasks)) == len(touched)
+    assert table.read().groupBy().sum("n").first()[0] == 2020
+
+
+def test_a_batch_of_diffs_is_parsed_by_several_tasks(spark, monkeypatch):
+    """The feed has more files with more tasks, and still four batches."""
+    tables = {
+        "fx_numstat": ([("r", n, f"{n}\t2\tf{m}.go") for n in range(40) for m in range(3)], "repo_id string, pr_number bigint, value string"),
+        "scored": ([("r", "f1.go", 90, "critical", "Go", False, "")], "repo_id string, path string, heat_score int, tier string, language string, assessed boolean, summary string"),
+    }
+    batches, read, score = [], [], review.score_prs
+    monkeypatch.setattr(queries.Inputs, "bind", staticmethod(lambda spark, d, name: spark.createDataFrame(*tables[name])))
+    monkeypatch.setattr(queries.Inputs, "scored", lambda t: t.bind(spark, "", "scored"))
+    monkeypatch.setattr(review, "score_prs", lambda *a: batches.append(1) or score(*a))
+    paths = queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda s, name: read.append(paths(s, name)) or read[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = {r.pr_number: (r.files_changed, r.tier) for r in queries.pr_stream(spark, "").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {n: (3, "critical") for n in range(40)}
+    feed = spark.read.parquet(read[0])
+    assert len(feed.inputFiles()) > 8 and len(batches) <= 4 and feed.count() == 120
