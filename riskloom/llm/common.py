@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.staging import shuffles_removed
+
 _LOCAL: list[str] = []
 
 
@@ -28,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, independent of executors."""
+    """``df`` as a table in the shared folder: computed once, independent of executors. What
+    it shuffled is not kept, so the steps of an operator do not add up on disk."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -56,6 +56,7 @@ PARTS = 64  # of the texts, at least: what buckets find goes to the texts in so
 PART = 4_000_000  # entries that a part may come to hold
 CELLS = 1 << 16
 CHUNK = 1 << 18
+HEAVY = 50_000  # strings at most that every task knows the first rank of
 SEGMENT = 1 << 19  # of a long text; positions have to fit 20 bits
 PLACES = np.uint64((1 << 20) - 1)
 FIRST = -(1 << 63)
@@ -208,7 +209,9 @@ def _node(text: bytes) -> int:
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(48)).astype(np.int64)
+    """Anchors are least hashes, so their upper bits are small numbers, and a cell of those
+    would hold very many rare anchors; the lower bits, by which none is chosen, are even."""
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def measured(documents: DataFrame) -> DataFrame:
@@ -358,7 +361,7 @@ def _ordered(first: DataFrame, n_buckets: int, n_parts: int) -> DataFrame:
     rank, node, packed and wanted grams of texts."""
 
     def send(batches):
-        out = Buckets(n_buckets, ["around", "rank", "node", "place", "far", "near"], limit=60_000, packed=True)
+        out = Buckets(n_buckets, ["around", "rank", "node", "place", "far", "near"], limit=200_000, packed=True)
         for batch in batches:
             for r, v, p, grams in zip(batch["rank"].to_pylist(), batch["node"].to_pylist(), batch["packed"].to_pylist(), batch["grams"].to_pylist()):
                 for _, place, far, near, around in _surroundings([_text(p)], [np.frombuffer(grams, np.uint32)]):
@@ -384,42 +387,101 @@ def _ordered(first: DataFrame, n_buckets: int, n_parts: int) -> DataFrame:
     return _by_text(found, {"rank": np.int64, "node": np.int64, "place": np.uint32, "bits": np.uint32}, ["rank", "node"], "marks")
 
 
+def _hot_strings(texts: list[bytes], hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the strings whose anchors are in hot cells: text number, position of the anchor, how
+    far before it the string starts, and a 128-bit hash in two numbers."""
+    weight = [mix(np.arange(k, k + LENGTH, dtype=np.uint64)) | np.uint64(1) for k in (1, 1000)]
+    for text, place, gram, far, near in anchors(texts):
+        keep = np.flatnonzero(hot[_cells(gram)])
+        if not len(keep):
+            continue
+        text, place, far, near = text[keep], place[keep], far[keep], near[keep]
+        ids, at = np.unique(text, return_index=True)
+        low = np.maximum(np.minimum.reduceat(place, at) - REACH, 0)
+        parts = [texts[i][a:b] for i, a, b in zip(ids, low, np.maximum.reduceat(place, at) + LENGTH)]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts])
+        begin = np.repeat(np.cumsum(size) - size - low, np.diff(np.r_[at, len(text)]))
+        count = far - near + 1
+        row = np.repeat(np.arange(len(text)), count)
+        o = np.repeat(far, count) - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+        start = (begin + place)[row] - o
+        h = [np.zeros(len(row), np.uint64) for _ in weight]
+        with np.errstate(over="ignore"):
+            for j in range(LENGTH):
+                value = _VALUE[data[start + j]]
+                for k in range(2):
+                    h[k] += value * weight[k][j]
+        yield text[row], place[row], o, *(mix(x).view(np.int64) for x in h)
+
+
 def _hot_marks(documents: DataFrame, hot: np.ndarray) -> DataFrame:
-    """As ``_ordered``, for strings whose anchors are in hot cells, one row a string."""
+    """As ``_ordered``, for strings whose anchors are in hot cells, by their hashes.
+
+    The strings are counted first, added up in the tasks. Those that are most of the rows, HEAVY
+    at most, are then answered where they are found; only the other repeated ones travel, a
+    row each, and none of them is frequent."""
 
-    def strings(batches):
-        weight = [mix(np.arange(k, k + LENGTH, dtype=np.uint64)) | np.uint64(1) for k in (1, 1000)]
+    def counted(batches):
         for batch in batches:
             texts, rank = _bytes(batch), batch["rank"].to_numpy()
-            for text, place, gram, far, near in anchors(texts):
-                keep = np.flatnonzero(hot[_cells(gram)])
-                count = far[keep] - near[keep] + 1
-                row = np.repeat(keep, count)
-                o = np.repeat(far[keep], count) - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-                h = [np.zeros(len(row), np.uint64) for _ in weight]
-                for i in np.unique(text[row]):
-                    own = np.flatnonzero(text[row] == i)
-                    data = np.frombuffer(texts[i], np.uint8)
-                    with np.errstate(over="ignore"):
-                        for j in range(LENGTH):
-                            value = _VALUE[data[place[row[own]] - o[own] + j]]
-                            for k in range(2):
-                                h[k][own] += value * weight[k][j]
-                nodes = np.array([_node(t) for t in texts], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rank[text[row]]), pa.array(nodes[text[row]] if len(row) else np.zeros(0, np.int64)), pa.array(place[row]),
-                    pa.array(np.int64(1) << o), *(pa.array(mix(x).view(np.int64)) for x in h)], ["rank", "node", "place", "bit", "h1", "h2"])
+            for text, _, _, h1, h2 in _hot_strings(texts, hot):
+                r = rank[text]
+                order = np.lexsort((r, h2, h1))
+                h1, h2, r = h1[order], h2[order], r[order]
+                cut = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                ends = np.r_[cut[1:], len(r)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[cut], h2[cut], r[cut], r[ends - 1], ends - cut)], ["h1", "h2", "least", "most", "n"])
+
+    rows = documents.select("rank", "text")
+    counts = rows.mapInArrow(counted, "h1 long, h2 long, least long, most long, n long").groupBy("h1", "h2").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    least = written(counts.filter("least < most").select("h1", "h2", "least", "n"), "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    heavy = least.filter(F.col("n") > total // HEAVY).select("h1", "h2", "least").toArrow().sort_by("h1")
+    heavy1, heavy2, heavy_least = (heavy[c].to_numpy() for c in ("h1", "h2", "least"))
+    repeated = id_filter(least, "h1")
+
+    def answered(batches):
+        names = ["rank", "node", "place", "bit", "h1", "h2", "marks"]
+        for batch in batches:
+            texts, rank = _bytes(batch), batch["rank"].to_numpy()
+            for text, place, o, h1, h2 in _hot_strings(texts, hot):
+                keep = may_hold(repeated, h1)
+                text, place, o, h1, h2 = (x[keep] for x in (text, place, o, h1, h2))
+                if not len(text):
+                    continue
+                ids, turn = np.unique(text, return_inverse=True)
+                nodes = np.array([_node(texts[i]) for i in ids], np.int64)
+                at = np.minimum(np.searchsorted(heavy1, h1), max(len(heavy1) - 1, 0))
+                known = (heavy1[at] == h1) & (heavy2[at] == h2) if len(heavy1) else np.zeros(len(h1), bool)
+                rest = np.flatnonzero(~known)
+                if len(rest):
+                    columns = [rank[text[rest]], nodes[turn[rest]], place[rest], np.int64(1) << o[rest], h1[rest], h2[rest]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(rest), pa.binary())], names)
+                late = np.flatnonzero(known)
+                late = late[heavy_least[at[late]] < rank[text[late]]]
+                if not len(late):
+                    continue
+                # In order of text and position, as the strings are.
+                t, p = turn[late], place[late]
+                cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+                bits = np.bitwise_or.reduceat(np.uint32(1) << o[late].astype(np.uint32), cut)
+                marks = np.stack([p[cut].astype(np.uint32), bits], 1)
+                first = np.flatnonzero(np.r_[True, t[cut][1:] != t[cut][:-1]])
+                packed = [marks[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(marks)])]
+                own, none = t[cut][first], pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rank[ids[own]]), pa.array(nodes[own]), none, none, none, none, pa.array(packed, pa.binary())], names)
 
     def packed(batches):
         for b in batches:
             marks = np.stack([b["place"].to_numpy().astype(np.uint32), b["bits"].to_numpy().astype(np.uint32)], 1)
             yield pa.RecordBatch.from_arrays([b["rank"], b["node"], pa.array([m.tobytes() for m in marks], pa.binary())], ["rank", "node", "marks"])
 
-    rows = documents.select("rank", "text").mapInArrow(strings, "rank long, node long, place long, bit long, h1 long, h2 long")
-    # Written, so that the join has two plain shuffles, whose skewed keys Spark splits.
-    least = written(rows.groupBy("h1", "h2").agg(F.min("rank").alias("least")), "least")
-    late = rows.join(least, ["h1", "h2"]).filter("rank > least")
-    return late.groupBy("rank", "node", "place").agg(F.bit_or("bit").alias("bits")).mapInArrow(packed, "rank long, node long, marks binary")
+    found = written(rows.mapInArrow(answered, "rank long, node long, place long, bit long, h1 long, h2 long, marks binary"), "hot")
+    late = found.filter("marks is null").drop("marks").join(least, ["h1", "h2"]).filter("rank > least")
+    late = late.groupBy("rank", "node", "place").agg(F.bit_or("bit").alias("bits")).mapInArrow(packed, "rank long, node long, marks binary")
+    return found.filter("marks is not null").select("rank", "node", "marks").unionByName(late)
 
 
 def _cut(text: bytes, marks: list[bytes]) -> tuple[bytes, int, int]:
@@ -460,8 +522,12 @@ def deduplicate(documents: DataFrame, *, hot: int = 1 << 17, with_text: bool = F
     # The text itself is needed of all rows if it is asked for.
     needed = np.full(FILTER_WORDS, ~np.uint64(0)) if with_text else id_filter(marks, "node")
     source = _compressed(ranked, needed, digest=True)
-    joined = source.join(first, (source["node"] == first["node"]) & (source["check"] == first["check"]) & (source["n_bytes"] == first["size"]), "left").drop(
-        first["node"], first["check"], "size").join(own, ["rank", "node"], "left")
+    # A text and its marks meet where it meets its first rank, so texts are shuffled once; the
+    # marks are those of the first rank.
+    known = first.join(own.withColumnRenamed("rank", "first"), ["first", "node"], "left").select(
+        F.col("node").alias("_node"), F.col("check").alias("_check"), "size", "first", "marks")
+    joined = source.join(known, (source["node"] == known["_node"]) & (source["check"] == known["_check"]) & (source["n_bytes"] == known["size"]), "left") \
+        .withColumn("marks", F.when(F.col("rank") == F.col("first"), F.col("marks")))
     nothing = hashlib.sha256(b"").hexdigest()
 
     def finish(batches):

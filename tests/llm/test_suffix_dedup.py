@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import string
 
 import numpy as np
 import pytest
@@ -105,3 +107,50 @@ def test_factor_array():
         common[0] = 0
         want = [max([0, *(min(common[min(i, j) + 1:max(i, j) + 1]) for j in range(n) if order[j] < order[i])]) for i in range(n)]
         assert s.longest_previous(order, common).tolist() == want
+
+
+def test_disk_holds_the_texts_once(spark, documents):
+    """Of all that the steps shuffle, only the last join's texts are left when the rows are made."""
+    rng = random.Random(8)
+    shared = "".join(rng.choices(string.printable, k=400))
+    texts = [shared + "".join(rng.choices(string.printable, k=15_000)) for _ in range(200)]
+    df = documents(list(enumerate(texts)))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {n: os.path.getsize(n) for n in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n and n.endswith(".data")}
+
+    before = shuffled()
+    got = {r.doc_id: r.n_removed for r in s.deduplicate(df).collect()}
+    left = sum(n for name, n in shuffled().items() if name not in before)
+    assert got[0] == 0 and all(got[i] >= 400 for i in range(1, 200))
+    assert 0 < left < 1.5 * sum(map(len, texts))
+
+
+def test_hot_strings_travel_only_if_they_are_rare(spark, documents, monkeypatch):
+    """A string of most rows is answered where it is found; whatever is answered where, the
+    result is that of looking up every string."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(40)]
+    line = " ".join(rng.choices(words, k=30))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40))) + line * (i % 3) + " ".join(rng.choices(words, k=5)) + "é" * (i % 40)) for i in range(60)]
+    rows += [(60, rows[5][1]), (61, None), (62, line)]
+    tables, written = {}, s.written
+    monkeypatch.setattr(s, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    sent = []
+    for heavy in (50_000, 2_000, 1):
+        tables.clear()
+        monkeypatch.setattr(s, "HEAVY", heavy)
+        got = sorted(map(tuple, s.deduplicate(documents(rows), hot=-(1 << 40)).collect()))
+        assert got == brute(rows)
+        sent.append(tables["hot"].filter("marks is null").count())
+        assert tables["hot"].filter("marks is not null").isEmpty() == (heavy == 1)
+    # A few pass the filter of repeated strings that are none.
+    assert 50 * sent[0] < sent[2] and sent[0] < sent[1] < sent[2]
+
+
+def test_rare_anchors_fill_all_cells_alike():
+    """No cell is hot because least hashes are small: only a frequent anchor makes one so."""
+    text = bytes(np.random.default_rng(1).integers(32, 127, 2_000_000, dtype=np.uint8))
+    count = sum(np.bincount(s._cells(grams), minlength=s.CELLS) for _, _, grams, _, _ in s.anchors([text]))
+    assert count.sum() > 100_000 and count.max() < 20
